@@ -1,0 +1,5 @@
+"""Intentionally without operators: every supported job is a batch job.
+
+Projection of rows onto a fitted model keeps no state between rows, so
+``FactorModel.transform`` also accepts a streaming DataFrame.
+"""
