@@ -1,6 +1,7 @@
 from .cells import (
     center_nonzero,
     cells_of,
+    column_means_cells,
     frobenius_norm2_cells,
     min_obs_cells,
     nonzero_cells,

@@ -16,6 +16,10 @@ from .pca import shares_frame
 from .stats import normalized_scatter
 
 
+# one job per class and iteration: several classes keep the cluster busy
+FITS_AT_ONCE = 8
+
+
 def accuracy_of(df: DataFrame, label: str, features: str = "x", c: float = 2.0, max_iter: int = 30) -> float:
     """Accuracy of a linear multi-class SVM trained and scored on the same rows.
 
@@ -26,7 +30,7 @@ def accuracy_of(df: DataFrame, label: str, features: str = "x", c: float = 2.0,
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         svc = LinearSVC(maxIter=max_iter, regParam=1.0 / (c * data.count()))
-        scored = OneVsRest(classifier=svc).fit(data).transform(data)
+        scored = OneVsRest(classifier=svc, parallelism=FITS_AT_ONCE).fit(data).transform(data)
         return MulticlassClassificationEvaluator(metricName="accuracy").evaluate(scored)
     finally:
         data.unpersist()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from ..plans.moments import moment_source
 from .model import FactorModel, Start, StopRule, start_values
-from .probe import ErrorProbe, Round, run_rounds
+from .probe import ErrorProbe, Round, held, run_rounds
 from .rotate import rotated
 
 MIN_NOISE = 5e-15
@@ -41,6 +41,7 @@ def fa_fit(
     d: int | None = None,
     n_rows: int | None = None,
     canonical: bool = False,
+    persist: bool = False,
 ) -> FactorModel:
     """Fits y = C x + mean + noise with its own noise variance per column.
 
@@ -48,14 +49,13 @@ def fa_fit(
     inverse is formed.  Stops after ``max_iter`` rounds or when the
     log-likelihood (of the parameters a round starts with) gains at most ``tol``.
     """
-    src = moment_source(df, plan, d, n_rows)
-    loadings, psi = start_values(src.d, k, init, per_column=True)
-    stop = StopRule(max_iter, tol, relative=False)
-    last = run_rounds(
-        fa_rounds(src, loadings, psi), stop, ErrorProbe(df, src, error_rate), src.passes_per_call
-    )
-    model = FactorModel("fa", last.loadings, src.mean, last.noise, src.n, history=tuple(stop.history))
-    return rotated(model, src) if canonical else model
+    with held(df, persist) as rows:
+        src = moment_source(rows, plan, d, n_rows)
+        loadings, psi = start_values(src.d, k, init, per_column=True)
+        stop = StopRule(max_iter, tol, relative=False)
+        last = run_rounds(fa_rounds(src, loadings, psi), stop, ErrorProbe(rows, src, error_rate), src)
+        model = FactorModel("fa", last.loadings, src.mean, last.noise, src.n, history=tuple(stop.history))
+        return rotated(model, src) if canonical else model
 
 
 def fa_rounds(src, loadings: np.ndarray, psi: np.ndarray) -> Iterator[Round]:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, types as T
 
 from ..plans.blocks import dense_block, flat_sum, list_array, width
@@ -17,6 +18,7 @@ from .rotate import ordered_axes, orthonormal
 from .rows import clip_infinite, keep_observed_columns
 
 NOISE_TERMS = ("exact", "reference")
+ROUNDING = 1e-14
 
 
 @dataclass
@@ -107,11 +109,16 @@ def _round_sums(state: _State, d: int, k: int) -> dict[str, np.ndarray]:
 
 
 def _residual2(sums, loadings) -> float:
-    """Squared reconstruction error over the observed cells."""
+    """Squared reconstruction error over the observed cells.
+
+    The sums cancel when as many components as columns leave no residual; what
+    remains then is rounding, so the result is kept above that level.
+    """
     k = loadings.shape[1]
     fitted = np.sum(sums["xx"] * (loadings.T @ loadings))
     at_missing = np.sum(sums["miss"] * (loadings[:, :, None] * loadings[:, None, :]).reshape(-1, k * k))
-    return float(sums["z2"][0] - 2 * np.sum(loadings * sums["zx"]) + fitted - at_missing)
+    z2 = float(sums["z2"][0])
+    return max(float(z2 - 2 * np.sum(loadings * sums["zx"]) + fitted - at_missing), ROUNDING * z2)
 
 
 @dataclass(frozen=True)
@@ -154,13 +161,16 @@ def ppca_missing_fit(
     init: Start | int | None = None,
     checkpoint_every: int = 10,
     d: int | None = None,
+    persist: bool = False,
 ) -> MissingFit:
     """PPCA on z-scored rows; NULL and NaN cells are refilled from the model every round.
 
     Infinite cells become the largest finite value; columns with fewer than
     ``min_obs`` observed cells are left out; ``k`` defaults to a fifth of the
     columns.  Stops when the objective changes by less than ``tol`` relatively,
-    after seven rounds at the earliest.  The residual counts observed cells
+    after seven rounds at the earliest.  ``persist`` keeps the rows in memory and
+    on local disk between rounds; they stay persisted for the fit's scores.
+    The residual counts observed cells
     only; ``noise_term="reference"`` also counts the filled values squared.
     """
     if noise_term not in NOISE_TERMS:
@@ -168,6 +178,8 @@ def ppca_missing_fit(
     df = clip_infinite(df.select("row_id", "y"))
     stats = column_stats(df, width(df, d))
     df, kept = keep_observed_columns(df, min_obs, stats)
+    if persist:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     count, mean, scale = stats.count[kept], stats.mean[kept], stats.std_pop[kept]
     if np.any(count == 0) or np.any(~(scale > 0)):
         raise ValueError("columns without observed values or without variance; raise min_obs or drop them")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..plans.moments import moment_source
 from .model import FactorModel, Start, StopRule, start_values
-from .probe import ErrorProbe, Round, run_rounds
+from .probe import ErrorProbe, Round, held, run_rounds
 from .rotate import rotated
 
 NOISE_TERMS = ("exact", "reference")
@@ -29,6 +29,7 @@ def ppca_fit(
     d: int | None = None,
     n_rows: int | None = None,
     canonical: bool = False,
+    persist: bool = False,
 ) -> FactorModel:
     """Fits y = C x + mean + noise with one noise variance for all columns.
 
@@ -38,21 +39,22 @@ def ppca_fit(
     at most ``error_tol``.  ``error_rate`` is the share of rows the error looks
     at (None: by N; 0: no error, and no stop by it).
 
+    ``persist`` keeps the rows in memory and on local disk during the fit: worth
+    it when they are costly to derive and several passes are needed.
+
     ``noise_term="exact"`` adds N ss Sx in the M-step, as EM requires;
     ``"reference"`` adds ss Sx once.
     """
     if noise_term not in NOISE_TERMS:
         raise ValueError(f"unknown noise_term {noise_term!r}; use one of {NOISE_TERMS}")
-    src = moment_source(df, plan, d, n_rows)
-    loadings, ss = start_values(src.d, k, init, per_column=False)
-    stop = StopRule(max_iter, tol, relative=True, error_tol=error_tol)
-    last = run_rounds(
-        ppca_rounds(src, loadings, ss, noise_term), stop, ErrorProbe(df, src, error_rate), src.passes_per_call
-    )
-    model = FactorModel(
-        "ppca", last.loadings, src.mean, np.full(src.d, last.noise), src.n, history=tuple(stop.history)
-    )
-    return rotated(model, src) if canonical else model
+    with held(df, persist) as rows:
+        src = moment_source(rows, plan, d, n_rows)
+        loadings, ss = start_values(src.d, k, init, per_column=False)
+        stop = StopRule(max_iter, tol, relative=True, error_tol=error_tol)
+        last = run_rounds(ppca_rounds(src, loadings, ss, noise_term), stop, ErrorProbe(rows, src, error_rate), src)
+        noise = np.full(src.d, last.noise)
+        model = FactorModel("ppca", last.loadings, src.mean, noise, src.n, history=tuple(stop.history))
+        return rotated(model, src) if canonical else model
 
 
 def ppca_rounds(src, loadings: np.ndarray, ss: float, noise_term: str = "exact") -> Iterator[Round]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import islice
 
@@ -26,6 +27,19 @@ class Round:
     objective: float
 
 
+@contextmanager
+def held(df: DataFrame, persist: bool):
+    """The rows, persisted for the time of a fit when asked and not persisted already."""
+    if not persist or df.is_cached:
+        yield df
+        return
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 class ErrorProbe:
     """Relative L1 error of rounds, measured on a fixed sample of rows.
 
@@ -74,7 +88,7 @@ def _take(rounds: Iterator[Round], n: int) -> tuple[list[Round], Exception | Non
     return taken, None
 
 
-def run_rounds(rounds: Iterator[Round], stop: StopRule, probe: ErrorProbe, passes_per_round: int) -> Round:
+def run_rounds(rounds: Iterator[Round], stop: StopRule, probe: ErrorProbe, src) -> Round:
     """Runs rounds until the stop rule holds and returns the last one.
 
     Rounds that need no pass over the data are computed ahead in growing
@@ -103,7 +117,7 @@ def run_rounds(rounds: Iterator[Round], stop: StopRule, probe: ErrorProbe, passe
                     return r
             if failure:
                 raise failure
-            if not deferred and not passes_per_round:
+            if not deferred and not src.passes_per_call:
                 ahead = min(2 * ahead, probe.most(batch[-1]))
     finally:
         probe.close()

@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..plans.blocks import flat_sum, iter_blocks, width
 from ..plans.budget import MAX_GRAM_COLUMNS
 from ..plans.moments import column_stats, iter_sparse_blocks, moment_source, scatter
-from .cells import column_sums_cells
 from .lagged import scatter_pairs
-from .rows import variance_normalize
 
 
 def matrix_frame(spark: SparkSession, m: np.ndarray) -> DataFrame:
@@ -37,12 +35,6 @@ def null_aware_stats(df: DataFrame, d: int | None = None) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "col_id INT, n BIGINT, mean DOUBLE, var_pop DOUBLE")
 
 
-def column_means_cells(cells: DataFrame, n_rows: int) -> DataFrame:
-    """Column sums over the stored cells and their means over N rows."""
-    n = F.lit(float(n_rows))
-    return column_sums_cells(cells).select("col_id", "nnz", "s", (F.col("s") / n).alias("mean"))
-
-
 def frobenius_norm2(df: DataFrame, d: int | None = None) -> float:
     return column_stats(df, d).norm2
 
