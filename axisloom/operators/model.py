@@ -52,24 +52,28 @@ class StopRule:
     min_rounds: int = 0
     history: list[tuple] = field(default_factory=list)
 
+    def _change(self, objective: float) -> float:
+        if not self.history:
+            return math.inf
+        before = self.history[-1][1]
+        if not self.relative:
+            return objective - before
+        return abs(1 - objective / before) if before else math.inf
+
+    def settled(self, objective: float) -> bool:
+        """True when a next round with this objective ends the fit whatever its error."""
+        done = len(self.history) + 1
+        if self.max_iter is not None and done >= self.max_iter:
+            return True
+        return done > self.min_rounds and self._change(objective) <= self.tol
+
     def record(self, objective: float, error: float | None = None) -> bool:
         """Adds a round; True when the fit should stop."""
         if math.isnan(objective):
             raise ArithmeticError(f"objective is NaN in round {len(self.history) + 1}")
-        before = self.history[-1][1] if self.history else None
-        if before is None:
-            change = math.inf
-        elif self.relative:
-            change = abs(1 - objective / before) if before else math.inf
-        else:
-            change = objective - before
-        self.history.append((len(self.history) + 1, objective, change, error))
-        done = len(self.history)
-        if self.max_iter is not None and done >= self.max_iter:
-            return True
-        if done > self.min_rounds and change <= self.tol:
-            return True
-        return error is not None and self.error_tol is not None and error <= self.error_tol
+        stop = self.settled(objective)
+        self.history.append((len(self.history) + 1, objective, self._change(objective), error))
+        return stop or (error is not None and self.error_tol is not None and error <= self.error_tol)
 
 
 @dataclass(frozen=True)

@@ -91,33 +91,61 @@ def _take(rounds: Iterator[Round], n: int) -> tuple[list[Round], Exception | Non
 def run_rounds(rounds: Iterator[Round], stop: StopRule, probe: ErrorProbe, src) -> Round:
     """Runs rounds until the stop rule holds and returns the last one.
 
-    Rounds that need no pass over the data are computed ahead in growing
-    batches, and one pass gives the errors of a whole batch; those after the
-    stop are dropped, so the outcome is that of checking after every round.
-    When the error is no stop criterion, all errors are filled in at the end.
+    The outcome is always that of checking after every round; what differs is
+    how the errors are gathered with few passes over the data:
+
+    * no stop by error: errors are filled in afterwards, many rounds per pass;
+    * rounds without a pass of their own: computed ahead in growing batches, one
+      error pass per batch, and those after the stop are dropped;
+    * a pass per round and the error over all rows: the error of a round rides
+      along with the pass of the next one;
+    * a pass per round and a kept sample: one pass over the sample per round.
     """
-    deferred = stop.error_tol is None
-    waiting: list[Round] = []
-    errors: list[float | None] = []
-    ahead = 1
     try:
-        while True:
-            batch, failure = _take(rounds, ahead)
-            probed = [None] * len(batch) if deferred else probe.ratios(batch)
-            for r, error in zip(batch, probed):
-                stopped = stop.record(r.objective, error)
-                if deferred:
-                    waiting.append(r)
-                    if stopped or len(waiting) == probe.most(r):
-                        errors += probe.ratios(waiting)
-                        waiting.clear()
-                if stopped:
-                    if deferred:
-                        stop.history[:] = [(*h[:3], e) for h, e in zip(stop.history, errors)]
-                    return r
-            if failure:
-                raise failure
-            if not deferred and not src.passes_per_call:
-                ahead = min(2 * ahead, probe.most(batch[-1]))
+        if stop.error_tol is None:
+            return _fill_afterwards(rounds, stop, probe)
+        if src.passes_per_call and probe.rate == 1:
+            return _ride_along(rounds, stop, probe, src)
+        return _look_ahead(rounds, stop, probe, src)
     finally:
         probe.close()
+
+
+def _fill_afterwards(rounds, stop, probe) -> Round:
+    waiting: list[Round] = []
+    errors: list[float | None] = []
+    for r in rounds:
+        stopped = stop.record(r.objective)
+        waiting.append(r)
+        if stopped or len(waiting) == probe.most(r):
+            errors += probe.ratios(waiting)
+            waiting.clear()
+        if stopped:
+            stop.history[:] = [(*h[:3], e) for h, e in zip(stop.history, errors)]
+            return r
+    raise AssertionError("rounds never end by themselves")
+
+
+def _look_ahead(rounds, stop, probe, src) -> Round:
+    ahead = 1
+    while True:
+        batch, failure = _take(rounds, ahead)
+        for r, error in zip(batch, probe.ratios(batch)):
+            if stop.record(r.objective, error):
+                return r
+        if failure:
+            raise failure
+        if not src.passes_per_call:
+            ahead = min(2 * ahead, probe.most(batch[-1]))
+
+
+def _ride_along(rounds, stop, probe, src) -> Round:
+    r = next(rounds)
+    while not stop.settled(r.objective):
+        src.watch(r.score_map, r.loadings)
+        following = next(rounds)
+        if stop.record(r.objective, l1_ratio(*src.watched)):
+            return r
+        r = following
+    stop.record(r.objective, probe.ratios([r])[0])
+    return r

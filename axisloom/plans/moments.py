@@ -158,12 +158,49 @@ def with_absent_rows(counted, n_rows, mean, g):
     return n_rows, mean, raw - n_rows * np.outer(mean, mean)
 
 
-class RowMoments:
-    """One Arrow block pass over dense rows per call."""
+class _PassMoments:
+    """Moments from one pass per call.
+
+    A pass can take along the L1 error of the fit before: ``watch`` names the
+    fit, and after the next ``moments`` call ``watched`` holds its column sums.
+    """
 
     passes_per_call = 1
 
+    def __init__(self):
+        self._fit = None
+        self.watched: tuple[np.ndarray, np.ndarray] | None = None
+
+    def watch(self, score_map: np.ndarray, loadings: np.ndarray) -> None:
+        self._fit = (score_map, loadings)
+
+    def _run(self, shapes, accumulate):
+        """One pass; ``accumulate(add_error, more)`` makes the task function."""
+        fit, mean, d = self._fit, self.mean, self.d
+        self._fit = self.watched = None
+        if fit is None:
+            return flat_sum(self.df, shapes, accumulate(None, {}))
+        w, c = fit
+        start = {"err": (d,), "norm": (d,)}
+
+        def add_error(sums, z):
+            sums["norm"] += np.abs(z).sum(axis=0)
+            sums["err"] += np.abs((z @ w) @ c.T - z).sum(axis=0)
+
+        r = flat_sum(self.df, {**shapes, **start}, accumulate(add_error, start))
+        absent = self.n - self.stored
+        self.watched = (
+            r["err"] + absent * np.abs(mean - (mean @ w) @ c.T),
+            r["norm"] + absent * np.abs(mean),
+        )
+        return r
+
+
+class RowMoments(_PassMoments):
+    """One Arrow block pass over dense rows per call."""
+
     def __init__(self, df: DataFrame, d: int | None = None, n_rows: int | None = None):
+        super().__init__()
         stats = column_stats(df, d)
         if np.any(stats.count != stats.n_rows):
             raise ValueError("NULL cells: use the fit for missing values")
@@ -183,16 +220,22 @@ class RowMoments:
         d, k = w.shape
         mean = self.mean
 
-        def accumulate(batches):
-            xtx, ytx = np.zeros((k, k)), np.zeros((d, k))
-            for block in iter_blocks(batches, d):
-                z = block - mean
-                x = z @ w
-                xtx += x.T @ x
-                ytx += z.T @ x
-            return {"xtx": xtx, "ytx": ytx}
-
-        r = flat_sum(self.df, {"xtx": (k, k), "ytx": (d, k)}, accumulate)
+        def accumulate(add_error, more):
+            def walk(batches):
+                sums = {n: np.zeros(shape) for n, shape in {**shapes, **more}.items()}
+                for block in iter_blocks(batches, d):
+                    z = block - mean
+                    x = z @ w
+                    sums["xtx"] += x.T @ x
+                    sums["ytx"] += z.T @ x
+                    if add_error:
+                        add_error(sums, z)
+                return sums
+
+            return walk
+
+        shapes = {"xtx": (k, k), "ytx": (d, k)}
+        r = self._run(shapes, accumulate)
         # rows that were not stored are zero before centering
         x = -mean @ w
         return r["xtx"] + self.absent * np.outer(x, x), r["ytx"] - self.absent * np.outer(mean, x)
@@ -231,12 +274,12 @@ def sparse_times(rows, cols, values, n, matrix) -> np.ndarray:
     return out
 
 
-class SparseMoments:
-    """Sparse rows ``idx, val``: means are carried apart, zeros are never visited."""
-
-    passes_per_call = 1
+class SparseMoments(_PassMoments):
+    """Sparse rows ``idx, val``: means are carried apart, zeros are never visited
+    (except for the error, which is dense in every row)."""
 
     def __init__(self, df: DataFrame, d: int, n_rows: int | None = None):
+        super().__init__()
         self.df = df.select("idx", "val")
         self.d = d
 
@@ -261,21 +304,28 @@ class SparseMoments:
 
     def moments(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d, k = w.shape
+        mean = self.mean
 
-        def accumulate(batches):
-            xtx, ytx, sx = np.zeros((k, k)), np.zeros((d, k)), np.zeros(k)
-            for batch in batches:
-                rows, cols, values = sparse_arrays(batch)
-                x = sparse_times(rows, cols, values, batch.num_rows, w)
-                xtx += x.T @ x
-                sx += x.sum(axis=0)
-                for j in range(k):
-                    ytx[:, j] += np.bincount(cols, weights=values * x[rows, j], minlength=d)
-            return {"xtx": xtx, "ytx": ytx, "sx": sx}
-
-        r = flat_sum(self.df, {"xtx": (k, k), "ytx": (d, k), "sx": (k,)}, accumulate)
-        # sum of x over all rows is N xm, so both centerings are rank-one corrections
-        xm = self.mean @ w
+        def accumulate(add_error, more):
+            def walk(batches):
+                sums = {n: np.zeros(shape) for n, shape in {**shapes, **more}.items()}
+                for batch in batches:
+                    rows, cols, values = sparse_arrays(batch)
+                    x = sparse_times(rows, cols, values, batch.num_rows, w)
+                    sums["xtx"] += x.T @ x
+                    for j in range(k):
+                        sums["ytx"][:, j] += np.bincount(cols, weights=values * x[rows, j], minlength=d)
+                    if add_error:
+                        for block in iter_sparse_blocks([batch], d):
+                            add_error(sums, block - mean)
+                return sums
+
+            return walk
+
+        shapes = {"xtx": (k, k), "ytx": (d, k)}
+        r = self._run(shapes, accumulate)
+        # the sum of x over all rows is N xm, so both centerings are rank-one corrections
+        xm = mean @ w
         return r["xtx"] - self.n * np.outer(xm, xm), r["ytx"] - self.n * np.outer(self.mean, xm)
 
 
