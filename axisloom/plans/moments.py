@@ -51,6 +51,8 @@ def head_shift(df: DataFrame, d: int) -> np.ndarray:
     rows = [r[0] for r in df.select("y").limit(HEAD_ROWS).collect()]
     if not rows:
         raise ValueError("empty matrix")
+    if any(len(y) != d for y in rows):
+        raise ValueError(f"ragged matrix rows: expected {d} values in each")
     block = np.array(rows, dtype=float).reshape(len(rows), d)
     ok = np.isfinite(block)
     n = ok.sum(axis=0)
