@@ -38,10 +38,16 @@ START = (0.7, 0.5, 0.3)
 START_NOISE = 0.9
 
 
-def ppca_k1_sql(rounds: int, n: int = 3) -> str:
-    first = ", ".join(f"{c}::DOUBLE AS c{j}" for j, c in enumerate(START))
+def ppca_k1_sql(rounds: int) -> str:
+    return ppca_k1_rounds(zscored(r.CORRELATED, "correlated", 3), START, rounds)
+
+
+def ppca_k1_rounds(base: str, first_loadings: tuple, rounds: int) -> str:
+    """Rounds of the one-component fit on the centered columns of CTE ``z``."""
+    n = len(first_loadings)
+    first = ", ".join(f"{c}::DOUBLE AS c{j}" for j, c in enumerate(first_loadings))
     ctes = [
-        zscored(r.CORRELATED, "correlated", n),
+        base,
         f"total AS (SELECT count(*) AS n, sum({add(n, 'z{j} * z{j}')}) AS norm2 FROM z)",
         f"p0 AS (SELECT {first}, {START_NOISE}::DOUBLE AS ss)",
     ]
@@ -83,6 +89,31 @@ def ppca_k1_rows(spark, sf):
     return fitted_rows(spark, model)
 
 
+COUNTS_WIDE = f"""{r.EVENT_COUNTS}, {r.dense_sql('counts')}, wide AS (
+  SELECT row_id, {each(5, "sum(value) FILTER (WHERE col_id = {j}) AS y{j}")} FROM dense GROUP BY row_id)"""
+START5 = START + (0.2, 0.4)
+
+
+def cells_k1_sql(rounds: int, n: int = 5) -> str:
+    means, centered = each(n, "avg(y{j}) AS m{j}"), each(n, "y{j} - m{j} AS z{j}")
+    base = f"{COUNTS_WIDE}, st AS (SELECT {means} FROM wide), z AS (SELECT {centered} FROM wide, st)"
+    return ppca_k1_rounds(base, START5, rounds)
+
+
+@query("ppca_fit_cells_k1", cells_k1_sql(2))
+def ppca_cells_k1(spark, sf):
+    """Sparse cells joined with the model as a table."""
+    cells = r.event_counts(spark, sf)
+    n = cells.select("row_id").distinct().count()
+    begin = spark.createDataFrame(
+        [(j, [c], START_NOISE) for j, c in enumerate(START5)], "col_id INT, c ARRAY<DOUBLE>, noise DOUBLE"
+    )
+    model = op.fit_cells(cells, 1, n, len(r.TYPES), max_iter=2, tol=0, start=begin)
+    return model.components().select(
+        "col_id", r.rounded(F.col("loadings")[0]).alias("loading"), r.rounded(F.col("noise")).alias("noise")
+    )
+
+
 START_PSI = (0.9, 0.8, 0.7)
 
 

@@ -9,6 +9,7 @@ from .cells import (
     trial_mean,
     trials_to_matrix,
 )
+from .cells_fit import CellModel, cross_moments_cells, fit_cells, latent_scores_cells
 from .evaluate import accuracy_of, explained_variance, model_comparison, score_summary, singular_value_share
 from .lagged import lagged_covariance
 from .model import FactorModel

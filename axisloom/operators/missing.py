@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, types as T
 
 from ..plans.blocks import dense_block, flat_sum, list_array, width
 from ..plans.budget import BLOCK_CELLS
-from ..plans.moments import column_stats
+from ..plans.moments import column_stats, score_square
 from ..session import checkpoint
 from .model import FactorModel, Start, StopRule, start_values
 from .rotate import ordered_axes, orthonormal
@@ -88,12 +88,11 @@ def _round_sums(state: _State, d: int, k: int) -> dict[str, np.ndarray]:
 
     def accumulate(batches):
         s = {
-            "dx": np.zeros((d, k)), "zx": np.zeros((d, k)), "xx": np.zeros((k, k)),
+            "dx": np.zeros((d, k)), "zx": np.zeros((d, k)),
             "miss": np.zeros((d, k * k)), "filled2": np.zeros(1), "z2": np.zeros(1),
         }
         for _, z, missing, data, x in walk(batches):
             s["dx"] += data.T @ x
-            s["xx"] += x.T @ x
             observed = np.where(missing, 0.0, z)
             s["zx"] += observed.T @ x
             s["z2"] += np.sum(observed**2)
@@ -104,8 +103,12 @@ def _round_sums(state: _State, d: int, k: int) -> dict[str, np.ndarray]:
                 s["filled2"] += np.sum(data[missing] ** 2)
         return s
 
-    shapes = {"dx": (d, k), "zx": (d, k), "xx": (k, k), "miss": (d, k * k), "filled2": (1,), "z2": (1,)}
-    return flat_sum(state.df, shapes, accumulate)
+    shapes = {"dx": (d, k), "zx": (d, k), "miss": (d, k * k), "filled2": (1,), "z2": (1,)}
+    sums = flat_sum(state.df, shapes, accumulate)
+    # scores are filled data times the newest map
+    newest = state.rounds[-1][1] if state.rounds else state.first
+    sums["xx"] = score_square(newest, sums["dx"])
+    return sums
 
 
 def _residual2(sums, loadings) -> float:
@@ -175,8 +178,12 @@ def ppca_missing_fit(
     """
     if noise_term not in NOISE_TERMS:
         raise ValueError(f"unknown noise_term {noise_term!r}; use one of {NOISE_TERMS}")
-    df = clip_infinite(df.select("row_id", "y"))
-    stats = column_stats(df, width(df, d))
+    df = df.select("row_id", "y")
+    d = width(df, d)
+    stats = column_stats(df, d)
+    if not np.all(np.isfinite(stats.var_pop[stats.count > 0])):
+        df = clip_infinite(df)
+        stats = column_stats(df, d)
     df, kept = keep_observed_columns(df, min_obs, stats)
     if persist:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)

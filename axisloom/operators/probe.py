@@ -53,7 +53,8 @@ class ErrorProbe:
         self.mean = src.mean
         self.absent = (src.n - src.stored) * self.rate
         self.sample = sample_rows(df, self.rate) if self.rate > 0 else None
-        self.kept = 0 < self.rate < 1
+        # small by the rule for the rate, or a share of the data that was asked for
+        self.kept = self.sample is not None and (rate is None or rate < 1) and not df.is_cached
         if self.kept:
             self.sample = self.sample.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -73,6 +74,7 @@ class ErrorProbe:
     def close(self) -> None:
         if self.kept:
             self.sample.unpersist()
+            self.kept = False
 
 
 def _take(rounds: Iterator[Round], n: int) -> tuple[list[Round], Exception | None]:

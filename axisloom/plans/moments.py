@@ -133,6 +133,12 @@ def scatter(df: DataFrame, d: int | None = None) -> tuple[int, np.ndarray, np.nd
     return int(n), shift + s / n, g
 
 
+def score_square(w: np.ndarray, ytx: np.ndarray) -> np.ndarray:
+    """X'X = W' Yc'X, because X = Yc W; symmetric up to rounding, so made so."""
+    xtx = w.T @ ytx
+    return (xtx + xtx.T) / 2
+
+
 class GramMoments:
     """Moments from the scatter matrix; the data is read once, whatever the rounds."""
 
@@ -148,7 +154,7 @@ class GramMoments:
 
     def moments(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ytx = self.scatter @ w
-        return w.T @ ytx, ytx
+        return score_square(w, ytx), ytx
 
 
 def with_absent_rows(counted, n_rows, mean, g):
@@ -227,20 +233,17 @@ class RowMoments(_PassMoments):
                 sums = {n: np.zeros(shape) for n, shape in {**shapes, **more}.items()}
                 for block in iter_blocks(batches, d):
                     z = block - mean
-                    x = z @ w
-                    sums["xtx"] += x.T @ x
-                    sums["ytx"] += z.T @ x
+                    sums["ytx"] += z.T @ (z @ w)
                     if add_error:
                         add_error(sums, z)
                 return sums
 
             return walk
 
-        shapes = {"xtx": (k, k), "ytx": (d, k)}
-        r = self._run(shapes, accumulate)
+        shapes = {"ytx": (d, k)}
         # rows that were not stored are zero before centering
-        x = -mean @ w
-        return r["xtx"] + self.absent * np.outer(x, x), r["ytx"] - self.absent * np.outer(mean, x)
+        ytx = self._run(shapes, accumulate)["ytx"] + self.absent * np.outer(mean, mean @ w)
+        return score_square(w, ytx), ytx
 
 
 def sparse_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -314,7 +317,6 @@ class SparseMoments(_PassMoments):
                 for batch in batches:
                     rows, cols, values = sparse_arrays(batch)
                     x = sparse_times(rows, cols, values, batch.num_rows, w)
-                    sums["xtx"] += x.T @ x
                     for j in range(k):
                         sums["ytx"][:, j] += np.bincount(cols, weights=values * x[rows, j], minlength=d)
                     if add_error:
@@ -324,11 +326,10 @@ class SparseMoments(_PassMoments):
 
             return walk
 
-        shapes = {"xtx": (k, k), "ytx": (d, k)}
-        r = self._run(shapes, accumulate)
-        # the sum of x over all rows is N xm, so both centerings are rank-one corrections
-        xm = mean @ w
-        return r["xtx"] - self.n * np.outer(xm, xm), r["ytx"] - self.n * np.outer(self.mean, xm)
+        shapes = {"ytx": (d, k)}
+        # the sum of x over all rows is N xm, so centering is a rank-one correction
+        ytx = self._run(shapes, accumulate)["ytx"] - self.n * np.outer(mean, mean @ w)
+        return score_square(w, ytx), ytx
 
 
 def moment_source(

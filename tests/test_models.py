@@ -259,3 +259,26 @@ def test_start_values():
     assert start_values(4, 2, 0, True)[1].shape == (4,)
     with pytest.raises(ValueError):
         start_values(4, 2, Start(np.ones((3, 2))), False)
+
+
+@pytest.mark.parametrize("kind", ["ppca", "fa"])
+def test_model_as_a_table_gives_the_same_fit(spark, as_rows, kind):
+    m = np.where(np.random.default_rng(3).random((60, 6)) < 0.5, low_rank(60, 6), 0.0)
+    c0 = np.random.default_rng(4).random((6, 2))
+    psi0 = np.full(6, 0.7)
+    cells = op.nonzero_cells(op.cells_of(as_rows(m)))
+    begin = spark.createDataFrame(
+        [(j, c0[j].tolist(), 0.7) for j in range(6)], "col_id INT, c ARRAY<DOUBLE>, noise DOUBLE"
+    )
+    got = op.fit_cells(cells, 2, 60, 6, kind=kind, max_iter=3, tol=-1e9, start=begin)
+    fit = op.ppca_fit if kind == "ppca" else op.fa_fit
+    noise = 0.7 if kind == "ppca" else psi0
+    want = fit(as_rows(m), 2, max_iter=3, tol=-1e9, error_rate=0, init=Start(c0, noise))
+    rows = got.components().orderBy("col_id").collect()
+    assert np.allclose([r.loadings for r in rows], want.loadings, rtol=1e-8)
+    assert np.allclose([r.noise for r in rows], want.noise, rtol=1e-8)
+    assert np.allclose([h[1] for h in got.history], [h[1] for h in want.history])
+    x = np.array([r.x for r in got.transform(cells).orderBy("row_id").collect()])
+    assert np.allclose(x, m @ want.loadings)
+    drawn = op.fit_cells(cells, 2, 60, 6, kind=kind, max_iter=1)
+    assert drawn.table.count() == 6
