@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import operators as op
 from ..operators.model import Start
 from ..operators.pca import shares_frame
+from ..plans.moments import column_stats
 from ..session import scratch_path
 from ..sources import rows_from_columns
 from . import register as r
@@ -39,11 +40,12 @@ START_NOISE = 0.9
 
 
 def ppca_k1_sql(rounds: int) -> str:
-    return ppca_k1_rounds(zscored(r.CORRELATED, "correlated", 3), START, rounds)
+    ctes = ppca_k1_rounds(zscored(r.CORRELATED, "correlated", 3), START, rounds)
+    return ctes + "\n" + loading_rows(3, f"p{rounds}", "round(ss, 6) AS noise")
 
 
 def ppca_k1_rounds(base: str, first_loadings: tuple, rounds: int) -> str:
-    """Rounds of the one-component fit on the centered columns of CTE ``z``."""
+    """Rounds of the one-component fit on the centered columns of CTE ``z``: p0, p1, ..."""
     n = len(first_loadings)
     first = ", ".join(f"{c}::DOUBLE AS c{j}" for j, c in enumerate(first_loadings))
     ctes = [
@@ -59,7 +61,7 @@ def ppca_k1_rounds(base: str, first_loadings: tuple, rounds: int) -> str:
             f"c{i} AS (SELECT xtx, {each(n, 't{j}, t{j} / xtx AS c{j}')} FROM s{i})",
             f"p{i + 1} AS (SELECT {each(n, 'c{j}')}, (norm2 + xtx * ({add(n, 'c{j} * c{j}')}) - 2 * ({add(n, 'c{j} * t{j}')})) / (n * {n}) AS ss FROM c{i}, total)",
         ]
-    return "WITH " + ",\n".join(ctes) + "\n" + loading_rows(n, f"p{rounds}", "round(ss, 6) AS noise")
+    return "WITH " + ",\n".join(ctes)
 
 
 def fitted_rows(spark, model, **extra):
@@ -75,6 +77,24 @@ def start(n: int, noise) -> Start:
     return Start(np.array((START + (0.2,))[:n])[:, None], noise)
 
 
+def history_sql(rounds: int, n: int = 3) -> str:
+    """Noise variance, its change and the L1 error after every round."""
+    body = ppca_k1_rounds(zscored(r.CORRELATED, "correlated", n), START, rounds)
+    errors = [
+        f"""e{i} AS (SELECT greatest({each(n, f'sum(abs(x * p.c{{j}} - z{{j}}))')})
+  / greatest({each(n, 'sum(abs(z{j}))')}) AS error FROM x{i}, p{i + 1} p)"""
+        for i in range(rounds)
+    ]
+    lines = [
+        f"SELECT {i + 1} AS round, round(p{i + 1}.ss, 6) AS objective, "
+        + (f"round(abs(1 - p{i + 1}.ss / p{i}.ss), 6) + 0.0" if i else "NULL::DOUBLE")
+        + f" AS rel_change, round(error, 6) AS error FROM p{i + 1}, e{i}"
+        + (f", p{i}" if i else "")
+        for i in range(rounds)
+    ]
+    return body + ",\n" + ",\n".join(errors) + "\n" + "\n UNION ALL ".join(lines)
+
+
 @query("ppca_fit_k1", ppca_k1_sql(2))
 def ppca_k1(spark, sf):
     z = op.zscore_rows(r.correlated(spark, sf))
@@ -97,7 +117,8 @@ START5 = START + (0.2, 0.4)
 def cells_k1_sql(rounds: int, n: int = 5) -> str:
     means, centered = each(n, "avg(y{j}) AS m{j}"), each(n, "y{j} - m{j} AS z{j}")
     base = f"{COUNTS_WIDE}, st AS (SELECT {means} FROM wide), z AS (SELECT {centered} FROM wide, st)"
-    return ppca_k1_rounds(base, START5, rounds)
+    ctes = ppca_k1_rounds(base, START5, rounds)
+    return ctes + "\n" + loading_rows(n, f"p{rounds}", "round(ss, 6) AS noise")
 
 
 @query("ppca_fit_cells_k1", cells_k1_sql(2))
@@ -151,6 +172,10 @@ def fa_k1(spark, sf):
 
 
 def missing_k1_sql(rounds: int, n: int = 4) -> str:
+    return missing_k1_rounds(rounds, n) + "\n" + loading_rows(n, f"p{rounds}", "round(ss, 6) AS noise")
+
+
+def missing_k1_rounds(rounds: int, n: int = 4) -> str:
     first = ", ".join(f"{c}::DOUBLE AS c{j}" for j, c in enumerate(START + (0.2,)))
     residual = add(n, "coalesce(pow(x * c{j} - z{j}, 2), 0)")
     ctes = [
@@ -171,7 +196,7 @@ def missing_k1_sql(rounds: int, n: int = 4) -> str:
             f"x{nxt} AS (SELECT {each(n, 'y.z{j}')}, y.x, {each(n, 'k.c{j}')}, k.sx, k.ss FROM y{nxt} y, n{i} k)",
             f"p{nxt} AS (SELECT {each(n, 'max(c{j}) AS c{j}')}, (sum({residual}) + max(n) * ({add(n, 'max(c{j}) * max(c{j})')}) * max(sx) + max(missing) * max(ss)) / (max(n) * {n}) AS ss FROM x{nxt}, total)",
         ]
-    return "WITH " + ",\n".join(ctes) + "\n" + loading_rows(n, f"p{rounds}", "round(ss, 6) AS noise")
+    return "WITH " + ",\n".join(ctes)
 
 
 @query("ppca_missing_fit_k1", missing_k1_sql(3))
@@ -224,68 +249,184 @@ def sv_share(spark, sf):
     return r.one_row(spark, share=op.singular_value_share(z, 2))
 
 
-# --- several components: no SQL form; checked against numpy in tests ---------
+# --- two components: rounds over long tables, 2 x 2 inverses written out -----
+
+
+def inverse2(source: str, name: str, a: str, b: str, d: str, more: str = "") -> str:
+    """CTE with the inverse i00, i01, i11 of [[a, b], [b, d]]."""
+    det = f"(({a}) * ({d}) - ({b}) * ({b}))"
+    return f"{name} AS (SELECT *, ({d}) / {det} AS i00, -({b}) / {det} AS i01, ({a}) / {det} AS i11{more} FROM {source})"
+
+
+def em_k2_sql(cells: str, d: int, kind: str, rounds: int) -> str:
+    """Rounds for both noise models from CTE ``cell`` (row_id, col_id, v).
+
+    With per-column noise ``p`` the map is W = (C / p) (I + C' (C / p))^-1; for a
+    common noise this is C (C'C + p I)^-1, and the M-step matrix is X'X / n + V.
+    """
+    isotropic = kind == "ppca"
+    ctes = [
+        cells,
+        "means AS (SELECT col_id, avg(v) AS m, var_pop(v) AS var FROM cell GROUP BY col_id)",
+        "z AS (SELECT row_id, col_id, v - m AS z FROM cell JOIN means USING (col_id))",
+        "n AS (SELECT count(DISTINCT row_id)::DOUBLE AS n FROM cell)",
+        r.FIXED,
+        "p0 AS (SELECT a.col_id, a.c AS c0, b.c AS c1, 0.5::DOUBLE AS p, var FROM fixed a "
+        "JOIN fixed b USING (col_id) JOIN means USING (col_id) WHERE a.comp = 0 AND b.comp = 1)",
+    ]
+    for i in range(rounds):
+        ctes += [
+            f"g{i} AS (SELECT 1 + sum(c0 * c0 / p) AS a, sum(c0 * c1 / p) AS b, 1 + sum(c1 * c1 / p) AS d FROM p{i})",
+            inverse2(f"g{i}", f"v{i}", "a", "b", "d"),
+            f"w{i} AS (SELECT col_id, (c0 * i00 + c1 * i01) / p AS w0, (c0 * i01 + c1 * i11) / p AS w1 FROM p{i}, v{i})",
+            f"x{i} AS (SELECT row_id, sum(z * w0) AS x0, sum(z * w1) AS x1 FROM z JOIN w{i} USING (col_id) GROUP BY row_id)",
+            f"q{i} AS (SELECT avg(x0 * x0) + max(i00) AS q00, avg(x0 * x1) + max(i01) AS q01, "
+            f"avg(x1 * x1) + max(i11) AS q11 FROM x{i}, v{i})",
+            inverse2(f"q{i}", f"j{i}", "q00", "q01", "q11"),
+            f"t{i} AS (SELECT col_id, sum(z * x0) / max(n) AS t0, sum(z * x1) / max(n) AS t1 "
+            f"FROM z JOIN x{i} USING (row_id), n GROUP BY col_id)",
+            f"c{i} AS (SELECT col_id, var, t0, t1, t0 * i00 + t1 * i01 AS c0, t0 * i01 + t1 * i11 AS c1 "
+            f"FROM t{i} JOIN p{i} USING (col_id), j{i})",
+        ]
+        if isotropic:
+            noise = (
+                "(sum(var) + max(q00) * sum(c0 * c0) + 2 * max(q01) * sum(c0 * c1) + max(q11) * sum(c1 * c1)"
+                f" - 2 * sum(c0 * t0 + c1 * t1)) / {d}"
+            )
+            ctes.append(f"s{i} AS (SELECT {noise} AS p FROM c{i}, q{i})")
+            ctes.append(f"p{i + 1} AS (SELECT col_id, c0, c1, p, var FROM c{i}, s{i})")
+        else:
+            ctes.append(f"p{i + 1} AS (SELECT col_id, c0, c1, var - c0 * t0 - c1 * t1 AS p, var FROM c{i})")
+    last = f"p{rounds}"
+    return "WITH " + ",\n".join(ctes) + "\n" + "\n UNION ALL ".join(
+        f"SELECT col_id, {j} AS comp, round(c{j}, 6) + 0.0 AS loading, round(p, 6) + 0.0 AS noise FROM {last}"
+        for j in (0, 1)
+    )
 
 
 def factor_rows(spark, model):
     return model.components(spark).select(
-        "col_id", F.posexplode(F.coalesce("axes", "loadings")).alias("comp", "loading"), "mean", "noise"
-    )
+        "col_id",
+        F.posexplode(F.coalesce("axes", "loadings")).alias("comp", "loading"),
+        r.rounded(F.col("noise")).alias("noise"),
+    ).withColumn("loading", r.rounded(F.col("loading")))
 
 
-@query("ppca_fit")
+def start2(d: int, noise) -> Start:
+    return Start(r.fixed_loadings(d, 2), noise)
+
+
+@query("ppca_fit", em_k2_sql(r.EMBEDDINGS, r.WIDTH, "ppca", 3))
 def ppca(spark, sf):
-    return factor_rows(spark, op.ppca_fit(r.embeddings(spark, sf), 10, max_iter=20, d=r.WIDTH))
+    df = r.embeddings(spark, sf)
+    model = op.ppca_fit(df, 2, max_iter=3, tol=0, error_tol=-1, init=start2(r.WIDTH, 0.5), d=r.WIDTH)
+    return factor_rows(spark, model)
+
+
+COUNT_CELLS = f"{r.EVENT_COUNTS}, {r.dense_sql('counts')}, cell AS (SELECT row_id, col_id, value AS v FROM dense)"
 
 
-@query("ppca_fit_sparse")
+@query("ppca_fit_sparse", em_k2_sql(COUNT_CELLS, len(r.TYPES), "ppca", 3))
 def ppca_sparse(spark, sf):
     d = len(r.TYPES)
     rows = op.coo_to_sparse(r.event_counts(spark, sf), d, unique=True)
-    return factor_rows(spark, op.ppca_fit(rows, 2, max_iter=10, d=d, persist=True))
+    model = op.ppca_fit(rows, 2, max_iter=3, tol=0, error_tol=-1, init=start2(d, 0.5), d=d, persist=True)
+    return factor_rows(spark, model)
 
 
-@query("fa_fit")
+@query("fa_fit", em_k2_sql(r.EMBEDDINGS, r.WIDTH, "fa", 3))
 def fa(spark, sf):
-    return factor_rows(spark, op.fa_fit(r.embeddings(spark, sf), 10, max_iter=20, d=r.WIDTH))
+    df, psi = r.embeddings(spark, sf), np.full(r.WIDTH, 0.5)
+    model = op.fa_fit(df, 2, max_iter=3, tol=-np.inf, init=start2(r.WIDTH, psi), d=r.WIDTH)
+    return factor_rows(spark, model)
 
 
-@query("fit_history")
-def history(spark, sf):
-    return op.ppca_fit(r.embeddings(spark, sf), 3, max_iter=8, d=r.WIDTH).history_frame(spark)
+@query("fa_fit_cells", em_k2_sql(COUNT_CELLS, len(r.TYPES), "fa", 2))
+def fa_cells(spark, sf):
+    """Per-column noise with the model as a table."""
+    d = len(r.TYPES)
+    cells = r.event_counts(spark, sf)
+    n = cells.select("row_id").distinct().count()
+    begin = spark.createDataFrame(
+        [(j, c.tolist(), 0.5) for j, c in enumerate(r.fixed_loadings(d, 2))],
+        "col_id INT, c ARRAY<DOUBLE>, noise DOUBLE",
+    )
+    model = op.fit_cells(cells, 2, n, d, kind="fa", max_iter=2, tol=-np.inf, start=begin)
+    return (
+        model.components()
+        .select("col_id", F.posexplode("loadings").alias("comp", "loading"), r.rounded(F.col("noise")).alias("noise"))
+        .withColumn("loading", r.rounded(F.col("loading")))
+    )
 
 
 @query("ppca_missing_fit")
 def missing(spark, sf):
-    return factor_rows(spark, op.ppca_missing_fit(r.lineitem_gaps(spark, sf), 2, max_iter=12).model)
+    """Two components, until the objective settles."""
+    return factor_rows(spark, op.ppca_missing_fit(r.lineitem_gaps(spark, sf), 2).model)
 
 
-@query("ppca_missing_scores")
+def missing_scores_sql(rounds: int, n: int = 4) -> str:
+    """Filled rows of the last round on the unit loading vector."""
+    body = missing_k1_rounds(rounds, n)
+    top = f"greatest({each(n, 'abs(c{j})')})"
+    sign = " ".join(f"WHEN abs(c{j}) = top THEN sign(c{j})" for j in range(n))
+    return f"""{body},
+t AS (SELECT {each(n, 'c{j}')}, {top} AS top, sqrt({add(n, 'c{j} * c{j}')}) AS norm FROM n{rounds - 1}),
+a AS (SELECT {each(n, 'c{j} / norm AS a{j}')}, CASE {sign} END AS sgn FROM t)
+SELECT round(sgn * ({add(n, 'f{j} * a{j}')}), 6) + 0.0 AS value FROM y{rounds}, a"""
+
+
+@query("ppca_missing_scores", missing_scores_sql(3))
 def missing_scores(spark, sf):
-    fit = op.ppca_missing_fit(r.lineitem_gaps(spark, sf), 2, max_iter=8)
-    return fit.scores().select("row_id", F.posexplode("x").alias("comp", "value"))
+    fit = op.ppca_missing_fit(
+        r.lineitem_gaps(spark, sf), 1, max_iter=3, tol=0, init=start(4, None), checkpoint_every=2
+    )
+    return fit.scores().select(r.rounded(F.col("x")[0]).alias("value"))
+
 
+def eigenvector_sql(value: str, comp: int) -> str:
+    """Unit eigenvector of the correlation matrix: cross product of two rows of A - value I."""
+    return f"""
+SELECT {comp} AS comp, a * c - b * (1 - {value}) AS v0, a * b - (1 - {value}) * c AS v1,
+       (1 - {value}) * (1 - {value}) - a * a AS v2 FROM co, eig"""
+
+
+def axes_sql() -> str:
+    sign = " ".join(f"WHEN abs(v{j}) = top THEN sign(v{j})" for j in range(3))
+    lines = "\n UNION ALL ".join(
+        f"SELECT comp, {j} AS col_id, round(v{j} / norm * CASE {sign} END, 6) + 0.0 AS loading FROM s" for j in range(3)
+    )
+    return f"""
+WITH {EIGEN}, v AS ({eigenvector_sql('e0', 0)} UNION ALL {eigenvector_sql('e1', 1)}),
+s AS (SELECT *, greatest(abs(v0), abs(v1), abs(v2)) AS top, sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS norm FROM v)
+{lines}"""
 
-@query("canonical_rotation")
+
+@query("canonical_rotation", axes_sql())
 def rotation(spark, sf):
-    df = r.embeddings(spark, sf)
-    model = op.canonical_rotation(df, op.ppca_fit(df, 5, max_iter=30, error_rate=0, d=r.WIDTH))
-    return factor_rows(spark, model)
+    z = op.zscore_rows(r.correlated(spark, sf))
+    model = op.canonical_rotation(z, op.ppca_fit(z, 2, max_iter=2000, tol=1e-15, error_rate=0))
+    return factor_rows(spark, model).select("comp", "col_id", "loading")
 
 
-@query("model_round_trip")
+@query("model_round_trip", ppca_k1_sql(2))
 def round_trip(spark, sf):
     path = scratch_path(spark, "model")
-    model = op.ppca_fit(r.embeddings(spark, sf), 3, max_iter=5, error_rate=0, canonical=True, d=r.WIDTH)
-    model.save(spark, path)
-    return factor_rows(spark, op.FactorModel.load(spark, path))
+    z = op.zscore_rows(r.correlated(spark, sf))
+    op.ppca_fit(z, 1, max_iter=2, tol=0, error_rate=0, init=start(3, START_NOISE)).save(spark, path)
+    return fitted_rows(spark, op.FactorModel.load(spark, path))
 
 
-@query("posterior_scores")
+@query("posterior_scores", f"""
+WITH {r.EMBEDDINGS}, {r.FIXED}, one AS (SELECT col_id, c FROM fixed WHERE comp = 0),
+means AS (SELECT col_id, avg(v) AS m FROM cell GROUP BY col_id), size AS (SELECT sum(c * c) + 0.5 AS m2 FROM one)
+SELECT row_id, round(sum((v - m) * c) / max(m2), 6) + 0.0 AS value
+FROM cell JOIN one USING (col_id) JOIN means USING (col_id), size GROUP BY row_id""")
 def posterior(spark, sf):
     df = r.embeddings(spark, sf)
-    model = op.ppca_fit(df, 3, max_iter=10, error_rate=0, d=r.WIDTH)
-    return model.transform(df, "posterior").select("row_id", F.posexplode("x").alias("comp", "value"))
+    mean = column_stats(df, r.WIDTH).mean
+    model = op.FactorModel("ppca", r.fixed_loadings()[:, :1], mean, np.full(r.WIDTH, 0.5), 0)
+    return model.transform(df, "posterior").select("row_id", r.rounded(F.col("x")[0]).alias("value"))
 
 
 @query("classifier_accuracy")
@@ -307,15 +448,42 @@ def accuracy(spark, sf):
     return spark.createDataFrame(rows, "method STRING, accuracy DOUBLE")
 
 
-@query("model_comparison")
+def comparison_sql() -> str:
+    """Both shares from the eigenvalues of 3 x 3 matrices per group.
+
+    PCA: matrix cov_ij / (n var_i var_j) of the variance-normalised columns, square
+    roots of its eigenvalues.  PPCA with all components: the correlation matrix.
+    """
+    names = [(i, j) for i in range(3) for j in range(i, 3)]
+    pca = ", ".join(f"covar_pop(y{i}, y{j}) / var_pop(y{i}) / var_pop(y{j}) / count(*) AS a{i}{j}" for i, j in names)
+    ppca = ", ".join(f"corr(y{i}, y{j}) AS a{i}{j}" if i != j else f"1.0::DOUBLE AS a{i}{j}" for i, j in names)
+    return f"""
+WITH g AS (SELECT l_returnflag AS grp, l_quantity AS y0, l_quantity * (1 - l_discount) AS y1,
+                  l_extendedprice / 1000 AS y2 FROM lineitem),
+m AS (SELECT 'pca' AS method, grp, {pca} FROM g GROUP BY grp UNION ALL SELECT 'ppca', grp, {ppca} FROM g GROUP BY grp),
+q AS (SELECT *, (a00 + a11 + a22) / 3 AS q FROM m),
+p AS (SELECT *, sqrt(((a00 - q) ** 2 + (a11 - q) ** 2 + (a22 - q) ** 2 + 2 * (a01 ** 2 + a02 ** 2 + a12 ** 2)) / 6) AS p FROM q),
+d AS (SELECT *, ((a00 - q) * ((a11 - q) * (a22 - q) - a12 * a12) - a01 * (a01 * (a22 - q) - a12 * a02)
+              + a02 * (a01 * a12 - (a11 - q) * a02)) / (2 * p ** 3) AS d FROM p),
+f AS (SELECT *, acos(least(1, greatest(-1, d))) / 3 AS phi FROM d),
+e AS (SELECT method, grp, q + 2 * p * cos(phi) AS e0, q + 2 * p * cos(phi + 2 * pi() / 3) AS e2, 3 * q AS total FROM f),
+v AS (SELECT method, grp, e0, total - e0 - e2 AS e1, e2, total FROM e)
+SELECT method, grp, round(CASE WHEN method = 'ppca' THEN (e0 + e1) / total
+  ELSE (sqrt(e0) + sqrt(e1)) / (sqrt(e0) + sqrt(e1) + sqrt(e2)) END, 6) AS share FROM v"""
+
+
+@query("model_comparison", comparison_sql())
 def comparison(spark, sf):
+    """Groups by return flag, one fit each; every group is read as a filtered scan."""
     items = r.table(spark, sf, "lineitem")
+    flags = sorted(row[0] for row in items.select("l_returnflag").distinct().collect())
     groups = {
         flag: rows_from_columns(
             items.filter(F.col("l_returnflag") == flag),
             ["l_quantity", F.col("l_quantity") * (1 - F.col("l_discount")), F.col("l_extendedprice") / 1000],
             "l_orderkey",
         )
-        for flag in ("A", "N", "R")
+        for flag in flags
     }
-    return op.model_comparison(groups, 2, max_iter=8)
+    out = op.model_comparison(groups, 2, max_iter=7)
+    return out.withColumn("share", r.rounded(F.col("share")))

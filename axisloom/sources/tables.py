@@ -13,10 +13,7 @@ def _key(key: str | Column) -> Column:
 
 
 def rows_from_columns(df: DataFrame, columns: Sequence[str | Column], key: str | Column) -> DataFrame:
-    """Dense rows from numeric columns.
-
-    Catalyst folds ``y[j]`` back to the column, so narrow scans stay narrow.
-    """
+    """Dense rows from numeric columns; only those columns are read from the source."""
     cells = [(F.col(c) if isinstance(c, str) else c).cast("double") for c in columns]
     return df.select(_key(key), F.array(*cells).alias("y"))
 
