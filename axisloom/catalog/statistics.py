@@ -128,7 +128,7 @@ WITH cell AS (SELECT label, unnest(range(0, len(embedding))) AS col_id, unnest(e
 SELECT label, CAST(col_id AS INTEGER) AS col_id, round(sum(CAST(v AS DOUBLE)), 6) + 0.0 AS value
 FROM cell GROUP BY label, col_id""")
 def array_sums(spark, sf):
-    sums = op.array_sum(r.table(spark, sf, "embeddings").select("label", "embedding"), "embedding", "label")
+    sums = op.array_sum(r.table(spark, sf, "embeddings").select("label", "embedding"), "embedding", "label", d=r.WIDTH)
     long = sums.select("label", F.posexplode("total").alias("col_id", "value"))
     return long.select("label", "col_id", r.rounded(F.col("value")).alias("value"))
 

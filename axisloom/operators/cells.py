@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.joins import join_lookup
+from ..session import checkpoint
 from .rows import coo_to_rows
 
 
@@ -47,13 +49,10 @@ def frobenius_norm2_cells(cells: DataFrame, n_rows: int) -> DataFrame:
 
 
 def center_nonzero(cells: DataFrame, n_rows: int) -> DataFrame:
-    """v - column mean at the stored cells only (zeros stay implicit).
-
-    The means have one row per column; Spark broadcasts them when small and
-    otherwise joins by column, where adaptive execution splits a hot column.
-    """
+    """v - column mean at the stored cells only (zeros stay implicit)."""
     means = column_sums_cells(cells).select("col_id", (F.col("s") / F.lit(float(n_rows))).alias("m"))
-    return cells.join(means, "col_id").select("row_id", "col_id", (F.col("value") - F.col("m")).alias("value"))
+    joined = join_lookup(cells, checkpoint(means), ["col_id"], "row_id")
+    return joined.select("row_id", "col_id", (F.col("value") - F.col("m")).alias("value"))
 
 
 def min_obs_cells(cells: DataFrame, min_obs: float = -1e3) -> DataFrame:
@@ -61,7 +60,7 @@ def min_obs_cells(cells: DataFrame, min_obs: float = -1e3) -> DataFrame:
     if min_obs <= 0:
         return cells
     kept = cells.groupBy("col_id").agg(F.count("value").alias("n")).filter(F.col("n") >= min_obs)
-    return cells.join(kept.select("col_id"), "col_id", "left_semi")
+    return join_lookup(cells, checkpoint(kept.select("col_id")), ["col_id"], "row_id", how="left_semi")
 
 
 def trial_mean(trials: DataFrame) -> DataFrame:
@@ -75,9 +74,8 @@ def remove_trial_mean(trials: DataFrame) -> DataFrame:
     Aggregate and join rather than a window: a window would bring every trial
     of a hot (cell, t) into one task, while this join can be split.
     """
-    return trials.join(trial_mean(trials), ["cell", "t"]).select(
-        "cell", "trial", "t", (F.col("value") - F.col("mean")).alias("value")
-    )
+    joined = join_lookup(trials, checkpoint(trial_mean(trials)), ["cell", "t"], "trial")
+    return joined.select("cell", "trial", "t", (F.col("value") - F.col("mean")).alias("value"))
 
 
 def trials_to_matrix(trials: DataFrame, n_cells: int, n_times: int) -> DataFrame:

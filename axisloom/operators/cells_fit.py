@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.joins import join_lookup
 from ..session import checkpoint
 from .cells import column_sums_cells
 from .factor import MIN_NOISE
@@ -41,11 +42,10 @@ def _gather(df: DataFrame, key: str, out: str, k: int) -> DataFrame:
 def latent_scores_cells(cells: DataFrame, matrix: DataFrame, k: int, col: str = "w") -> DataFrame:
     """x = y M from cells and ``col_id, <col> ARRAY<DOUBLE>``: ``row_id, x``.
 
-    One row per column on the right-hand side: Spark broadcasts it when it is
-    small, and otherwise splits the cells of a hot column (adaptive skew join).
+    The matrix is broadcast when small; beyond that hot columns are salted.
     Products combine per row before the shuffle.
     """
-    joined = cells.join(matrix.select("col_id", col), "col_id")
+    joined = join_lookup(cells, matrix.select("col_id", col), ["col_id"], "row_id", 32 + 8 * k)
     return _gather(joined.groupBy("row_id").agg(*_weighted_sum(F.col("value"), col, k)), "row_id", "x", k)
 
 

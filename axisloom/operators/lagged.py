@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import densify
 from ..plans.blocks import list_array
 from ..plans.budget import BLOCK_CELLS
+from ..plans.joins import join_lookup
 
 TILE = 512
 
@@ -184,7 +185,8 @@ def lagged_covariance(
     """
     # values near their series' level keep the cross sums small; covariance does not change
     level = cells.groupBy("series").agg(F.avg("value").alias("level"))
-    centered = cells.join(level, "series").select("series", "t", (F.col("value") - F.col("level")).alias("value"))
+    joined = join_lookup(cells, level, ["series"], "t", n_rows=n_series)
+    centered = joined.select("series", "t", (F.col("value") - F.col("level")).alias("value"))
     rows = _tile_rows(centered, n_series, tile)
     sums = _pair_sums(rows, n_series, window, tile, bucket).withColumn("cov", _covariance(ddof))
     both = sums.select(
@@ -221,7 +223,7 @@ def scatter_pairs(df: DataFrame, d: int, ddof: int = 0, tile: int = TILE) -> Dat
     from ..functions import literal_array
     from ..plans.moments import head_shift
 
-    origin = literal_array(head_shift(df, d))
+    origin = literal_array(head_shift(df, d)[1])
     near = df.select(
         F.monotonically_increasing_id().alias("t"),
         F.zip_with("y", origin, lambda a, m: a - m).alias("y"),

@@ -30,10 +30,16 @@ def coo_to_rows(cells: DataFrame, d: int, unique: bool = False, missing: str = "
     """Cells -> dense rows of ``d`` columns; repeated cells add up.
 
     Cells from column ``d`` on are dropped.  ``unique=True`` promises that no
-    cell repeats and saves a shuffle.  ``missing`` fills the absent cells.
+    cell repeats and saves a shuffle; a repeated cell then raises.  ``missing``
+    fills the absent cells.
     """
     rows = _entries(cells.filter((F.col("col_id") >= 0) & (F.col("col_id") < d)), unique)
-    return rows.select("row_id", densify("e", d, missing).alias("y"))
+    y = densify("e", d, missing)
+    if not unique:
+        return rows.select("row_id", y.alias("y"))
+    repeated = F.size("e") != F.size(F.array_distinct(F.col("e.c")))
+    problem = F.raise_error(F.lit("repeated cell in a matrix announced as unique")).cast("array<double>")
+    return rows.select("row_id", F.when(repeated, problem).otherwise(y).alias("y"))
 
 
 def coo_to_sparse(cells: DataFrame, d: int, unique: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.blocks import flat_sum, iter_blocks, width
-from ..plans.budget import MAX_GRAM_COLUMNS
+from ..plans.budget import MAX_GRAM_COLUMNS, MAX_WIDE_AGGREGATES
 from ..plans.moments import column_stats, iter_sparse_blocks, moment_source, scatter
 from .lagged import scatter_pairs
 
@@ -95,12 +95,17 @@ def l1_ratio(err: np.ndarray, norm: np.ndarray) -> float:
     return float(np.max(err, initial=0.0)) / top if top > 0 else 0.0
 
 
-def array_sum(df: DataFrame, array: str, *keys: str) -> DataFrame:
-    """Element-wise sums of an array column per group.
+def array_sum(df: DataFrame, array: str, *keys: str, d: int | None = None) -> DataFrame:
+    """Element-wise sums of an array column per group: ``keys, total``.
 
-    Sums by (key, position) combine before the shuffle and spread a hot key over
-    its positions; only the sums are put back into arrays.
+    Arrays of known, moderate length ``d`` are summed position by position
+    without being taken apart.  Otherwise sums by (key, position) combine before
+    the shuffle and spread a hot key over its positions.
     """
+    if d is not None and d <= MAX_WIDE_AGGREGATES:
+        sums = [F.sum(F.col(array)[j].cast("double")).alias(f"s{j}") for j in range(d)]
+        total = F.array(*[F.col(f"s{j}") for j in range(d)])
+        return df.groupBy(*keys).agg(*sums).select(*keys, total.alias("total"))
     flat = df.select(*keys, F.posexplode(array).alias("pos", "v"))
     sums = flat.groupBy(*keys, "pos").agg(F.sum(F.col("v").cast("double")).alias("v"))
     whole = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("e"))

@@ -10,7 +10,9 @@ MAX_WIDE_PRODUCTS = 128
 MAX_GRAM_COLUMNS = 512
 # model arrays that are shipped to every task
 MAX_CLOSURE_BYTES = 1 << 30
-# small lookup tables
+# lookup tables that are broadcast
+MAX_BROADCAST_BYTES = 64 << 20
+# the same for file splits, counted in rows
 MAX_BROADCAST_ROWS = 200_000
 # cells of one numpy work block inside a task
 BLOCK_CELLS = 1 << 20

@@ -46,23 +46,23 @@ class ColumnStats:
         return float(np.sum(self.var_pop * self.count))
 
 
-def head_shift(df: DataFrame, d: int) -> np.ndarray:
-    """Column means of a few rows: only a numerically convenient origin."""
+def head_shift(df: DataFrame, d: int | None = None) -> tuple[int, np.ndarray]:
+    """(number of columns, column means of a few rows); the means are only a
+    numerically convenient origin."""
     rows = [r[0] for r in df.select("y").limit(HEAD_ROWS).collect()]
     if not rows:
         raise ValueError("empty matrix")
+    d = len(rows[0]) if d is None else d
     if any(len(y) != d for y in rows):
         raise ValueError(f"ragged matrix rows: expected {d} values in each")
     block = np.array(rows, dtype=float).reshape(len(rows), d)
     ok = np.isfinite(block)
-    n = ok.sum(axis=0)
-    return np.where(ok, block, 0.0).sum(axis=0) / np.maximum(n, 1)
+    return d, np.where(ok, block, 0.0).sum(axis=0) / np.maximum(ok.sum(axis=0), 1)
 
 
 def column_stats(df: DataFrame, d: int | None = None) -> ColumnStats:
     """Counts, means and population variances; NULL and NaN cells are left out."""
-    d = width(df, d)
-    shift = head_shift(df, d)
+    d, shift = head_shift(df, d)
     if 3 * d + 1 <= 92:
         aggs = [F.count("*").alias("n")]
         for j in range(d):
@@ -99,8 +99,7 @@ def column_stats(df: DataFrame, d: int | None = None) -> ColumnStats:
 
 def scatter(df: DataFrame, d: int | None = None) -> tuple[int, np.ndarray, np.ndarray]:
     """(N, mean, Yc'Yc) in one pass over complete rows."""
-    d = width(df, d)
-    shift = head_shift(df, d)
+    d, shift = head_shift(df, d)
     if wide_gram_fits(d):
         z = [F.col("y")[j] - F.lit(float(shift[j])) for j in range(d)]
         aggs = [F.count("*").alias("n")]
