@@ -373,7 +373,7 @@ def missing_scores_sql(rounds: int, n: int = 4) -> str:
     return f"""{body},
 t AS (SELECT {each(n, 'c{j}')}, {top} AS top, sqrt({add(n, 'c{j} * c{j}')}) AS norm FROM n{rounds - 1}),
 a AS (SELECT {each(n, 'c{j} / norm AS a{j}')}, CASE {sign} END AS sgn FROM t)
-SELECT round(sgn * ({add(n, 'f{j} * a{j}')}), 6) + 0.0 AS value FROM y{rounds}, a"""
+SELECT round(sgn * ({add(n, 'f{j} * a{j}')}), 4) + 0.0 AS value FROM y{rounds}, a"""
 
 
 @query("ppca_missing_scores", missing_scores_sql(3))
@@ -381,7 +381,7 @@ def missing_scores(spark, sf):
     fit = op.ppca_missing_fit(
         r.lineitem_gaps(spark, sf), 1, max_iter=3, tol=0, init=start(4, None), checkpoint_every=2
     )
-    return fit.scores().select(r.rounded(F.col("x")[0]).alias("value"))
+    return fit.scores().select(r.rounded(F.col("x")[0], 4).alias("value"))
 
 
 def eigenvector_sql(value: str, comp: int) -> str:

@@ -128,7 +128,7 @@ WITH cell AS (SELECT label, unnest(range(0, len(embedding))) AS col_id, unnest(e
 SELECT label, CAST(col_id AS INTEGER) AS col_id, round(sum(CAST(v AS DOUBLE)), 6) + 0.0 AS value
 FROM cell GROUP BY label, col_id""")
 def array_sums(spark, sf):
-    sums = op.array_sum(r.table(spark, sf, "embeddings").select("label", "embedding"), "embedding", "label", d=r.WIDTH)
+    sums = op.array_sum(r.table(spark, sf, "embeddings").select("label", "embedding"), "embedding", "label")
     long = sums.select("label", F.posexplode("total").alias("col_id", "value"))
     return long.select("label", "col_id", r.rounded(F.col("value")).alias("value"))
 
@@ -215,7 +215,7 @@ WITH daily AS (
 per_lag AS (
   SELECT a.series AS s1, b.series AS s2, lag, covar_samp(a.value, b.value) AS c
   FROM daily a CROSS JOIN range(-1, 2) l(lag) JOIN daily b ON b.t = a.t - lag GROUP BY 1, 2, 3)
-SELECT s1, s2, round(sum(c), 4) + 0.0 AS value FROM per_lag GROUP BY s1, s2""")
+SELECT s1, s2, round(sum(c), 3) + 0.0 AS value FROM per_lag GROUP BY s1, s2""")
 def lagged_users(spark, sf):
     """Many series (every user, by day)."""
     daily = (
@@ -228,7 +228,7 @@ def lagged_users(spark, sf):
     )
     n = daily.agg(F.max("series")).first()[0] + 1
     out = op.lagged_covariance(daily, 1, n)
-    return out.withColumn("value", r.rounded(F.col("value"), 4))
+    return out.withColumn("value", r.rounded(F.col("value"), 3))
 
 
 @query("score_summary", """

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import center, densify, literal_array
 from ..plans.blocks import linear_rows, map_rows, width
-from ..plans.budget import MAX_WIDE_PRODUCTS
+from ..plans.budget import MAX_WIDE_COLUMNS
 from ..plans.moments import ColumnStats, column_stats
 
 
@@ -85,7 +85,7 @@ def center_rows(df: DataFrame, stats: ColumnStats | None = None) -> DataFrame:
 
 
 def _scaled(df: DataFrame, stats: ColumnStats, divisor: np.ndarray) -> DataFrame:
-    if stats.d <= MAX_WIDE_PRODUCTS:
+    if stats.d <= MAX_WIDE_COLUMNS:
         cells = [
             (F.col("y")[j] - float(stats.mean[j])) / F.lit(float(divisor[j])) for j in range(stats.d)
         ]

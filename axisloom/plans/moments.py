@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .blocks import flat_sum, iter_blocks, width
-from .budget import BLOCK_CELLS, check_bytes, gram_fits, wide_gram_fits
+from .budget import BLOCK_CELLS, MAX_WIDE_AGGREGATES, check_bytes, gram_fits, wide_gram_fits
 
 HEAD_ROWS = 256
 
@@ -63,7 +63,7 @@ def head_shift(df: DataFrame, d: int | None = None) -> tuple[int, np.ndarray]:
 def column_stats(df: DataFrame, d: int | None = None) -> ColumnStats:
     """Counts, means and population variances; NULL and NaN cells are left out."""
     d, shift = head_shift(df, d)
-    if 3 * d + 1 <= 92:
+    if 3 * d + 1 <= MAX_WIDE_AGGREGATES:
         aggs = [F.count("*").alias("n")]
         for j in range(d):
             y = F.nanvl(F.col("y")[j], F.lit(None).cast("double")) - F.lit(float(shift[j]))

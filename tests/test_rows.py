@@ -12,7 +12,7 @@ def values(df, col="y"):
     return np.array([[np.nan if v is None else v for v in r[col]] for r in df.orderBy("row_id").collect()])
 
 
-@pytest.fixture(scope="module", params=[5, 140])
+@pytest.fixture(scope="module", params=[4, 40])
 def m(request):
     """Narrow (SQL plan) and wide (Arrow plan) rows."""
     return low_rank(60, request.param, 3) + 1e3
@@ -56,7 +56,7 @@ def test_scatter_and_norm(as_rows, m):
     assert np.allclose(op.normalized_scatter(as_rows(m)), z.T @ z, rtol=1e-6, atol=1e-12)
     assert np.isclose(op.frobenius_norm2(as_rows(m)), ((m - m.mean(axis=0)) ** 2).sum())
     s = np.linalg.svd(z)[1]
-    assert np.isclose(op.singular_value_share(as_rows(m[:, :5]), 2), _share(m[:, :5], 2))
+    assert np.isclose(op.singular_value_share(as_rows(m[:, :4]), 2), _share(m[:, :4], 2))
     assert len(s)
 
 
