@@ -175,3 +175,24 @@ def projected(spark, sf):
         for mode in ("raw", "centered")
     ]
     return parts[0].unionAll(parts[1])
+
+
+@query("project_rows_sparse", f"""
+WITH {r.EVENT_COUNTS}, {r.FIXED}
+SELECT row_id, comp AS col_id, round(sum(value * c), 6) + 0.0 AS value
+FROM counts JOIN fixed USING (col_id) GROUP BY row_id, comp""")
+def projected_sparse(spark, sf):
+    d = len(r.TYPES)
+    rows = op.coo_to_sparse(r.event_counts(spark, sf), d, unique=True)
+    model = op.FactorModel("ppca", r.fixed_loadings(d), np.zeros(d), np.ones(d), 0)
+    return r.cells(model.transform(rows), "x")
+
+
+@query("latent_scores_cells", f"""
+WITH {r.EVENT_SUMS}, {r.FIXED}
+SELECT row_id, comp AS col_id, round(sum(value * w), 6) + 0.0 AS value
+FROM sums JOIN fixed USING (col_id) GROUP BY row_id, comp""")
+def scores_cells(spark, sf):
+    d = len(r.TYPES)
+    w = spark.createDataFrame([(j, row.tolist()) for j, row in enumerate(r.fixed_map(d))], "col_id INT, w ARRAY<DOUBLE>")
+    return r.cells(op.latent_scores_cells(r.event_sums(spark, sf), w, r.COMPONENTS), "x")

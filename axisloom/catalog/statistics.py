@@ -232,11 +232,11 @@ def lagged_users(spark, sf):
 
 
 @query("score_summary", """
-SELECT event_type AS method, CAST(user_id % 4 AS INTEGER) AS grp, count(value) AS n, round(avg(value), 6) + 0.0 AS mean,
+SELECT event_type AS method, CAST(isodow(ts) - 1 AS INTEGER) AS grp, count(value) AS n, round(avg(value), 6) + 0.0 AS mean,
        round(stddev_pop(value), 6) + 0.0 AS sd FROM events GROUP BY 1, 2""")
 def summary(spark, sf):
     scores = r.table(spark, sf, "events").select(
-        F.col("event_type").alias("method"), (F.col("user_id") % 4).cast("int").alias("grp"), "value"
+        F.col("event_type").alias("method"), F.expr("weekday(to_date(ts))").alias("grp"), "value"
     )
     out = op.score_summary(scores, "value", "method", "grp")
     return out.select("method", "grp", "n", r.rounded(F.col("mean")).alias("mean"), r.rounded(F.col("sd")).alias("sd"))

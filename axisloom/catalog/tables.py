@@ -106,6 +106,15 @@ def converted(spark, sf):
     return r.cells(convert_matrix(spark, path, "COO", out, base=0, d=len(r.TYPES)))
 
 
+@query("convert_matrix_sparse", f"WITH {r.EVENT_COUNTS} SELECT row_id, col_id, value FROM counts WHERE value <> 0")
+def converted_sparse(spark, sf):
+    path, out = scratch_path(spark, "coo"), scratch_path(spark, "converted")
+    r.event_counts(spark, sf).write.csv(path)
+    convert_matrix(spark, path, "COO", out, base=0, d=len(r.TYPES), sparse=True)
+    entries = scan_rows(spark, out, len(r.TYPES)).select("row_id", F.explode(F.arrays_zip("idx", "val")).alias("e"))
+    return entries.select("row_id", F.col("e.idx").alias("col_id"), F.col("e.val").alias("value"))
+
+
 def _count_rows(spark, sf):
     return coo_to_rows(r.event_counts(spark, sf), len(r.TYPES), unique=True)
 

@@ -41,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     option(convert, "Output", required=True)
     option(convert, "Base", type=int, choices=(0, 1), help="index base of COO input")
     option(convert, "Cardinality", type=int, help="number of columns")
+    option(convert, "Sparse", action="store_true", help="store sparse rows (COO input)")
     for name, text in (("ppca", "isotropic noise"), ("fa", "noise per column")):
         fit = jobs.add_parser(name, help=text, allow_abbrev=False)
         option(fit, "i", required=True, help="stored rows (see convert)")
@@ -64,18 +65,20 @@ def run(spark: SparkSession, args: list[str]):
     if a.job == "convert":
         if a.InputFmt == "COO" and a.Base is None:
             parser().error("COO input needs -Base")
-        convert_matrix(spark, a.Input, a.InputFmt, a.Output, a.Base, a.Cardinality)
+        convert_matrix(spark, a.Input, a.InputFmt, a.Output, a.Base, a.Cardinality, a.Sparse)
         return None
     rows = scan_rows(spark, a.i, a.cols)
     fit = ppca_fit if a.job == "ppca" else fa_fit
+    if "idx" in rows.columns and a.cols is None:
+        parser().error("sparse rows need -cols")
     model = fit(
-        rows, a.pcs, max_iter=a.maxIter, error_rate=a.errSampleRate, n_rows=a.rows, init=a.seed,
+        rows, a.pcs, d=a.cols, max_iter=a.maxIter, error_rate=a.errSampleRate, n_rows=a.rows, init=a.seed,
         canonical=a.canonical,
     )
     model.save(spark, os.path.join(a.o, "model"))
     write_matrix(model.loading_rows(spark), os.path.join(a.o, "PCs.txt"), a.outFmt)
     if a.computeProjectedMatrix:
-        write_projected(model.transform(rows.select("row_id", "y")), a.o, a.projectedFmt)
+        write_projected(model.transform(rows), a.o, a.projectedFmt)
     return model
 
 

@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import densify
-from ..plans.blocks import list_array
+from ..plans.blocks import dense_block, list_array
 from ..plans.budget import BLOCK_CELLS
 from ..plans.joins import join_lookup
 
 TILE = 512
 
 
-def _tile_rows(cells: DataFrame, n_series: int, tile: int) -> DataFrame:
+def _tile_rows(cells: DataFrame, tile: int) -> DataFrame:
     """``t, tile, y``: the values of one tile at one time, NULL where absent."""
     entry = F.struct((F.col("series") % tile).cast("int").alias("c"), F.col("value").alias("v"))
     rows = (
@@ -28,7 +28,7 @@ def _tile_rows(cells: DataFrame, n_series: int, tile: int) -> DataFrame:
         .groupBy("t", "tile")
         .agg(F.array_sort(F.collect_list(entry)).alias("e"))
     )
-    return rows.select("t", "tile", densify("e", min(tile, n_series), "NULL").alias("y"))
+    return rows.select("t", "tile", densify("e", tile, "NULL").alias("y"))
 
 
 def _pair_rows(rows: DataFrame, n_tiles: int, window: int, bucket: int) -> DataFrame:
@@ -79,8 +79,8 @@ def _accumulator(window: int, bucket: int, tile: int):
                     held = []
                 key = here
                 part = batch.slice(lo, hi - lo)
-                y = part.column(5).flatten().to_numpy(zero_copy_only=False).astype(float)
-                held.append((part.column(3).to_numpy(), part.column(4).to_numpy(), y.reshape(hi - lo, -1)))
+                y = dense_block(part.column(5), tile)
+                held.append((part.column(3).to_numpy(), part.column(4).to_numpy(), y))
         if key is not None:
             yield key, held
 
@@ -142,7 +142,7 @@ def _pair_sums(rows: DataFrame, n_series: int, window: int, tile: int, bucket: i
     """``lag, i, j`` with n, sum a, sum b, sum ab over the times both are observed."""
     n_tiles = -(-n_series // tile)
     if bucket is None:
-        bucket = max(window, BLOCK_CELLS // min(tile, n_series), 1)
+        bucket = max(window, BLOCK_CELLS // tile, 1)
     if bucket < window:
         raise ValueError("a bucket must be at least as long as the window")
     pairs = _pair_rows(rows, n_tiles, window, bucket)
@@ -187,7 +187,8 @@ def lagged_covariance(
     level = cells.groupBy("series").agg(F.avg("value").alias("level"))
     joined = join_lookup(cells, level, ["series"], "t", n_rows=n_series)
     centered = joined.select("series", "t", (F.col("value") - F.col("level")).alias("value"))
-    rows = _tile_rows(centered, n_series, tile)
+    tile = min(tile, n_series)
+    rows = _tile_rows(centered, tile)
     sums = _pair_sums(rows, n_series, window, tile, bucket).withColumn("cov", _covariance(ddof))
     both = sums.select(
         "cov",
@@ -228,6 +229,7 @@ def scatter_pairs(df: DataFrame, d: int, ddof: int = 0, tile: int = TILE) -> Dat
         F.monotonically_increasing_id().alias("t"),
         F.zip_with("y", origin, lambda a, m: a - m).alias("y"),
     )
+    tile = min(tile, d)
     n_tiles = -(-d // tile)
     starts = F.sequence(F.lit(0), F.lit(n_tiles - 1))
     blank = F.expr(f"array_repeat(cast(NULL AS double), {n_tiles * tile - d})")

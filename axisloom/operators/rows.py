@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import center, densify, literal_array
 from ..plans.blocks import linear_rows, map_rows, width
 from ..plans.budget import MAX_WIDE_COLUMNS
-from ..plans.moments import ColumnStats, column_stats
+from ..plans.moments import ColumnStats, column_stats, sparse_linear_rows
 
 
 def _with_y(df: DataFrame, y) -> DataFrame:
@@ -160,9 +160,11 @@ def fill_missing(df: DataFrame) -> DataFrame:
 
 
 def latent_scores(df: DataFrame, matrix: np.ndarray, mean: np.ndarray | None = None) -> DataFrame:
-    """x = y M, or (y - mean) M when a mean is given; zeros need no special case."""
+    """x = y M, or (y - mean) M when a mean is given, for dense or sparse rows."""
     matrix = np.asarray(matrix, float)
     offset = None if mean is None else -(np.asarray(mean, float) @ matrix)
+    if "idx" in df.columns:
+        return sparse_linear_rows(df, matrix, offset)
     return linear_rows(df, matrix, "x", offset)
 
 

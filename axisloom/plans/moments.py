@@ -15,9 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .blocks import flat_sum, iter_blocks, width
+from .blocks import flat_sum, iter_blocks, list_array, width
 from .budget import BLOCK_CELLS, MAX_WIDE_AGGREGATES, check_bytes, gram_fits, wide_gram_fits
 
 HEAD_ROWS = 256
@@ -278,6 +278,23 @@ def sparse_times(rows, cols, values, n, matrix) -> np.ndarray:
     return out
 
 
+def sparse_linear_rows(df: DataFrame, matrix: np.ndarray, offset: np.ndarray | None = None) -> DataFrame:
+    """Sparse rows times a (d, k) matrix plus an offset: ``x`` in place of ``idx, val``."""
+    check_bytes("projection matrix", matrix.size)
+    keep = [c for c in df.columns if c not in ("idx", "val")]
+    x_field = T.StructField("x", T.ArrayType(T.DoubleType()))
+
+    def task(batches):
+        for batch in batches:
+            rows, cols, values = sparse_arrays(batch)
+            x = sparse_times(rows, cols, values, batch.num_rows, matrix)
+            same = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            x = x if offset is None else x + offset
+            yield pa.RecordBatch.from_arrays(same + [list_array(x)], names=[*keep, "x"])
+
+    return df.mapInArrow(task, T.StructType([*[df.schema[c] for c in keep], x_field]))
+
+
 class SparseMoments(_PassMoments):
     """Sparse rows ``idx, val``: means are carried apart, zeros are never visited
     (except for the error, which is dense in every row)."""

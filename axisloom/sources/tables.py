@@ -27,6 +27,14 @@ def rows_from_vectors(df: DataFrame, vector: str, key: str | Column) -> DataFram
 
 
 def scan_rows(spark: SparkSession, path: str, d: int | None = None) -> DataFrame:
-    """Stored dense rows; columns from ``d`` on are dropped."""
-    df = spark.read.parquet(path).select("row_id", "y")
+    """Stored rows, dense (``y``) or sparse (``idx, val``).
+
+    Columns from ``d`` on are dropped, in sparse rows also zeros.
+    """
+    df = spark.read.parquet(path)
+    if "idx" in df.columns:
+        kept = lambda e: (e["val"] != 0) if d is None else (e["val"] != 0) & (e["idx"] < d)
+        df = df.select("row_id", F.filter(F.arrays_zip("idx", "val"), kept).alias("e"))
+        return df.select("row_id", F.col("e.idx").alias("idx"), F.col("e.val").alias("val"))
+    df = df.select("row_id", "y")
     return df if d is None else df.withColumn("y", F.slice("y", 1, d))

@@ -87,21 +87,27 @@ def convert_matrix(
     out: str,
     base: int | None = None,
     d: int | None = None,
+    sparse: bool = False,
     mode: str = "errorifexists",
 ) -> DataFrame:
-    """Text matrix -> stored dense rows (parquet); returns the stored table."""
+    """Text matrix -> stored rows (parquet); returns the stored table.
+
+    Rows are dense unless ``sparse`` is asked for, which COO input allows.
+    """
     fmt = fmt.upper()
     if fmt not in FORMATS:
         raise ValueError(f"unknown input format {fmt!r}; use one of {FORMATS}")
     if fmt == "COO":
-        from ..operators.rows import coo_to_rows
+        from ..operators.rows import coo_to_rows, coo_to_sparse
 
         if base is None:
             raise ValueError("COO input needs its index base (0 or 1)")
         cells = read_coo(spark, path, base)
         if d is None:
             d = cells.agg(F.max("col_id")).first()[0] + 1
-        rows = coo_to_rows(cells, d)
+        rows = coo_to_sparse(cells, d) if sparse else coo_to_rows(cells, d)
+    elif sparse:
+        raise ValueError("sparse rows need COO input")
     else:
         rows = read_dense(spark, path, d)
     rows.write.mode(mode).parquet(out)

@@ -27,6 +27,18 @@ def test_convert_then_fit_then_project(spark, tmp_path):
     assert np.array_equal(FactorModel.load(spark, os.path.join(out, "model")).loadings, model.loadings)
 
 
+def test_sparse_job(spark, tmp_path):
+    text = tmp_path / "coo.txt"
+    text.write_text("\n".join(f"{i},{j},{TOY[i, j]}" for i in range(7) for j in range(5) if TOY[i, j]))
+    rows, out = str(tmp_path / "rows"), str(tmp_path / "out")
+    run(spark, ["convert", "-Input", str(text), "-InputFmt", "COO", "-Base", "0", "-Output", rows, "-Sparse"])
+    model = run(spark, ["ppca", "-i", rows, "-o", out, "-cols", "5", "-pcs", "2", "-computeProjectedMatrix", "1"])
+    projected = spark.read.parquet(os.path.join(out, "ProjectedMatrix")).orderBy("row_id").collect()
+    assert np.allclose([r.x for r in projected], TOY @ model.loadings)
+    with pytest.raises(SystemExit):
+        run(spark, ["ppca", "-i", rows, "-o", out, "-pcs", "2"])
+
+
 def test_fa_job(spark, tmp_path):
     rng = np.random.default_rng(0)
     text = tmp_path / "m.txt"

@@ -222,6 +222,19 @@ def test_transform_modes(as_rows):
         model.transform(as_rows(m), "other")
 
 
+def test_projection_accepts_a_stream(spark, as_rows, tmp_path):
+    m = low_rank(40, 30)
+    rows, out = str(tmp_path / "rows"), str(tmp_path / "out")
+    as_rows(m).write.parquet(rows)
+    model = op.ppca_fit(as_rows(m), 2, max_iter=2, error_rate=0)
+    stream = spark.readStream.schema("row_id BIGINT, y ARRAY<DOUBLE>").parquet(rows)
+    writer = model.transform(stream, "centered").writeStream.format("parquet").trigger(availableNow=True)
+    run = writer.option("checkpointLocation", str(tmp_path / "state")).start(out)
+    run.awaitTermination(120)
+    got = [r.x for r in spark.read.parquet(out).orderBy("row_id").collect()]
+    assert np.allclose(got, (m - m.mean(axis=0)) @ model.loadings)
+
+
 def test_result_does_not_depend_on_partitioning(as_rows):
     m = low_rank(90, 40)
     fits = [op.ppca_fit(as_rows(m, parts), 3, max_iter=5, plan="rows", error_rate=0) for parts in (1, 5, 64)]
