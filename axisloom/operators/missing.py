@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, types as T
 from ..plans.blocks import dense_block, flat_sum, list_array, width
 from ..plans.budget import BLOCK_CELLS
 from ..plans.moments import column_stats, score_square
-from ..session import checkpoint
+from ..session import drop_stored, stored
 from .model import FactorModel, Start, StopRule, start_values
 from .rotate import ordered_axes, orthonormal
 from .rows import clip_infinite, keep_observed_columns
@@ -36,6 +36,7 @@ class _State:
     k: int
     first: np.ndarray | None  # start map, until the first checkpoint
     rounds: list  # (loadings, score map) since the last checkpoint
+    path: str | None = None  # where the checkpoint is stored
 
     def blocks(self):
         """Function: batch -> (batch part, z with NaN, mask, filled data, scores) per bounded block."""
@@ -43,26 +44,29 @@ class _State:
         first, rounds = self.first, list(self.rounds)
 
         def walk(batches):
-            step = max(1, BLOCK_CELLS // d)
+            step = max(1, BLOCK_CELLS // max(d, k * k))
             for batch in batches:
                 for start in range(0, batch.num_rows, step):
                     part = batch.slice(start, step)
                     z = (dense_block(part.column(1), d) - mean) / scale
                     missing = np.isnan(z)
                     data = np.where(missing, 0.0, z)
-                    if first is None:
-                        x = dense_block(part.column(2), k)
-                    else:
-                        x = data @ first
-                    for loadings, score_map in rounds:
-                        data = np.where(missing, x @ loadings.T, z)
-                        x = data @ score_map
+                    x = data @ first if first is not None else dense_block(part.column(2), k)
+                    if rounds:
+                        # complete rows depend on the newest round only
+                        gaps = missing.any(axis=1)
+                        seen, at_gaps, x = z[gaps], missing[gaps], x[gaps]
+                        for loadings, score_map in rounds:
+                            filled = np.where(at_gaps, x @ loadings.T, seen)
+                            x = filled @ score_map
+                        data[gaps] = filled
+                        x = data @ rounds[-1][1]
                     yield part, z, missing, data, x
 
         return walk
 
     def advanced(self) -> "_State":
-        """Writes the scores to the shared checkpoint folder and forgets the rounds."""
+        """Writes rows and scores to the shared folder and forgets the rounds."""
         walk = self.blocks()
         schema = T.StructType(
             [self.df.schema["row_id"], self.df.schema["y"], T.StructField("x", T.ArrayType(T.DoubleType()))]
@@ -74,8 +78,10 @@ class _State:
                     [part.column(0), part.column(1), list_array(x)], names=["row_id", "y", "x"]
                 )
 
-        stored = checkpoint(self.df.mapInArrow(task, schema))
-        return _State(stored, self.mean, self.scale, self.k, None, [])
+        df, path = stored(self.df.mapInArrow(task, schema), "scores")
+        if self.path is not None:
+            drop_stored(df.sparkSession, self.path)
+        return _State(df, self.mean, self.scale, self.k, None, [], path)
 
 
 def _round_sums(state: _State, d: int, k: int) -> dict[str, np.ndarray]:
@@ -162,7 +168,7 @@ def ppca_missing_fit(
     max_iter: int | None = None,
     noise_term: str = "exact",
     init: Start | int | None = None,
-    checkpoint_every: int = 10,
+    checkpoint_every: int = 20,
     d: int | None = None,
     persist: bool = False,
 ) -> MissingFit:
@@ -170,7 +176,8 @@ def ppca_missing_fit(
 
     Infinite cells become the largest finite value; columns with fewer than
     ``min_obs`` observed cells are left out; ``k`` defaults to a fifth of the
-    columns.  Stops when the objective changes by less than ``tol`` relatively,
+    columns.  Scores are stored every ``checkpoint_every`` rounds and replayed in
+    between.  Stops when the objective changes by less than ``tol`` relatively,
     after seven rounds at the earliest.  ``persist`` keeps the rows in memory and
     on local disk between rounds; they stay persisted for the fit's scores.
     The residual counts observed cells

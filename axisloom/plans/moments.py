@@ -93,7 +93,8 @@ def column_stats(df: DataFrame, d: int | None = None) -> ColumnStats:
     if n == 0:
         raise ValueError("empty matrix")
     safe = np.maximum(c, 1)
-    var = np.maximum(q / safe - (s / safe) ** 2, 0.0)
+    with np.errstate(invalid="ignore"):  # infinite cells give NaN
+        var = np.maximum(q / safe - (s / safe) ** 2, 0.0)
     return ColumnStats(int(n), c, np.where(c > 0, shift + s / safe, np.nan), np.where(c > 0, var, np.nan))
 
 
