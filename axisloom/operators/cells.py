@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.joins import join_lookup
-from ..session import checkpoint
+from ..session import stored
 from .rows import coo_to_rows
 
 
@@ -51,7 +51,7 @@ def frobenius_norm2_cells(cells: DataFrame, n_rows: int) -> DataFrame:
 def center_nonzero(cells: DataFrame, n_rows: int) -> DataFrame:
     """v - column mean at the stored cells only (zeros stay implicit)."""
     means = column_sums_cells(cells).select("col_id", (F.col("s") / F.lit(float(n_rows))).alias("m"))
-    joined = join_lookup(cells, checkpoint(means), ["col_id"], "row_id")
+    joined = join_lookup(cells, stored(means, "means")[0], ["col_id"], "row_id")
     return joined.select("row_id", "col_id", (F.col("value") - F.col("m")).alias("value"))
 
 
@@ -60,7 +60,7 @@ def min_obs_cells(cells: DataFrame, min_obs: float = -1e3) -> DataFrame:
     if min_obs <= 0:
         return cells
     kept = cells.groupBy("col_id").agg(F.count("value").alias("n")).filter(F.col("n") >= min_obs)
-    return join_lookup(cells, checkpoint(kept.select("col_id")), ["col_id"], "row_id", how="left_semi")
+    return join_lookup(cells, stored(kept.select("col_id"), "columns")[0], ["col_id"], "row_id", how="left_semi")
 
 
 def trial_mean(trials: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def remove_trial_mean(trials: DataFrame) -> DataFrame:
     Aggregate and join rather than a window: a window would bring every trial
     of a hot (cell, t) into one task, while this join can be split.
     """
-    joined = join_lookup(trials, checkpoint(trial_mean(trials)), ["cell", "t"], "trial")
+    joined = join_lookup(trials, stored(trial_mean(trials), "means")[0], ["cell", "t"], "trial")
     return joined.select("cell", "trial", "t", (F.col("value") - F.col("mean")).alias("value"))
 
 

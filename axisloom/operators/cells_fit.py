@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.joins import join_lookup
-from ..session import checkpoint
+from ..session import drop_stored, stored
 from .cells import column_sums_cells
 from .factor import MIN_NOISE
 from .model import StopRule
@@ -120,7 +120,7 @@ def fit_cells(
         table = columns.withColumn("c", uniform_start(k, seed)).withColumn("noise", F.lit(0.5))
     else:
         table = columns.join(start.select("col_id", "c", "noise"), "col_id")
-    table = checkpoint(table.select("col_id", "mean", "var", "noise", "c"))
+    table, path = stored(table.select("col_id", "mean", "var", "noise", "c"), "model")
     isotropic = kind == "ppca"
     stop = StopRule(max_iter, (1e-5 if isotropic else 1.0) if tol is None else tol, relative=isotropic)
     while True:
@@ -130,7 +130,9 @@ def fit_cells(
         v = np.linalg.inv(eye + precision)
         table = table.withColumn("w", F.transform(_times("c", v), lambda a: a / F.col("noise")))
         # the one query over the data in a round
-        joined = checkpoint(table.join(cross_moments_cells(cells, table, k), "col_id"))
+        joined, newer = stored(table.join(cross_moments_cells(cells, table, k), "col_id"), "model")
+        drop_stored(cells.sparkSession, path)
+        path = newer
         xtx, xm = _sums(joined, "w", "ytx", k, 1 / F.lit(n), *[F.col("mean") * F.col("w")[j] for j in range(k)])
         xtx = (xtx + xtx.T) / 2 - np.outer(xm, xm)
         # M-step; (xtx + v) n is X'X + N ss Sx in the isotropic case

@@ -46,21 +46,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; cuts the lineage."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = shared_dir(spark)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes a large intermediate table to the shared folder: (table, its path).
+    """Writes an intermediate table to the shared folder: (table, its path).
 
-    Columnar and compressed, so better than a checkpoint when it is read often;
-    the lineage starts anew at the files.
+    The lineage starts anew at the files, which survive the loss of executors.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)

@@ -14,9 +14,14 @@ def test_broadcast_and_salted_joins_agree(spark, monkeypatch, limit):
     rows = [(i, 0 if i % 3 else int(rng.integers(1, 5)), float(v)) for i, v in enumerate(rng.standard_normal(300))]
     cells = spark.createDataFrame(rows, "row_id BIGINT, col_id INT, value DOUBLE")
     means = {r.col_id: r["mean"] for r in column_means_cells(cells, 300).collect()}
-    df = center_nonzero(cells, 300)
-    assert ("Broadcast" in df._jdf.queryExecution().executedPlan().toString()) == bool(limit)
-    got = sorted((r.row_id, r.col_id, r.value) for r in df.collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = center_nonzero(cells, 300)
+        assert ("Broadcast" in df._jdf.queryExecution().executedPlan().toString()) == bool(limit)
+        got = sorted((r.row_id, r.col_id, r.value) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert np.allclose([g[2] for g in got], [v - means[c] for _, c, v in sorted(rows)])
     kept = min_obs_cells(cells, 50)
     assert {r.col_id for r in kept.collect()} == {0} and kept.count() == 200
