@@ -145,7 +145,13 @@ def _ride_along(rounds, stop, probe, src) -> Round:
     r = next(rounds)
     while not stop.settled(r.objective):
         src.watch(r.score_map, r.loadings)
-        following = next(rounds)
+        try:
+            following = next(rounds)
+        except (np.linalg.LinAlgError, ArithmeticError):
+            # the round ahead may never have been needed
+            if stop.record(r.objective, probe.ratios([r])[0]):
+                return r
+            raise
         if stop.record(r.objective, l1_ratio(*src.watched)):
             return r
         r = following
