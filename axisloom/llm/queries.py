@@ -107,3 +107,41 @@ def op2(spark, sf):
     from .mixing import mix_report
 
     return mix_report(table(spark, sf, "documents"))
+
+
+OP5_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tokens AS (
+  SELECT doc_id, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before
+  FROM words, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+ones AS (SELECT word, count(*) AS c FROM tokens GROUP BY word),
+twos AS (SELECT before, word, count(*) AS c FROM tokens WHERE before IS NOT NULL GROUP BY before, word),
+everything AS (SELECT count(*) AS n FROM tokens),
+scored AS (
+  SELECT t.doc_id, t.before IS NOT NULL AND two.c < 2 AS backed,
+         CASE WHEN two.c >= 2 THEN ln(two.c) - ln(b.c)
+              ELSE ln(o.c) - ln(n) + CASE WHEN t.before IS NULL THEN 0 ELSE ln(0.4) END END AS s
+  FROM tokens t JOIN ones o ON o.word = t.word CROSS JOIN everything
+  LEFT JOIN twos two ON two.before = t.before AND two.word = t.word
+  LEFT JOIN ones b ON b.word = t.before)
+SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words,
+       CAST(coalesce(sum(CAST(s.backed AS INTEGER)), 0) AS BIGINT) AS n_backed_off,
+       round(coalesce(sum(s.s), 0), 5) + 0.0 AS log_score, round(avg(s.s), 6) + 0.0 AS score
+FROM words d LEFT JOIN scored s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+@query("op5_backoff_scores", OP5_SQL)
+def op5(spark, sf):
+    from .lm import backoff_scores
+
+    scored = backoff_scores(table(spark, sf, "documents"))
+    rounded = lambda c, digits: (F.round(c, digits) + F.lit(0.0)).alias(c)
+    return scored.select("doc_id", "n_words", "n_backed_off", rounded("log_score", 5), rounded("score", 6))
+
+
+@query("op9_shingle_join")
+def op9(spark, sf):
+    from .ngram_join import near_copy_groups
+
+    return near_copy_groups(table(spark, sf, "documents"))
