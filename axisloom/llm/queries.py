@@ -145,3 +145,38 @@ def op9(spark, sf):
     from .ngram_join import near_copy_groups
 
     return near_copy_groups(table(spark, sf, "documents"))
+
+
+@query("op4_repeat_trees")
+def op4(spark, sf):
+    from .repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf, "documents"))
+
+
+OP8_SQL = r"""
+WITH pages_ AS (
+  SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+         regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'),
+           '<script\b[^>]*>.*?</script\s*>', '', 'gsi'), '<style\b[^>]*>.*?</style\s*>', '', 'gsi'),
+           '</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|body|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>', chr(10), 'gi'),
+           '<[^>]*>', '', 'g') AS visible FROM pages),
+lined AS (
+  SELECT page_id, url, host, list_filter(list_transform(string_split(visible, chr(10)),
+         lambda x: trim(regexp_replace(x, '[ \t\r\f\v]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM pages_),
+totals AS (SELECT host, count(*) AS n FROM lined GROUP BY host),
+counts AS (
+  SELECT host, line, count(*) AS c FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM lined) GROUP BY host, line HAVING count(*) >= 3),
+bad AS (SELECT c.host, list(line) AS drop_ FROM counts c JOIN totals t ON t.host = c.host WHERE c.c >= t.n * 0.1 GROUP BY c.host),
+kept AS (
+  SELECT page_id, url, l.host, CAST(len(lines) AS BIGINT) AS n_lines,
+         list_filter(lines, lambda x: NOT list_contains(coalesce(drop_, []), x)) AS k
+  FROM lined l LEFT JOIN bad b ON b.host = l.host)
+SELECT page_id, url, host, n_lines, CAST(n_lines - len(k) AS BIGINT) AS n_dropped, array_to_string(k, chr(10)) AS text FROM kept"""
+
+
+@query("op8_site_lines", OP8_SQL)
+def op8(spark, sf):
+    from .lines import drop_boilerplate
+
+    return drop_boilerplate(table(spark, sf, "pages"))
