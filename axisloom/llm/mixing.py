@@ -239,27 +239,36 @@ def mixed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     All columns stay; the text of a last, partly used document ends after the words it gives.
     Rows of one id and size are alike to the plan: each gets the plan of one of them.
     """
-    columns = docs.columns
-    at = Window.partitionBy("doc_id", "source", "_size").orderBy
-    own = docs.withColumn("_size", word_count(F.col("text")))
-    own = own.withColumn("_nth", F.row_number().over(at(F.xxhash64("text"), F.xxhash64(*[F.col(c) for c in columns]))))
-    plan = mix_plan(docs, shards).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_plan_size"), "last", "shards",
-        F.row_number().over(
-            Window.partitionBy("doc_id", "source", "size").orderBy(F.size("shards").desc(), F.col("last").asc_nulls_first(), F.col("shards").cast("string"))
-        ).alias("_plan_nth"),
+    # the row travels as one struct, so its column names can clash with nothing
+    own = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("from"),
+        word_count(F.col("text")).alias("words"), F.xxhash64("*").alias("hash"),
     )
+    nth = Window.partitionBy("id", "from", "words").orderBy("hash")
+    own = own.select("row", "id", "from", "words", F.row_number().over(nth).alias("nth"))
+    alike = Window.partitionBy("doc_id", "source", "size").orderBy(
+        F.size("shards").desc(), F.col("last").asc_nulls_first(), F.col("shards").cast("string")
+    )
+    plan = mix_plan(docs, shards).select("doc_id", "source", "size", "last", "shards", F.row_number().over(alike).alias("at"))
     same = (
-        own["doc_id"].eqNullSafe(F.col("_id")) & own["source"].eqNullSafe(F.col("_source"))
-        & (own["_size"] == F.col("_plan_size")) & (own["_nth"] == F.col("_plan_nth"))
+        F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source"))
+        & (F.col("words") == F.col("size")) & (F.col("nth") == F.col("at"))
     )
-    used = own.join(plan, same).select(*[own[c] for c in columns], "_size", "last", F.posexplode("shards").alias("_pass", "_shard"), F.size("shards").alias("_n"))
+    used = own.join(plan, same).select("row", "id", "last", F.size("shards").alias("n"), F.posexplode("shards").alias("use", "shard"))
     # up to the end of the last word given: what follows is cut off
-    upto = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("last").cast("string"), F.lit("}"))
-    partly = F.col("last").isNotNull() & (F.col("_pass") == F.col("_n") - 1)
-    text = F.when(partly, F.regexp_substr("text", upto)).otherwise(F.col("text"))
-    out = used.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(partly, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    inside = F.xxhash64("_shard", "doc_id", "_pass")
-    return out.repartition(shards, "_shard").sortWithinPartitions("_shard", inside).select(*columns)
+    partly = F.col("last").isNotNull() & (F.col("use") == F.col("n") - 1)
+    kept = first_words(F.col("row.text"), F.col("last"))
+    text = F.when(partly, kept).otherwise(F.col("row.text"))
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        row = row.withField("n_chars", F.when(partly, F.char_length(kept).cast(kind)).otherwise(F.col("row.n_chars")))
+    order = F.xxhash64("shard", "id", "use")
+    dealt = used.select(row.alias("row"), "shard", order.alias("order")).repartition(shards, "shard")
+    return dealt.sortWithinPartitions("shard", "order").select("row.*")
+
+
+def first_words(text, n):
+    """The text up to the end of its n-th word."""
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(words, F.lit(1), n.cast("int")), "")

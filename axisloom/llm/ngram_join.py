@@ -264,10 +264,12 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
     null id or without words belong to no group and stay.
     """
     groups = near_copy_groups(docs).filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id", F.lit(True).alias("_again"))
-    marked = kept.join(repeated, "doc_id", "left").select(*[kept[c] for c in docs.columns], "_again")
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    once = marked.filter("_again").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
-    return marked.filter("_again IS NULL").select(*docs.columns).unionAll(once.select(*docs.columns))
+    by_id = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("group"))
+    odd = by_id.filter("rows > 1 OR group <> doc_id").select("doc_id", (F.col("group") == F.col("doc_id")).alias("stays"))
+    # the row travels as one struct, so its column names can clash with nothing
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id"))
+    marked = own.join(odd, F.col("id") == F.col("doc_id"), "left")
+    plain = marked.filter("stays IS NULL").select("row.*")
+    first = Window.partitionBy("id").orderBy(F.col("row.text").asc_nulls_last(), F.xxhash64("row"))
+    once = marked.filter("stays").withColumn("nth", F.row_number().over(first)).filter("nth = 1")
+    return plain.unionAll(once.select("row.*"))
