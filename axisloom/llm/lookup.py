@@ -18,9 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: n-grams a bucket should hold over all batches
-BUCKET_GRAMS = 3 << 20
+BUCKET_GRAMS = 3 << 19
+#: small inputs are still dealt to so many batches, of a megabyte at least
+LEAST_BATCHES = 16
 
 
 def _edges(buckets: int) -> np.ndarray:
@@ -42,7 +44,7 @@ def with_counts(
     """
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     size = int(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    n = max(1, -(-size // batch_bytes))
+    n = max(1, -(-size // batch_bytes), min(LEAST_BATCHES, size >> 20))
     buckets = 1 << max(0, int(np.ceil(np.log2(max(1.0, size * grams_per_byte / BUCKET_GRAMS)))))
     # equal rows may share a batch; different ones are spread whatever their id
     dealt = plain.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))

@@ -74,7 +74,7 @@ def _prefix_mask(bounds: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def shingled(docs: DataFrame) -> DataFrame:
     """``doc_id, n, d1, d2, tokens, index``: set size, set digest and, where links are possible,
-    the set (sorted uint64) and the places of its index tokens (uint32)."""
+    the set (sorted uint64, packed) and its index tokens."""
 
     def grams(docs: pa.Table):
         found = [hashes[_prefix_mask(bounds, doc)] for doc, hashes, bounds in _sets(docs.column("text"))]
@@ -100,7 +100,7 @@ def shingled(docs: DataFrame) -> DataFrame:
                 m = ends[d + 1] - ends[d]
                 if n[d] and m >= needs[d]:
                     tokens.append(hashes[bounds[d] : bounds[d + 1]].tobytes())
-                    index.append((place[ends[d] : ends[d] + m - needs[d] + 1] - bounds[d]).astype("<u4").tobytes())
+                    index.append(hashes[place[ends[d] : ends[d] + m - needs[d] + 1]].view(np.int64))
                 else:
                     tokens.append(None)
                     index.append(None)
@@ -111,27 +111,14 @@ def shingled(docs: DataFrame) -> DataFrame:
                 "d1": pa.array(np.concatenate(d1)),
                 "d2": pa.array(np.concatenate(d2)),
                 "tokens": pa.array(tokens, pa.binary()),
-                "index": pa.array(index, pa.binary()),
+                "index": pa.array(index, pa.list_(pa.int64())),
             }
         )
 
-    schema = "doc_id BIGINT, n BIGINT, d1 BIGINT, d2 BIGINT, tokens BINARY, index BINARY"
+    schema = "doc_id BIGINT, n BIGINT, d1 BIGINT, d2 BIGINT, tokens BINARY, index ARRAY<BIGINT>"
     return with_counts(docs, grams, use, schema, grams_per_byte=0.08)
 
 
-def _index_rows(batches):
-    for batch in batches:
-        found = [
-            np.frombuffer(t, "<u8")[np.frombuffer(i, "<u4")]
-            for t, i in zip(batch.column("tokens").to_pylist(), batch.column("index").to_pylist())
-        ]
-        owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        token = np.concatenate(found) if found else np.empty(0, np.uint64)
-        yield pa.record_batch(
-            [batch.column("rep").take(pa.array(owner)), pa.array(token.view(np.int64))], names=["rep", "token"]
-        )
-
-
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, from products of 0/1 matrices over the tokens both sides have."""
     common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)))
@@ -207,30 +194,44 @@ def _verify(pack: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
-def _links(classes: DataFrame) -> DataFrame:
-    """Spanning links between classes (rep, n, tokens, index)."""
-    index, _ = stored(classes.select("rep", "tokens", "index").mapInArrow(_index_rows, "rep BIGINT, token BIGINT"), "index")
-    hubs = index.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).filter("m > 1")
-    near = index.join(hubs, "token").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
-    families, _ = stored(components(near), "families")
-    members = classes.select("rep", "tokens").join(families, classes["rep"] == families["node"])
-    members = members.select("rep", "tokens", F.col("component").alias("family"))
-    sizes = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("members"))
-    known = members.join(sizes, "family")
-    small = known.filter(F.col("members") <= BLOCK)
-    total = int(small.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0)
+def _families(index: DataFrame) -> DataFrame:
+    """``rep, family, members`` of classes (rep, index) that share index tokens with others."""
+    tokens, _ = stored(index.select("rep", F.explode("index").alias("token")), "index")
+    hubs = tokens.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).filter("m > 1")
+    near = tokens.join(hubs, "token").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
+    found, _ = stored(components(near).select(F.col("node").alias("rep"), F.col("component").alias("family")), "families")
+    return found.join(found.groupBy("family").agg(F.count("*").alias("members")), "family")
+
+
+def _links(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Spanning links (u, v) between classes; the packed sets are dealt out once, by task."""
+    keys = ["d1", "d2", "n"]
+    reps = groups.withColumnRenamed("rep", "doc_id")
+    # rows that repeat an id and a set are alike
+    index = sets.select("doc_id", *keys, "index").join(reps, [*keys, "doc_id"], "left_semi")
+    # an id may stand for several sets: each is a class, and the id joins them
+    families = _families(index.select(F.col("doc_id").alias("rep"), "index"))
+    placed, _ = stored(groups.join(families, "rep"), "placed")
+    total = int(placed.agg(F.sum("n")).first()[0] or 0) * 8
     packs = max(1, -(-total // PACK_BYTES))
-    packed = small.select(
-        F.pmod(F.xxhash64("family"), F.lit(packs)).alias("pack"), F.lit(-1).alias("i"), F.lit(-1).alias("j"),
-        "family", F.lit(0).alias("side"), "rep", "tokens",
-    )
+    own = sets.select("doc_id", *keys, "tokens").join(placed.withColumnRenamed("rep", "doc_id"), [*keys, "doc_id"])
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = known.filter(F.col("members") > BLOCK).withColumn("b", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    paired = mine.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        F.col("family").alias("pack"), F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"),
-        "family", F.col("b").alias("side"), "rep", "tokens",
+    b = F.when(F.col("members") > BLOCK, F.pmod(F.xxhash64("doc_id"), blocks)).cast("int")
+    everything = own.select(
+        "family", "members", "doc_id", "tokens", b.alias("b"),
+        F.explode(F.when(F.col("members") > BLOCK, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(-1)))).alias("other"),
     )
-    return packed.unionAll(paired).groupBy("pack", "i", "j").applyInArrow(_verify, "u BIGINT, v BIGINT")
+    large = F.col("b").isNotNull()
+    dealt = everything.select(
+        F.when(large, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(packs))).alias("pack"),
+        F.least("b", "other").alias("i"),
+        F.greatest("b", "other").alias("j"),
+        "family",
+        F.coalesce("b", F.lit(-1)).alias("side"),
+        F.col("doc_id").alias("rep"),
+        "tokens",
+    )
+    return dealt.groupBy("pack", "i", "j").applyInArrow(_verify, "u BIGINT, v BIGINT")
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
@@ -241,18 +242,14 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     document.  A null id gets the component of an equal set, else null.
     """
     sets, _ = stored(shingled(docs), "shingles")
-    groups = sets.filter("tokens IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    groups, _ = stored(groups.filter("rep IS NOT NULL"), "classes")
     keys = ["d1", "d2", "n"]
-    # of rows that repeat an id and a set, one
-    of_rep = sets.filter("tokens IS NOT NULL").join(
-        groups.withColumnRenamed("rep", "doc_id"), [*keys, "doc_id"], "left_semi"
-    ).dropDuplicates([*keys, "doc_id"])
-    # an id may stand for several sets: each is a class, and the id joins them
-    links = _links(of_rep.select(F.col("doc_id").alias("rep"), "tokens", "index"))
-    mates = sets.filter("tokens IS NOT NULL AND doc_id IS NOT NULL").join(groups, keys).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    possible = sets.filter("tokens IS NOT NULL")
+    groups = possible.groupBy(*keys).agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL")
+    groups, _ = stored(groups, "classes")
+    links = _links(possible, groups)
+    mates = possible.filter("doc_id IS NOT NULL").join(groups, keys).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     found, _ = stored(components(links.unionAll(mates)), "groups")
-    plain = sets.select("doc_id", "n", *keys[:2]).join(groups.withColumnRenamed("rep", "_rep"), keys, "left")
+    plain = sets.select("doc_id", *keys).join(groups.withColumnRenamed("rep", "_rep"), keys, "left")
     named = plain.withColumn("_node", F.coalesce("doc_id", "_rep")).join(found, F.col("_node") == F.col("node"), "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "_node").alias("component_id"))
 
