@@ -145,10 +145,17 @@ TYPE_LIST = ", ".join(f"'{t}'" for t in TYPES)
 
 
 def type_number():
-    return F.expr(f"cast(array_position(array({TYPE_LIST}), event_type) - 1 AS int)")
+    """Number of an event type; a type that is not in the list raises, none is dropped."""
+    return F.expr(
+        f"cast(if(event_type in ({TYPE_LIST}), array_position(array({TYPE_LIST}), event_type), "
+        "cast(raise_error(concat('unknown event type: ', coalesce(event_type, 'NULL'))) AS bigint)) - 1 AS int)"
+    )
 
 
-TYPE_NUMBER = f"CAST(list_position([{TYPE_LIST}], event_type) - 1 AS INTEGER)"
+TYPE_NUMBER = (
+    f"CAST(CASE WHEN event_type IN ({TYPE_LIST}) THEN list_position([{TYPE_LIST}], event_type) "
+    "ELSE error('unknown event type') END - 1 AS INTEGER)"
+)
 
 
 def event_sums(spark, sf) -> DataFrame:

@@ -28,6 +28,10 @@ def _options(args: list[str]) -> list[str]:
     return [re.sub(r"^-D(?=[A-Za-z]+=)", "-", a) for a in args]
 
 
+def _rate(text: str) -> float | str:
+    return text if text == "by_rows" else float(text)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="axisloom.job", description=__doc__.splitlines()[0], allow_abbrev=False)
     jobs = top.add_subparsers(dest="job", required=True)
@@ -49,7 +53,7 @@ def parser() -> argparse.ArgumentParser:
         option(fit, "pcs", required=True, type=int, help="number of components")
         option(fit, "rows", type=int)
         option(fit, "cols", type=int)
-        option(fit, "errSampleRate", type=float, help="share of rows the error looks at")
+        option(fit, "errSampleRate", type=_rate, default="by_rows", help="share of rows the error looks at; falls with N unless given")
         option(fit, "maxIter", type=int, default=3)
         option(fit, "outFmt", type=str.upper, choices=OUTPUT_FORMATS, default="DENSE")
         option(fit, "computeProjectedMatrix", "-ComputeProjectedMatrix", type=int, choices=(0, 1), default=0)

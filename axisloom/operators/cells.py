@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.joins import join_lookup
-from ..session import stored
+from ..plans.joins import join_small
 from .rows import coo_to_rows
 
 
@@ -16,8 +15,8 @@ def cells_of(df: DataFrame, keep_null: bool = False) -> DataFrame:
 
 
 def nonzero_cells(cells: DataFrame, d: int | None = None) -> DataFrame:
-    """Drops zero cells and cells in columns from ``d`` on."""
-    kept = F.col("value") != 0
+    """Drops zero cells and cells outside the columns 0 to ``d`` - 1."""
+    kept = (F.col("value") != 0) & (F.col("col_id") >= 0)
     if d is not None:
         kept = kept & (F.col("col_id") < d)
     return cells.filter(kept)
@@ -51,7 +50,7 @@ def frobenius_norm2_cells(cells: DataFrame, n_rows: int) -> DataFrame:
 def center_nonzero(cells: DataFrame, n_rows: int) -> DataFrame:
     """v - column mean at the stored cells only (zeros stay implicit)."""
     means = column_sums_cells(cells).select("col_id", (F.col("s") / F.lit(float(n_rows))).alias("m"))
-    joined = join_lookup(cells, stored(means, "means")[0], ["col_id"], "row_id")
+    joined = join_small(cells, means, ["col_id"])
     return joined.select("row_id", "col_id", (F.col("value") - F.col("m")).alias("value"))
 
 
@@ -60,7 +59,7 @@ def min_obs_cells(cells: DataFrame, min_obs: float = -1e3) -> DataFrame:
     if min_obs <= 0:
         return cells
     kept = cells.groupBy("col_id").agg(F.count("value").alias("n")).filter(F.col("n") >= min_obs)
-    return join_lookup(cells, stored(kept.select("col_id"), "columns")[0], ["col_id"], "row_id", how="left_semi")
+    return join_small(cells, kept.select("col_id"), ["col_id"], "left_semi")
 
 
 def trial_mean(trials: DataFrame) -> DataFrame:
@@ -74,7 +73,7 @@ def remove_trial_mean(trials: DataFrame) -> DataFrame:
     Aggregate and join rather than a window: a window would bring every trial
     of a hot (cell, t) into one task, while this join can be split.
     """
-    joined = join_lookup(trials, stored(trial_mean(trials), "means")[0], ["cell", "t"], "trial")
+    joined = join_small(trials, trial_mean(trials), ["cell", "t"])
     return joined.select("cell", "trial", "t", (F.col("value") - F.col("mean")).alias("value"))
 
 

@@ -45,7 +45,7 @@ def latent_scores_cells(cells: DataFrame, matrix: DataFrame, k: int, col: str =
     The matrix is broadcast when small; beyond that hot columns are salted.
     Products combine per row before the shuffle.
     """
-    joined = join_lookup(cells, matrix.select("col_id", col), ["col_id"], "row_id", 32 + 8 * k)
+    joined = join_lookup(cells, matrix.select("col_id", col), ["col_id"], 32 + 8 * k)
     return _gather(joined.groupBy("row_id").agg(*_weighted_sum(F.col("value"), col, k)), "row_id", "x", k)
 
 

@@ -34,7 +34,7 @@ def fa_fit(
     k: int,
     *,
     max_iter: int = 3,
-    error_rate: float | None = None,
+    error_rate: float | str | None = None,
     tol: float = 1.0,
     init: Start | int | None = None,
     plan: str = "auto",

@@ -185,7 +185,7 @@ def lagged_covariance(
     """
     # values near their series' level keep the cross sums small; covariance does not change
     level = cells.groupBy("series").agg(F.avg("value").alias("level"))
-    joined = join_lookup(cells, level, ["series"], "t", n_rows=n_series)
+    joined = join_lookup(cells, level, ["series"], n_rows=n_series)
     centered = joined.select("series", "t", (F.col("value") - F.col("level")).alias("value"))
     tile = min(tile, n_series)
     rows = _tile_rows(centered, tile)
@@ -222,12 +222,16 @@ def fill_gaps(cells: DataFrame, n_series: int, fill: float = 0.0) -> DataFrame:
 def scatter_pairs(df: DataFrame, d: int, ddof: int = 0, tile: int = TILE) -> DataFrame:
     """Covariance of wide dense rows by column tiles; ``i, j, value``."""
     from ..functions import literal_array
-    from ..plans.moments import head_shift
+    from ..plans.blocks import checked_rows
+    from ..plans.moments import column_stats
 
-    origin = literal_array(head_shift(df, d)[1])
+    stats = column_stats(df, d)
+    if np.any(stats.count != stats.n_rows):
+        raise ValueError("NULL, NaN or infinite cells: use the fit for missing values")
+    origin = literal_array(stats.mean)
     near = df.select(
         F.monotonically_increasing_id().alias("t"),
-        F.zip_with("y", origin, lambda a, m: a - m).alias("y"),
+        F.zip_with(checked_rows("y", d), origin, lambda a, m: a - m).alias("y"),
     )
     tile = min(tile, d)
     n_tiles = -(-d // tile)

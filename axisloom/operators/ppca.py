@@ -20,7 +20,7 @@ def ppca_fit(
     k: int,
     *,
     max_iter: int = 3,
-    error_rate: float | None = None,
+    error_rate: float | str | None = None,
     tol: float = 1e-5,
     error_tol: float = 0.02,
     noise_term: str = "exact",
@@ -37,7 +37,8 @@ def ppca_fit(
     val`` with ``d``).  Stops after ``max_iter`` rounds, when the noise variance
     changes by at most ``tol`` relatively, or when the reconstruction error is
     at most ``error_tol``.  ``error_rate`` is the share of rows the error looks
-    at (None: by N; 0: no error, and no stop by it).
+    at (None: all; "by_rows": a share that falls with N; 0: no error, and no stop
+    by it).
 
     ``persist`` keeps the rows in memory and on local disk during the fit: worth
     it when they are costly to derive and several passes are needed.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -43,18 +44,21 @@ def held(df: DataFrame, persist: bool):
 class ErrorProbe:
     """Relative L1 error of rounds, measured on a fixed sample of rows.
 
-    The sample is drawn once by row key and kept, so a round reads the sample
-    and not the data.  By default it shrinks with N to some ten thousand rows.
-    A round's error uses scores from its own map and its new loadings.
+    By default all rows are looked at.  A sample that was asked for, by a rate or
+    as ``"by_rows"`` (it then shrinks with N to some ten thousand rows), is drawn
+    once by row key and kept, so a round reads the sample and not the data.
+    A round's error uses scores from its own map and its new loadings; it is None,
+    and no reason to stop, when the sample has no rows.
     """
 
-    def __init__(self, df: DataFrame, src, rate: float | None):
-        self.rate = default_sample_rate(src.n) if rate is None else rate
+    def __init__(self, df: DataFrame, src, rate: float | str | None):
+        if isinstance(rate, str) and rate != "by_rows":
+            raise ValueError(f"unknown error_rate {rate!r}; use a share of the rows or 'by_rows'")
+        self.rate = default_sample_rate(src.n) if rate == "by_rows" else 1.0 if rate is None else rate
         self.mean = src.mean
         self.absent = (src.n - src.stored) * self.rate
         self.sample = sample_rows(df, self.rate) if self.rate > 0 else None
-        # small by the rule for the rate, or a share of the data that was asked for
-        self.kept = self.sample is not None and (rate is None or rate < 1) and not df.is_cached
+        self.kept = self.sample is not None and self.rate < 1 and not df.is_cached
         if self.kept:
             self.sample = self.sample.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -64,6 +68,8 @@ class ErrorProbe:
             return [None] * len(rounds)
         fits = [(r.score_map, r.loadings) for r in rounds]
         err, norm = l1_errors(self.sample, fits, self.mean, self.absent)
+        if np.isnan(norm).all():
+            warnings.warn(f"no row is in the error sample (rate {self.rate}): no error, and no stop by it", stacklevel=2)
         return [l1_ratio(e, norm) for e in err]
 
     @staticmethod
@@ -104,7 +110,8 @@ def run_rounds(rounds: Iterator[Round], stop: StopRule, probe: ErrorProbe, src)
     * a pass per round and a kept sample: one pass over the sample per round.
     """
     try:
-        if stop.error_tol is None:
+        # an error is never negative
+        if stop.error_tol is None or stop.error_tol < 0:
             return _fill_afterwards(rounds, stop, probe)
         if src.passes_per_call and probe.rate == 1:
             return _ride_along(rounds, stop, probe, src)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import center, densify, literal_array
-from ..plans.blocks import linear_rows, map_rows, width
+from ..plans.blocks import checked_rows, linear_rows, map_rows, width
 from ..plans.budget import MAX_WIDE_COLUMNS
 from ..plans.moments import ColumnStats, column_stats, sparse_linear_rows
 
@@ -81,16 +81,15 @@ def sample_rows(df: DataFrame, rate: float, seed: int = 0, key: str = "row_id")
 
 def center_rows(df: DataFrame, stats: ColumnStats | None = None) -> DataFrame:
     stats = stats or column_stats(df)
-    return _with_y(df, center(F.col("y"), stats.mean))
+    return _with_y(df, center(checked_rows("y", stats.d), stats.mean))
 
 
 def _scaled(df: DataFrame, stats: ColumnStats, divisor: np.ndarray) -> DataFrame:
+    y = checked_rows("y", stats.d)
     if stats.d <= MAX_WIDE_COLUMNS:
-        cells = [
-            (F.col("y")[j] - float(stats.mean[j])) / F.lit(float(divisor[j])) for j in range(stats.d)
-        ]
+        cells = [(y[j] - float(stats.mean[j])) / F.lit(float(divisor[j])) for j in range(stats.d)]
         return _with_y(df, F.array(*cells))
-    centered = center(F.col("y"), stats.mean)
+    centered = center(y, stats.mean)
     return _with_y(df, F.zip_with(centered, literal_array(divisor), lambda a, s: a / s))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import literal_array
 from ..plans.blocks import flat_sum, iter_blocks, width
 from ..plans.budget import MAX_GRAM_COLUMNS
 from ..plans.moments import column_stats, iter_sparse_blocks, moment_source, scatter
@@ -59,23 +60,27 @@ def l1_errors(
 
     One pass over dense or sparse rows serves all (score map, loadings) pairs.
     ``absent`` all-zero rows that are not stored are added in closed form.
+    Without any row all sums are NaN: nothing was measured.
     """
     m = np.asarray(mean, float)
     fits = [(np.asarray(w, float), np.asarray(c, float)) for w, c in fits]
     d, sparse = len(m), "idx" in df.columns
 
     def accumulate(batches):
-        err, norm = np.zeros((len(fits), d)), np.zeros(d)
+        n, err, norm = 0, np.zeros((len(fits), d)), np.zeros(d)
         for block in iter_sparse_blocks(batches, d) if sparse else iter_blocks(batches, d):
             z = block - m
+            n += len(block)
             norm += np.abs(z).sum(axis=0)
             for r, (w, c) in enumerate(fits):
                 err[r] += np.abs((z @ w) @ c.T - z).sum(axis=0)
-        return {"err": err, "norm": norm}
+        return {"n": np.array([n]), "err": err, "norm": norm}
 
     rows = df.select("idx", "val") if sparse else df.select("y")
-    r = flat_sum(rows, {"err": (len(fits), d), "norm": (d,)}, accumulate)
+    r = flat_sum(rows, {"n": (1,), "err": (len(fits), d), "norm": (d,)}, accumulate)
     err, norm = r["err"], r["norm"]
+    if not r["n"][0] and not absent:
+        return np.full_like(err, np.nan), np.full_like(norm, np.nan)
     if absent:
         err = err + absent * np.stack([np.abs(m - (m @ w) @ c.T) for w, c in fits])
         norm = norm + absent * np.abs(m)
@@ -90,9 +95,16 @@ def l1_error(
     return err[0], norm
 
 
-def l1_ratio(err: np.ndarray, norm: np.ndarray) -> float:
-    top = float(np.max(norm, initial=0.0))
-    return float(np.max(err, initial=0.0)) / top if top > 0 else 0.0
+def l1_ratio(err: np.ndarray, norm: np.ndarray) -> float | None:
+    """The relative error; None when it is not defined.
+
+    That is so when no row was looked at, and for a constant matrix that is not
+    reproduced.  A constant matrix that is reproduced has error 0.
+    """
+    top, most = (float(np.max(a, initial=0.0)) for a in (norm, err))
+    if top > 0:
+        return most / top
+    return 0.0 if top == 0 and most == 0 else None
 
 
 def array_sum(df: DataFrame, array: str, *keys: str) -> DataFrame:
@@ -120,6 +132,18 @@ def covariance_matrix(df: DataFrame, d: int | None = None, ddof: int = 0) -> Dat
     return matrix_frame(df.sparkSession, g / (n - ddof))
 
 
+def normalized_scatter_frame(df: DataFrame, d: int | None = None) -> DataFrame:
+    """``i, j, value`` of Z'Z for any width: tiles beyond MAX_GRAM_COLUMNS, as for covariances."""
+    d = width(df, d)
+    if d <= MAX_GRAM_COLUMNS:
+        return matrix_frame(df.sparkSession, normalized_scatter(df, d))
+    stats = column_stats(df, d)
+    scale = 1.0 / (stats.var_pop * stats.n_rows)
+    pairs = scatter_pairs(df, d, 0)
+    by = lambda c: F.element_at(literal_array(scale), F.col(c) + 1)
+    return pairs.select("i", "j", (F.col("value") * float(stats.n_rows) * by("i") * by("j")).alias("value"))
+
+
 def normalized_scatter(df: DataFrame, d: int | None = None) -> np.ndarray:
     """Z'Z of the variance-normalised rows, from one scatter pass.
 

@@ -30,6 +30,17 @@ def width(df: DataFrame, d: int | None = None, col: str = "y") -> int:
     return first[0]
 
 
+def checked_rows(col: str, d: int):
+    """The array column, raising for rows that are NULL or have another width: all plans
+    treat such rows alike."""
+    wrong = F.concat(
+        F.lit("ragged matrix rows: "),
+        F.coalesce(F.size(col).cast("string"), F.lit("a matrix row is NULL")),
+        F.lit(f" where {d} values are expected in each"),
+    )
+    return F.when(F.size(col) == d, F.col(col)).otherwise(F.raise_error(wrong).cast("array<double>"))
+
+
 def dense_block(column: pa.Array, d: int) -> np.ndarray:
     """List column -> (rows, d) float64; NULL becomes NaN."""
     if isinstance(column, pa.ChunkedArray):
@@ -51,18 +62,37 @@ def iter_blocks(batches: Iterable[pa.RecordBatch], d: int) -> Iterator[np.ndarra
             yield dense_block(batch.column(0).slice(start, rows), d)
 
 
-def list_array(block: np.ndarray) -> pa.Array:
+def rows_with_null(column: pa.Array) -> np.ndarray:
+    """Which rows of a list column (without NULL rows) have a NULL cell."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten()
+    if not flat.null_count:
+        return np.zeros(len(column), dtype=bool)
+    null = np.flatnonzero(flat.is_null().to_numpy(zero_copy_only=False))
+    ends = np.cumsum(np.diff(column.offsets.to_numpy()))
+    out = np.zeros(len(column), dtype=bool)
+    out[np.searchsorted(ends, null, side="right")] = True
+    return out
+
+
+def list_array(block: np.ndarray, null_rows: np.ndarray | None = None) -> pa.Array:
+    """Rows as lists; all cells of ``null_rows`` are NULL."""
     n, k = block.shape
+    mask = None if null_rows is None or not null_rows.any() else np.repeat(null_rows, k)
     return pa.ListArray.from_arrays(
         pa.array(np.arange(0, (n + 1) * k, k, dtype=np.int32) if k else np.zeros(n + 1, np.int32)),
-        pa.array(np.ascontiguousarray(block).ravel(), from_pandas=False),
+        pa.array(np.ascontiguousarray(block).ravel(), from_pandas=False, mask=mask),
     )
 
 
 def map_rows(
     df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], out: str, d: int, col: str = "y"
 ) -> DataFrame:
-    """Adds ``out ARRAY<DOUBLE>`` = fn(block of ``col``); drops ``col``."""
+    """Adds ``out ARRAY<DOUBLE>`` = fn(block of ``col``); drops ``col``.
+
+    A row with a NULL cell has NULL in all its results.
+    """
     keep = [c for c in df.columns if c != col]
     schema = T.StructType(
         [df.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.DoubleType()))]
@@ -73,9 +103,11 @@ def map_rows(
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                block = dense_block(part.column(part.schema.get_field_index(col)), d)
+                source = part.column(part.schema.get_field_index(col))
+                block = dense_block(source, d)
                 cols = [part.column(part.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays(cols + [list_array(fn(block))], names=keep + [out])
+                made = list_array(fn(block), rows_with_null(source))
+                yield pa.RecordBatch.from_arrays(cols + [made], names=keep + [out])
 
     return df.mapInArrow(task, schema)
 
@@ -96,7 +128,7 @@ def linear_rows(
     check_bytes("projection matrix", d * k)
     shift = np.zeros(k) if offset is None else np.asarray(offset, float)
     if d * k <= MAX_WIDE_PRODUCTS:
-        y = F.col(col)
+        y = checked_rows(col, d)
         cells = [
             sum((y[i] * float(matrix[i, j]) for i in range(d)), F.lit(float(shift[j]))) for j in range(k)
         ]

@@ -17,11 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .blocks import flat_sum, iter_blocks, list_array, width
+from .blocks import checked_rows, flat_sum, iter_blocks, list_array, width
 from .budget import BLOCK_CELLS, MAX_WIDE_AGGREGATES, check_bytes, gram_fits, wide_gram_fits
 
-HEAD_ROWS = 256
-
 
 @dataclass(frozen=True)
 class ColumnStats:
@@ -46,91 +44,100 @@ class ColumnStats:
         return float(np.sum(self.var_pop * self.count))
 
 
-def head_shift(df: DataFrame, d: int | None = None) -> tuple[int, np.ndarray]:
-    """(number of columns, column means of a few rows); the means are only a
-    numerically convenient origin."""
-    rows = [r[0] for r in df.select("y").limit(HEAD_ROWS).collect()]
-    if not rows:
+def _sums(df: DataFrame, d: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, observed cells per column, their means) over all rows."""
+
+    def accumulate(batches):
+        n, c, s = 0, np.zeros(d), np.zeros(d)
+        for block in iter_blocks(batches, d):
+            ok = ~np.isnan(block)
+            n += len(block)
+            c += ok.sum(axis=0)
+            s += np.where(ok, block, 0.0).sum(axis=0)
+        return {"n": np.array([n]), "c": c, "s": s} if n else None
+
+    r = flat_sum(df.select("y"), {"n": (1,), "c": (d,), "s": (d,)}, accumulate)
+    if r["n"][0] == 0:
         raise ValueError("empty matrix")
-    d = len(rows[0]) if d is None else d
-    if any(len(y) != d for y in rows):
-        raise ValueError(f"ragged matrix rows: expected {d} values in each")
-    block = np.array(rows, dtype=float).reshape(len(rows), d)
-    ok = np.isfinite(block)
-    return d, np.where(ok, block, 0.0).sum(axis=0) / np.maximum(ok.sum(axis=0), 1)
+    with np.errstate(invalid="ignore"):
+        return int(r["n"][0]), r["c"], r["s"] / np.maximum(r["c"], 1)
 
 
 def column_stats(df: DataFrame, d: int | None = None) -> ColumnStats:
-    """Counts, means and population variances; NULL and NaN cells are left out."""
-    d, shift = head_shift(df, d)
+    """Counts, means and population variances; NULL and NaN cells are left out.
+
+    Narrow rows: the engine's own stable aggregates, one pass.  Wide rows: a pass for
+    the means and one for squared distances from them.
+    """
+    d = width(df, d)
     if 3 * d + 1 <= MAX_WIDE_AGGREGATES:
+        rows = df.select(checked_rows("y", d).alias("y"))
         aggs = [F.count("*").alias("n")]
         for j in range(d):
-            y = F.nanvl(F.col("y")[j], F.lit(None).cast("double")) - F.lit(float(shift[j]))
-            aggs += [
-                F.count(y).alias(f"c{j}"),
-                F.sum(y).alias(f"s{j}"),
-                F.sum(y * y).alias(f"q{j}"),
-            ]
-        r = df.agg(*aggs).first()
-        n = r["n"]
-        c, s, q = (np.array([r[f"{p}{j}"] or 0 for j in range(d)], float) for p in "csq")
-    else:
-
-        def accumulate(batches):
-            n, c, s, q = 0, np.zeros(d), np.zeros(d), np.zeros(d)
-            for block in iter_blocks(batches, d):
-                ok = ~np.isnan(block)
-                z = np.where(ok, block - shift, 0.0)
-                n += len(block)
-                c += ok.sum(axis=0)
-                s += z.sum(axis=0)
-                q += np.einsum("ij,ij->j", z, z)
-            return {"n": np.array([n]), "c": c, "s": s, "q": q} if n else None
+            y = F.nanvl(F.col("y")[j], F.lit(None).cast("double"))
+            aggs += [F.count(y).alias(f"c{j}"), F.avg(y).alias(f"m{j}"), F.var_pop(y).alias(f"v{j}")]
+        r = rows.agg(*aggs).first()
+        if r["n"] == 0:
+            raise ValueError("empty matrix")
+        c, mean, var = (np.array([np.nan if r[f"{p}{j}"] is None else r[f"{p}{j}"] for j in range(d)], float) for p in "cmv")
+        return ColumnStats(int(r["n"]), c, mean, var)
+    n, c, mean = _sums(df, d)
+
+    def accumulate(batches):
+        s, q = np.zeros(d), np.zeros(d)
+        for block in iter_blocks(batches, d):
+            z = np.where(np.isnan(block), 0.0, block - mean)
+            s += z.sum(axis=0)
+            q += np.einsum("ij,ij->j", z, z)
+        return {"s": s, "q": q}
 
-        r = flat_sum(df.select("y"), {"n": (1,), "c": (d,), "s": (d,), "q": (d,)}, accumulate)
-        n, c, s, q = int(r["n"][0]), r["c"], r["s"], r["q"]
-    if n == 0:
-        raise ValueError("empty matrix")
-    safe = np.maximum(c, 1)
     with np.errstate(invalid="ignore"):  # infinite cells give NaN
-        var = np.maximum(q / safe - (s / safe) ** 2, 0.0)
-    return ColumnStats(int(n), c, np.where(c > 0, shift + s / safe, np.nan), np.where(c > 0, var, np.nan))
+        r = flat_sum(df.select("y"), {"s": (d,), "q": (d,)}, accumulate)
+        safe = np.maximum(c, 1)
+        # what the rounding of the means has left over
+        var = np.maximum(r["q"] / safe - (r["s"] / safe) ** 2, 0.0)
+        return ColumnStats(n, c, np.where(c > 0, mean + r["s"] / safe, np.nan), np.where(c > 0, var, np.nan))
 
 
 def scatter(df: DataFrame, d: int | None = None) -> tuple[int, np.ndarray, np.ndarray]:
-    """(N, mean, Yc'Yc) in one pass over complete rows."""
-    d, shift = head_shift(df, d)
+    """(N, mean, Yc'Yc) over complete rows: one pass when narrow, else one for the means first."""
+    d = width(df, d)
+    gaps = "NULL, NaN or infinite cells: use the fit for missing values"
     if wide_gram_fits(d):
-        z = [F.col("y")[j] - F.lit(float(shift[j])) for j in range(d)]
+        rows = df.select(checked_rows("y", d).alias("y"))
+        y = [F.col("y")[j] for j in range(d)]
         aggs = [F.count("*").alias("n")]
-        aggs += [F.count(z[j]).alias(f"c{j}") for j in range(d)]
-        aggs += [F.sum(z[j]).alias(f"s{j}") for j in range(d)]
-        aggs += [F.sum(z[i] * z[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)]
-        r = df.agg(*aggs).first()
+        aggs += [F.count(y[j]).alias(f"c{j}") for j in range(d)]
+        aggs += [F.avg(y[j]).alias(f"m{j}") for j in range(d)]
+        aggs += [F.covar_pop(y[i], y[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)]
+        r = rows.agg(*aggs).first()
         n = r["n"]
+        if n == 0:
+            raise ValueError("empty matrix")
         if any(r[f"c{j}"] != n for j in range(d)):
-            raise ValueError("NULL cells: use the fit for missing values")
-        s = np.array([r[f"s{j}"] for j in range(d)], float)
-        g = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)], float)
+            raise ValueError(gaps)
+        mean = np.array([r[f"m{j}"] for j in range(d)], float)
+        g = n * np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)], float)
     else:
         check_bytes("scatter matrix", d * d)
+        n, c, mean = _sums(df, d)
+        if np.any(c != n) or not np.all(np.isfinite(mean)):
+            raise ValueError(gaps)
 
         def accumulate(batches):
-            n, s, g = 0, np.zeros(d), np.zeros((d, d))
+            s, g = np.zeros(d), np.zeros((d, d))
             for block in iter_blocks(batches, d):
-                z = block - shift
-                n += len(block)
+                z = block - mean
                 s += z.sum(axis=0)
                 g += z.T @ z
-            return {"n": np.array([n]), "s": s, "g": g} if n else None
+            return {"s": s, "g": g}
 
-        r = flat_sum(df.select("y"), {"n": (1,), "s": (d,), "g": (d, d)}, accumulate)
-        n, s, g = int(r["n"][0]), r["s"], r["g"]
-    g = g - np.outer(s, s) / n
+        r = flat_sum(df.select("y"), {"s": (d,), "g": (d, d)}, accumulate)
+        s = r["s"]
+        g, mean = r["g"] - np.outer(s, s) / n, mean + s / n
     if not np.all(np.isfinite(g)):
-        raise ValueError("NULL, NaN or infinite cells: use the fit for missing values")
-    return int(n), shift + s / n, g
+        raise ValueError(gaps)
+    return int(n), mean, g
 
 
 def score_square(w: np.ndarray, ytx: np.ndarray) -> np.ndarray:
@@ -252,11 +259,16 @@ def sparse_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.nda
     val = batch.column(batch.schema.get_field_index("val"))
     lengths = np.diff(idx.offsets.to_numpy())
     rows = np.repeat(np.arange(batch.num_rows), lengths)
-    return (
-        rows,
-        idx.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
-        val.flatten().to_numpy(zero_copy_only=False).astype(np.float64),
-    )
+    cols = idx.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    values = val.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(cols) != len(values):
+        raise ValueError("sparse rows: idx and val differ in length")
+    if not np.all(np.isfinite(values)):
+        raise ValueError("NULL, NaN or infinite cells in sparse rows")
+    rising = (rows[1:] != rows[:-1]) | (cols[1:] > cols[:-1])
+    if not rising.all() and len(np.unique(np.stack((rows, cols)), axis=1)[0]) != len(rows):
+        raise ValueError("sparse rows: a column is repeated in a row")
+    return rows, cols, values
 
 
 def iter_sparse_blocks(batches, d: int):
@@ -306,23 +318,33 @@ class SparseMoments(_PassMoments):
         self.d = d
 
         def accumulate(batches):
-            n, s, q = 0, np.zeros(d), np.zeros(d)
+            n, s, nnz = 0, np.zeros(d), np.zeros(d)
             for batch in batches:
                 _, cols, values = sparse_arrays(batch)
                 n += batch.num_rows
                 s += np.bincount(cols, weights=values, minlength=d)
-                q += np.bincount(cols, weights=values * values, minlength=d)
-            return {"n": np.array([n]), "s": s, "q": q} if n else None
+                nnz += np.bincount(cols, minlength=d)
+            return {"n": np.array([n]), "s": s, "nnz": nnz} if n else None
 
-        r = flat_sum(self.df, {"n": (1,), "s": (d,), "q": (d,)}, accumulate)
+        r = flat_sum(self.df, {"n": (1,), "s": (d,), "nnz": (d,)}, accumulate)
         self.stored = int(r["n"][0])
         if n_rows is not None and n_rows < self.stored:
             raise ValueError(f"{n_rows} rows announced, {self.stored} found")
         self.n = n_rows or self.stored
         if self.n == 0:
             raise ValueError("empty matrix")
-        self.mean = r["s"] / self.n
-        self.col_ss = r["q"] - self.n * self.mean**2
+        self.mean = mean = r["s"] / self.n
+
+        def squares(batches):
+            q = np.zeros(d)
+            for batch in batches:
+                _, cols, values = sparse_arrays(batch)
+                q += np.bincount(cols, weights=(values - mean[cols]) ** 2, minlength=d)
+            return {"q": q}
+
+        # distances from the mean at the stored cells, the mean itself at all others
+        q = flat_sum(self.df, {"q": (d,)}, squares)["q"]
+        self.col_ss = q + (self.n - r["nnz"]) * mean**2
 
     def moments(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d, k = w.shape
