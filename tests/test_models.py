@@ -3,6 +3,7 @@ import pytest
 from fixtures import SMALL, SMALL_LOADINGS, SMALL_NOISE, START_LOADINGS, START_NOISE, TOY, angle, low_rank
 
 from axisloom import operators as op
+from axisloom.operators import missing
 from axisloom.operators.model import Start, StopRule
 
 
@@ -41,26 +42,6 @@ def fa_numpy(m, c, psi, rounds):
     return c, psi, ll
 
 
-def missing_numpy(m, c, rounds, reference=False):
-    """Refilling of missing cells on the whole matrix at once."""
-    z = (m - np.nanmean(m, axis=0)) / np.nanstd(m, axis=0)
-    seen = ~np.isnan(z)
-    data = np.where(seen, z, 0.0)
-    n, d = z.shape
-    missing = (~seen).sum()
-    x = data @ c @ np.linalg.inv(c.T @ c)
-    ss = np.sum(np.where(seen, x @ c.T - data, 0) ** 2) / (n * d - missing)
-    for _ in range(rounds):
-        sx = np.linalg.inv(np.eye(c.shape[1]) + c.T @ c / ss)
-        data = np.where(seen, data, x @ c.T)
-        x = data @ c @ sx / ss
-        c = data.T @ x @ np.linalg.inv(x.T @ x + n * sx)
-        recon = x @ c.T
-        residual = np.where(seen, recon - data, -data if reference else 0)
-        ss = (np.sum(residual**2) + n * np.sum(c.T @ c * sx) + missing * ss) / (n * d)
-    return c, ss, data
-
-
 @pytest.mark.parametrize("plan", ["gram", "rows"])
 @pytest.mark.parametrize("term,weight", [("exact", None), ("reference", 1)])
 def test_ppca_equals_explicit_rounds(as_rows, plan, term, weight):
@@ -141,27 +122,61 @@ def test_fa_likelihood_never_falls_and_finds_the_noise(as_rows):
     assert np.allclose(model.covariance(), np.cov(m.T, ddof=0), rtol=0.1, atol=0.05)
 
 
-@pytest.mark.parametrize("every", [2, 10])
-@pytest.mark.parametrize("reference", [False, True])
-def test_missing_cells_equal_whole_matrix_refill(as_rows, every, reference):
+def fit_with_gaps(as_rows, noise_term="exact", **more):
     m = low_rank(120, 6)
     m[np.random.default_rng(5).random(m.shape) < 0.15] = np.nan
     c0 = np.random.default_rng(6).standard_normal((6, 2))
-    fit = op.ppca_missing_fit(
-        as_rows(m), 2, max_iter=5, tol=0, init=Start(c0), checkpoint_every=every,
-        noise_term="reference" if reference else "exact",
-    )
-    c, ss, data = missing_numpy(m, c0, 5, reference)
-    assert fit.n_missing == np.isnan(m).sum()
-    assert np.allclose(fit.model.loadings, c, rtol=1e-8)
-    assert np.isclose(fit.model.noise[0], ss, rtol=1e-8)
-    q = fit.model.axes
+    more = {"max_iter": 5, "tol": 0, **more}
+    return m, op.ppca_missing_fit(as_rows(m), 2, init=Start(c0), noise_term=noise_term, **more)
+
+
+@pytest.mark.parametrize("noise_term", ["exact", "reference"])
+def test_sums_by_pattern_and_passes_over_rows_agree(as_rows, monkeypatch, noise_term):
+    m, by_pattern = fit_with_gaps(as_rows, noise_term)
+    assert by_pattern.n_missing == np.isnan(m).sum()
+    monkeypatch.setattr(missing, "MAX_PATTERNS", 1)
+    for every, masked in ((2, 0), (2, 1 << 20), (10, 1 << 20)):
+        monkeypatch.setattr(missing, "MAX_MASKED_MOMENTS", masked)
+        _, fit = fit_with_gaps(as_rows, noise_term, checkpoint_every=every)
+        for name in ("loadings", "noise", "axes", "eigenvalues", "var_exp"):
+            assert np.allclose(getattr(fit.model, name), getattr(by_pattern.model, name), rtol=1e-6, atol=1e-9), name
+        for frame, col in (("scores", "x"), ("filled", "y")):
+            a, b = (np.array([r[col] for r in getattr(f, frame)().orderBy("row_id").collect()]) for f in (fit, by_pattern))
+            assert np.allclose(a, b, atol=1e-8)
+        fit.close()
+    by_pattern.close()
+
+
+def test_scores_and_filled_rows_belong_together(as_rows):
+    m, fit = fit_with_gaps(as_rows)
+    model, seen = fit.model, ~np.isnan(m)
+    filled = np.array([r.y for r in fit.filled().orderBy("row_id").collect()])
+    assert np.allclose(filled[seen], m[seen]) and np.isfinite(filled).all()
+    data = (filled - model.mean) / model.scale
     scores = np.array([r.x for r in fit.scores().orderBy("row_id").collect()])
-    assert np.allclose(scores, data @ q, atol=1e-8)
-    assert np.allclose(fit.model.eigenvalues, np.var(data @ q, axis=0, ddof=1), rtol=1e-6)
-    assert np.allclose(fit.model.var_exp, np.cumsum(fit.model.eigenvalues) / data.var(axis=0).sum())
+    assert np.allclose(scores, data @ model.axes, atol=1e-8)
+    assert np.allclose(model.eigenvalues, np.var(scores, axis=0, ddof=1), rtol=1e-6)
+    assert np.allclose(model.var_exp, np.cumsum(model.eigenvalues) / data.var(axis=0).sum())
+
+
+def test_a_settled_fit_fills_cells_with_what_the_model_expects(as_rows):
+    m, fit = fit_with_gaps(as_rows, max_iter=4000, tol=1e-13)
+    model = fit.model
     filled = np.array([r.y for r in fit.filled().orderBy("row_id").collect()])
-    assert np.allclose(filled[~np.isnan(m)], m[~np.isnan(m)])
+    z = (filled - model.mean) / model.scale
+    # regression of each row's missing cells on its seen ones under the model's covariance
+    cov = model.covariance()
+    for row, gaps in zip(z, np.isnan(m)):
+        if gaps.any():
+            want = cov[np.ix_(gaps, ~gaps)] @ np.linalg.solve(cov[np.ix_(~gaps, ~gaps)], row[~gaps])
+            assert np.allclose(row[gaps], want, atol=2e-2)
+
+
+def test_wide_fit_with_the_default_number_of_components(as_rows):
+    m = np.random.default_rng(8).normal(size=(30, 1600))
+    m[3, 5] = np.nan
+    fit = op.ppca_missing_fit(as_rows(m), max_iter=1, d=1600)
+    assert fit.model.k == 320 and np.isfinite(fit.model.loadings).all()
 
 
 def test_missing_fit_on_complete_rows_is_ppca(as_rows):
