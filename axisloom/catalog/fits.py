@@ -10,7 +10,6 @@ from ..operators.model import Start
 from ..operators.pca import shares_frame
 from ..plans.moments import column_stats
 from ..session import scratch_path
-from ..sources import rows_from_columns
 from . import register as r
 from .register import query
 
@@ -474,16 +473,185 @@ SELECT method, grp, round(CASE WHEN method = 'ppca' THEN (e0 + e1) / total
 
 @query("model_comparison", comparison_sql())
 def comparison(spark, sf):
-    """Groups by return flag, one fit each; every group is read as a filtered scan."""
-    items = r.table(spark, sf, "lineitem")
-    flags = sorted(row[0] for row in items.select("l_returnflag").distinct().collect())
-    groups = {
-        flag: rows_from_columns(
-            items.filter(F.col("l_returnflag") == flag),
-            ["l_quantity", F.col("l_quantity") * (1 - F.col("l_discount")), F.col("l_extendedprice") / 1000],
-            "l_orderkey",
-        )
-        for flag in flags
-    }
-    out = op.model_comparison(groups, 2, max_iter=7)
+    """Groups by return flag: one grouped pass, the fits of all groups side by side."""
+    columns = ["l_quantity", F.col("l_quantity") * (1 - F.col("l_discount")), F.col("l_extendedprice") / 1000]
+    items = r.table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("grp"), F.array(*[F.col(c) if isinstance(c, str) else c for c in columns]).alias("y")
+    )
+    out = op.model_comparison(items, 2, 3, max_iter=7)
     return out.withColumn("share", r.rounded(F.col("share")))
+
+
+@query("fit_history", history_sql(3))
+def fit_history(spark, sf):
+    """Objective, its change and the error over all rows, round by round."""
+    z = op.zscore_rows(r.correlated(spark, sf))
+    model = op.ppca_fit(z, 1, max_iter=3, tol=0, error_tol=-1, init=start(3, START_NOISE))
+    return model.history_frame(spark).select(
+        "round", *[r.rounded(F.col(c)).alias(c) for c in ("objective", "rel_change", "error")]
+    )
+
+
+def fa_history_sql(rounds: int) -> str:
+    body = fa_k1_sql(rounds)
+    body = body[: body.rindex("SELECT 0 AS col_id")] if "SELECT 0 AS col_id" in body else body
+    lines = "\n UNION ALL ".join(f"SELECT {i} AS round, round(ll, 3) + 0.0 AS log_likelihood FROM p{i}" for i in range(1, rounds + 1))
+    return body + lines
+
+
+@query("fa_history", fa_history_sql(3))
+def fa_history(spark, sf):
+    """Log-likelihood of the parameters that each round starts with."""
+    z = op.zscore_rows(r.correlated(spark, sf))
+    model = op.fa_fit(z, 1, max_iter=3, tol=-np.inf, error_rate=0, init=start(3, np.array(START_PSI)))
+    return model.history_frame(spark).select("round", r.rounded(F.col("objective"), 3).alias("log_likelihood"))
+
+
+def job_sql() -> str:
+    body = cells_k1_sql(2)
+    body = body[: body.rindex("SELECT 0 AS col_id")] if body.count("SELECT 0 AS col_id") == 1 else body
+    pcs = "\n UNION ALL ".join(f"SELECT 'loading' AS what, {j} AS item, round(c{j}, 6) + 0.0 AS value FROM p2" for j in range(5))
+    x = add(5, "y{j} * p2.c{j}")
+    return f"""{body}{pcs}
+ UNION ALL SELECT 'score', row_number() OVER (ORDER BY row_id) - 1, round({x}, 4) + 0.0 FROM wide, p2"""
+
+
+@query("job_run", job_sql())
+def job_run(spark, sf):
+    """The jobs from files to files: convert, fit from a given start, project; results read back."""
+    from ..job import run
+    from ..sources import read_dense, read_vector_text
+
+    top = scratch_path(spark, "job")
+    r.event_counts(spark, sf).write.csv(f"{top}/coo")
+    spark.createDataFrame([(str(c),) for c in START5], "value STRING").coalesce(1).write.text(f"{top}/start")
+    run(spark, ["convert", "-Input", f"{top}/coo", "-InputFmt", "COO", "-Base", "0", "-Output", f"{top}/rows", "-Cardinality", "5"])
+    run(spark, [
+        "ppca", "-i", f"{top}/rows", "-o", f"{top}/out", "-cols", "5", "-pcs", "1", "-maxIter", "2", "-start", f"{top}/start",
+        "-noise", str(START_NOISE), "-errSampleRate", "0", "-computeProjectedMatrix", "1", "-projectedFmt", "VECTOR",
+    ])
+    pcs = read_dense(spark, f"{top}/out/PCs.txt", 1).select(
+        F.lit("loading").alias("what"), F.col("row_id").alias("item"), r.rounded(F.col("y")[0]).alias("value")
+    )
+    scores = read_vector_text(spark, f"{top}/out/ProjectedMatrix").select(
+        F.lit("score").alias("what"), F.col("row_id").alias("item"), r.rounded(F.col("values")[0], 4).alias("value")
+    )
+    return pcs.unionAll(scores)
+
+
+@query("projected_parquet", f"""
+WITH {r.EMBEDDINGS}, {r.FIXED}
+SELECT row_id, comp AS col_id, round(sum(v * c), 6) + 0.0 AS value
+FROM cell JOIN fixed USING (col_id) GROUP BY row_id, comp""")
+def projected_parquet(spark, sf):
+    """Projected rows stored below a job's output folder and read back."""
+    from ..sinks import write_projected
+
+    out = scratch_path(spark, "projected")
+    model = op.FactorModel("ppca", r.fixed_loadings(), np.zeros(r.WIDTH), np.full(r.WIDTH, 0.5), 0)
+    path = write_projected(model.transform(r.embeddings(spark, sf)), out)
+    return r.cells(spark.read.parquet(path), "x")
+
+
+@query("start_values", f"""
+WITH {r.EVENT_COUNTS}, cols AS (SELECT DISTINCT col_id FROM counts)
+SELECT col_id, CAST(j AS INTEGER) AS comp,
+       round(CAST('0x' || substr(md5(col_id || ':7:' || j), 1, 7) AS BIGINT) / 268435456.0, 9) AS value
+FROM cols, range(3) k(j)""")
+def drawn_start(spark, sf):
+    """Start loadings drawn from the columns' numbers: the same on every cluster."""
+    from ..operators.cells_fit import uniform_start
+
+    columns = r.event_counts(spark, sf).select("col_id").distinct()
+    drawn = columns.select("col_id", F.posexplode(uniform_start(3, 7)).alias("comp", "value"))
+    return drawn.withColumn("value", F.round("value", 9))
+
+
+@query("sample_default_rate", """
+WITH n AS (SELECT count(*) AS n FROM orders), rate AS (SELECT n, pow(10, least(0, 4 - length(CAST(n AS VARCHAR)))) AS rate FROM n)
+SELECT n, rate, CAST(count(o_orderkey) AS BIGINT) AS sampled, round(coalesce(sum(o_totalprice), 0), 2) + 0.0 AS total
+FROM rate LEFT JOIN orders ON rate = 1 OR CAST('0x' || substr(md5(o_orderkey || ':3'), 1, 8) AS BIGINT) < floor(rate * 4294967296)
+GROUP BY n, rate""")
+def sample_default_rate(spark, sf):
+    """The share of rows that the error looks at by default in a job, and the sample it gives."""
+    orders = r.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    n = orders.count()
+    rate = op.default_sample_rate(n)
+    sample = op.sample_rows(orders, rate, seed=3, key="o_orderkey")
+    return sample.agg(F.count("*").alias("sampled"), r.rounded(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("total")).select(
+        F.lit(n).cast("bigint").alias("n"), F.lit(rate).alias("rate"), "sampled", "total"
+    )
+
+
+def missing_k2_sql(rounds: int, n: int = 4) -> str:
+    """The refilling fit with two components from a fixed start, on wide rows."""
+    begin = ", ".join(
+        f"{a}::DOUBLE AS a{j}, {b}::DOUBLE AS b{j}" for j, (a, b) in enumerate(r.fixed_loadings(n, 2).tolist())
+    )
+    products = [add(n, t) for t in ("a{j} * a{j}", "a{j} * b{j}", "b{j} * b{j}")]
+    residual = add(n, "coalesce(pow(u * a{j} + v * b{j} - z{j}, 2), 0)")
+    keep = each(n, "z{j}")
+    ctes = [
+        zscored(r.LINEITEM_GAPS, "lineitem4", n),
+        f"total AS (SELECT count(*) AS n, sum({add(n, '(z{j} IS NULL)::INT')}) AS missing FROM z)",
+        f"i0 AS (SELECT {begin})",
+        inverse2("i0", "c0", *products),
+        f"f0 AS (SELECT {keep}, {each(n, 'a{j}, b{j}')}, i00, i01, i11, {add(n, 'coalesce(z{j}, 0) * a{j}')} AS s, "
+        f"{add(n, 'coalesce(z{j}, 0) * b{j}')} AS t FROM z, c0)",
+        f"x0 AS (SELECT {keep}, {each(n, 'a{j}, b{j}')}, s * i00 + t * i01 AS u, s * i01 + t * i11 AS v FROM f0)",
+        f"p0 AS (SELECT {each(n, 'max(a{j}) AS a{j}, max(b{j}) AS b{j}')}, sum({residual}) / (max(n) * {n} - max(missing)) AS ss FROM x0, total)",
+    ]
+    for i in range(rounds):
+        k = i + 1
+        ctes += [
+            inverse2(f"p{i}", f"q{i}", f"1 + ({products[0]}) / ss", f"({products[1]}) / ss", f"1 + ({products[2]}) / ss"),
+            f"d{i} AS (SELECT {each(n, 'e.z{j}')}, {each(n, 'coalesce(e.z{j}, e.u * q.a{j} + e.v * q.b{j}) AS f{j}')}, "
+            f"{each(n, 'q.a{j}, q.b{j}')}, q.i00, q.i01, q.i11, q.ss FROM x{i} e, q{i} q)",
+            f"h{i} AS (SELECT *, ({add(n, 'f{j} * a{j}')}) / ss AS s, ({add(n, 'f{j} * b{j}')}) / ss AS t FROM d{i})",
+            f"y{i} AS (SELECT *, s * i00 + t * i01 AS u, s * i01 + t * i11 AS v FROM h{i})",
+            f"s{i} AS (SELECT {each(n, 'sum(f{j} * u) AS ta{j}, sum(f{j} * v) AS tb{j}')}, sum(u * u) + count(*) * max(i00) AS m00, "
+            f"sum(u * v) + count(*) * max(i01) AS m01, sum(v * v) + count(*) * max(i11) AS m11, "
+            f"max(i00) AS x00, max(i01) AS x01, max(i11) AS x11, max(ss) AS ss FROM y{i})",
+            inverse2(f"s{i}", f"m{i}", "m00", "m01", "m11"),
+            f"n{i} AS (SELECT {each(n, 'ta{j} * i00 + tb{j} * i01 AS a{j}, ta{j} * i01 + tb{j} * i11 AS b{j}')}, x00, x01, x11, ss FROM m{i})",
+            f"x{k} AS (SELECT {each(n, 'y.z{j}')}, y.u, y.v, {each(n, 'k.a{j}, k.b{j}')}, x00, x01, x11, k.ss FROM y{i} y, n{i} k)",
+            f"r{i} AS (SELECT {each(n, 'max(a{j}) AS a{j}, max(b{j}) AS b{j}')}, sum({residual}) AS res, max(x00) AS x00, max(x01) AS x01, "
+            f"max(x11) AS x11, max(ss) AS ss FROM x{k})",
+            f"p{k} AS (SELECT {each(n, 'a{j}, b{j}')}, (res + n * (({products[0]}) * x00 + 2 * ({products[1]}) * x01 + ({products[2]}) * x11)"
+            f" + missing * ss) / (n * {n}) AS ss FROM r{i}, total)",
+        ]
+    last = "\n UNION ALL ".join(
+        f"SELECT {j} AS col_id, {c} AS comp, round({x}{j}, 6) + 0.0 AS loading, round(ss, 6) + 0.0 AS noise FROM p{rounds}"
+        for j in range(n) for c, x in enumerate("ab")
+    )
+    return "WITH " + ",\n".join(ctes) + "\n" + last
+
+
+@query("ppca_missing_fit_k2", missing_k2_sql(3))
+def missing_k2(spark, sf):
+    """Two components from a fixed start, three rounds."""
+    begin = Start(r.fixed_loadings(4, 2), None)
+    model = op.ppca_missing_fit(r.lineitem_gaps(spark, sf), 2, max_iter=3, tol=0, init=begin).model
+    return model.components(spark).select(
+        "col_id", F.posexplode("loadings").alias("comp", "loading"), r.rounded(F.col("noise")).alias("noise")
+    ).withColumn("loading", r.rounded(F.col("loading")))
+
+
+CLASSES = 10
+
+
+@query("classifier_confusion", f"""
+WITH {r.EMBEDDINGS}, w AS (
+  SELECT CAST(i AS INTEGER) AS col_id, CAST(c AS INTEGER) AS cls, ((i * 7 + c * 13) % 11 - 5) / 10.0::DOUBLE AS w
+  FROM range({r.WIDTH}) a(i), range({CLASSES}) b(c)),
+s AS (SELECT row_id, cls, sum(v * w) AS s FROM cell JOIN w USING (col_id) GROUP BY row_id, cls),
+best AS (SELECT row_id, cls, row_number() OVER (PARTITION BY row_id ORDER BY round(s, 9) DESC, cls) AS place FROM s),
+p AS (SELECT CAST(label AS INTEGER) AS label, cls AS predicted FROM best JOIN embeddings ON vec_id = row_id WHERE place = 1)
+SELECT label, predicted, count(*) AS n, (SELECT round(avg((label = predicted)::INT), 6) FROM p) AS accuracy FROM p GROUP BY label, predicted""")
+def classifier_confusion(spark, sf):
+    """A linear scorer with given weights: how labels and predictions meet."""
+    table = r.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("y"), F.col("label").cast("int").alias("label")
+    )
+    scored = op.linear_classes(table, r.fixed_loadings(r.WIDTH, CLASSES))
+    return op.confusion(scored, "label").withColumn("accuracy", F.round("accuracy", 6))

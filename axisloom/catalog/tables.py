@@ -95,7 +95,7 @@ def trial_text(spark, sf):
         F.col("row_id").alias("Unnamed: 0"), *sweeps, F.lit("-").alias("dx")
     )
     wide.write.option("header", True).csv(path)
-    long = read_trials(spark, path)
+    long = read_trials(spark, path, multi_line=False)
     return long.select("cell", "trial", "t", r.rounded(F.col("value")).alias("value"))
 
 

@@ -14,12 +14,14 @@ import os
 import re
 import sys
 
+import numpy as np
 from pyspark.sql import SparkSession
 
 from .operators import fa_fit, ppca_fit
+from .operators.model import Start
 from .sinks import write_matrix, write_projected
 from .sinks.text import FORMATS as OUTPUT_FORMATS
-from .sources import convert_matrix, scan_rows
+from .sources import convert_matrix, read_dense, scan_rows
 from .sources.text import FORMATS as INPUT_FORMATS
 
 
@@ -58,7 +60,9 @@ def parser() -> argparse.ArgumentParser:
         option(fit, "outFmt", type=str.upper, choices=OUTPUT_FORMATS, default="DENSE")
         option(fit, "computeProjectedMatrix", "-ComputeProjectedMatrix", type=int, choices=(0, 1), default=0)
         option(fit, "projectedFmt", type=str.upper, choices=("PARQUET", "VECTOR"), default="PARQUET")
-        option(fit, "seed", type=int, default=0)
+        option(fit, "seed", type=int, default=0, help="of the drawn start values")
+        option(fit, "start", help="dense text of start loadings, a line per column, in place of drawn ones")
+        option(fit, "noise", type=float, help="start noise variance, with -start")
         option(fit, "canonical", action="store_true", help="rotate and order the components")
     return top
 
@@ -75,8 +79,12 @@ def run(spark: SparkSession, args: list[str]):
     fit = ppca_fit if a.job == "ppca" else fa_fit
     if "idx" in rows.columns and a.cols is None:
         parser().error("sparse rows need -cols")
+    init = a.seed
+    if a.start is not None:
+        lines = read_dense(spark, a.start, a.pcs).orderBy("row_id").collect()
+        init = Start(np.array([r.y for r in lines]), a.noise if a.job == "ppca" or a.noise is None else np.full(len(lines), a.noise))
     model = fit(
-        rows, a.pcs, d=a.cols, max_iter=a.maxIter, error_rate=a.errSampleRate, n_rows=a.rows, init=a.seed,
+        rows, a.pcs, d=a.cols, max_iter=a.maxIter, error_rate=a.errSampleRate, n_rows=a.rows, init=init,
         canonical=a.canonical,
     )
     model.save(spark, os.path.join(a.o, "model"))

@@ -10,7 +10,15 @@ from .cells import (
     trials_to_matrix,
 )
 from .cells_fit import CellModel, cross_moments_cells, fit_cells, latent_scores_cells
-from .evaluate import accuracy_of, explained_variance, model_comparison, score_summary, singular_value_share
+from .evaluate import (
+    accuracy_of,
+    confusion,
+    explained_variance,
+    linear_classes,
+    model_comparison,
+    score_summary,
+    singular_value_share,
+)
 from .lagged import lagged_covariance
 from .model import FactorModel
 from .pca import pca_fit
@@ -25,6 +33,7 @@ from .rows import (
     coo_to_sparse,
     drop_out_of_range,
     fill_missing,
+    default_sample_rate,
     first_rows,
     keep_observed_columns,
     latent_scores,

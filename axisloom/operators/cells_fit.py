@@ -8,12 +8,13 @@ round is two joins with the cells.  Only k x k sums reach the driver.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.blocks import flat_sum, list_array
 from ..plans.joins import join_lookup
 from ..session import drop_stored, stored
 from .cells import column_sums_cells
@@ -21,14 +22,42 @@ from .factor import MIN_NOISE
 from .model import StopRule
 
 
-def _array(items: Sequence[Column]) -> Column:
-    return F.array(*items)
+def _lists(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    """Array columns as (rows, k) blocks, plain columns as vectors."""
+    out = []
+    for name in names:
+        column = batch.column(name)
+        values = column.flatten() if pa.types.is_list(column.type) else column
+        flat = values.to_numpy(zero_copy_only=False).astype(float)
+        out.append(flat.reshape(batch.num_rows, -1) if pa.types.is_list(column.type) else flat)
+    return out
 
 
-def _times(row: str, matrix: np.ndarray) -> Column:
-    """Row array times a small driver-side matrix, written out."""
-    k, m = matrix.shape
-    return _array([sum((F.col(row)[i] * float(matrix[i, j]) for i in range(k)), F.lit(0.0)) for j in range(m)])
+def _model_sums(table: DataFrame, shapes: dict, fn) -> dict[str, np.ndarray]:
+    """Sums of ``fn(batch)`` over the model table, in tasks."""
+
+    def accumulate(batches):
+        sums = {name: np.zeros(shape) for name, shape in shapes.items()}
+        for batch in batches:
+            if batch.num_rows:
+                for name, value in fn(batch).items():
+                    sums[name] += value
+        return sums
+
+    return flat_sum(table, shapes, accumulate)
+
+
+def _map_model(table: DataFrame, fn, schema: str) -> DataFrame:
+    """The model table with columns as ``fn(batch)`` gives them: name -> array or column."""
+
+    def task(batches):
+        for batch in batches:
+            if batch.num_rows:
+                made = fn(batch)
+                cols = [list_array(v) if isinstance(v, np.ndarray) and v.ndim == 2 else v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]
+                yield pa.RecordBatch.from_arrays(cols, names=list(made))
+
+    return table.mapInArrow(task, schema)
 
 
 def _weighted_sum(value: Column, row: str, k: int) -> list[Column]:
@@ -36,7 +65,7 @@ def _weighted_sum(value: Column, row: str, k: int) -> list[Column]:
 
 
 def _gather(df: DataFrame, key: str, out: str, k: int) -> DataFrame:
-    return df.select(key, _array([F.col(f"s{j}") for j in range(k)]).alias(out))
+    return df.select(key, F.array(*[F.col(f"s{j}") for j in range(k)]).alias(out))
 
 
 def latent_scores_cells(cells: DataFrame, matrix: DataFrame, k: int, col: str = "w") -> DataFrame:
@@ -59,14 +88,6 @@ def cross_moments_cells(cells: DataFrame, matrix: DataFrame, k: int, col: str =
     return _gather(ytx, "col_id", "ytx", k)
 
 
-def _sums(df: DataFrame, left: str, right: str, k: int, weight: Column, *more: Column):
-    """(sum over columns of weight * left right', further scalar sums), one pass over the model."""
-    a, b = F.col(left), F.col(right)
-    parts = [F.sum(weight * a[i] * b[j]).alias(f"p{i}_{j}") for i in range(k) for j in range(k)]
-    got = df.agg(*parts, *[F.sum(m).alias(f"m{i}") for i, m in enumerate(more)]).first()
-    return np.array(got[: k * k], float).reshape(k, k), [float(v) for v in got[k * k :]]
-
-
 @dataclass(frozen=True)
 class CellModel:
     """``table``: ``col_id, mean, var, noise, c``; columns without non-zeros are left out."""
@@ -76,6 +97,12 @@ class CellModel:
     k: int
     n_rows: int
     history: tuple
+    path: str | None = None
+
+    def close(self) -> None:
+        """Removes the stored table; the model can no longer be read then."""
+        if self.path is not None:
+            drop_stored(self.table.sparkSession, self.path)
 
     def transform(self, cells: DataFrame) -> DataFrame:
         """y C per row: ``row_id, x``."""
@@ -86,9 +113,13 @@ class CellModel:
 
 
 def uniform_start(k: int, seed: int) -> Column:
-    """Loadings in [0, 1) from column number and seed: equal under every partitioning."""
-    draw = lambda j: F.pmod(F.xxhash64(F.col("col_id"), F.lit(seed), F.lit(j)), F.lit(1 << 30)) / float(1 << 30)
-    return _array([draw(j) for j in range(k)])
+    """Loadings in [0, 1) from digests of column number, seed and component."""
+
+    def draw(j):
+        text = F.concat_ws(":", F.col("col_id").cast("string"), F.lit(str(seed)), F.lit(str(j)))
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("double") / float(1 << 28)
+
+    return F.array(*[draw(j) for j in range(k)])
 
 
 def fit_cells(
@@ -119,37 +150,71 @@ def fit_cells(
     if start is None:
         table = columns.withColumn("c", uniform_start(k, seed)).withColumn("noise", F.lit(0.5))
     else:
-        table = columns.join(start.select("col_id", "c", "noise"), "col_id")
+        lacking = F.raise_error(F.concat(F.lit("no start values for column "), F.col("col_id").cast("string")))
+        table = columns.join(start.select("col_id", "c", "noise"), "col_id", "left").withColumn(
+            "c", F.coalesce("c", lacking.cast("array<double>"))
+        )
     table, path = stored(table.select("col_id", "mean", "var", "noise", "c"), "model")
     isotropic = kind == "ppca"
     stop = StopRule(max_iter, (1e-5 if isotropic else 1.0) if tol is None else tol, relative=isotropic)
     while True:
-        precision, (log_noise, scaled_var, total_var) = _sums(
-            table, "c", "c", k, 1 / F.col("noise"), F.log("noise"), F.col("var") / F.col("noise"), F.col("var")
-        )
-        v = np.linalg.inv(eye + precision)
-        table = table.withColumn("w", F.transform(_times("c", v), lambda a: a / F.col("noise")))
+        def begin(batch):
+            c, noise, var = _lists(batch, "c", "noise", "var")
+            return {
+                "p": c.T @ (c / noise[:, None]),
+                "s": np.array([np.log(noise).sum(), (var / noise).sum(), var.sum()]),
+            }
+
+        r = _model_sums(table, {"p": (k, k), "s": (3,)}, begin)
+        log_noise, scaled_var, total_var = r["s"]
+        v = np.linalg.inv(eye + r["p"])
+
+        def weigh(batch, v=v):
+            c, noise = _lists(batch, "c", "noise")
+            return {"col_id": batch.column("col_id"), "w": c @ v / noise[:, None]}
+
+        weights = _map_model(table, weigh, "col_id INT, w ARRAY<DOUBLE>")
         # the one query over the data in a round
-        joined, newer = stored(table.join(cross_moments_cells(cells, table, k), "col_id"), "model")
+        moments = cross_moments_cells(cells, weights, k)
+        joined, newer = stored(table.join(weights, "col_id").join(moments, "col_id"), "model")
         drop_stored(cells.sparkSession, path)
         path = newer
-        xtx, xm = _sums(joined, "w", "ytx", k, 1 / F.lit(n), *[F.col("mean") * F.col("w")[j] for j in range(k)])
+
+        def square(batch):
+            w, ytx, mean = _lists(batch, "w", "ytx", "mean")
+            return {"xtx": w.T @ ytx / n, "xm": mean @ w}
+
+        r = _model_sums(joined, {"xtx": (k, k), "xm": (k,)}, square)
+        xtx, xm = r["xtx"], r["xm"]
         xtx = (xtx + xtx.T) / 2 - np.outer(xm, xm)
         # M-step; (xtx + v) n is X'X + N ss Sx in the isotropic case
         inverse = np.linalg.inv(xtx + v)
-        centered = _array([F.col("ytx")[j] / n - F.col("mean") * xm[j] for j in range(k)])
-        moved = joined.withColumn("t", centered).withColumn("c", _times("t", inverse))
-        explained = sum((F.col("c")[j] * F.col("t")[j] for j in range(k)), F.lit(0.0))
+
+        def moved(batch, xm=xm, inverse=inverse):
+            ytx, mean = _lists(batch, "ytx", "mean")
+            t = ytx / n - mean[:, None] * xm
+            c = t @ inverse
+            return c, np.sum(c * t, axis=1)
+
         if isotropic:
-            cc, (explained_sum,) = _sums(moved, "c", "c", k, F.lit(1.0), explained)
-            objective = (total_var + float(np.sum((xtx + v) * cc)) - 2 * explained_sum) / n_cols
-            noise = F.lit(float(objective))
+            def ends(batch):
+                c, explained = moved(batch)
+                return {"cc": c.T @ c, "e": np.array([explained.sum()])}
+
+            r = _model_sums(joined, {"cc": (k, k), "e": (1,)}, ends)
+            objective = (total_var + float(np.sum((xtx + v) * r["cc"])) - 2 * float(r["e"][0])) / n_cols
         else:
-            noise = F.greatest(F.col("var") - explained, F.lit(MIN_NOISE))
             v_inv = np.linalg.inv(v)
             trace = scaled_var - float(np.sum(v * (v_inv @ xtx @ v_inv)))
             log_det = np.linalg.slogdet(v)[1] - log_noise
             objective = -0.5 * n * (n_cols * math.log(2 * math.pi) - log_det + trace)
-        table = moved.select("col_id", "mean", "var", noise.alias("noise"), "c")
+
+        def renew(batch, common=float(objective) if isotropic else None):
+            c, explained = moved(batch)
+            (var,) = _lists(batch, "var")
+            noise = np.full(len(var), common) if isotropic else np.maximum(var - explained, MIN_NOISE)
+            return {"col_id": batch.column("col_id"), "mean": batch.column("mean"), "var": batch.column("var"), "noise": noise, "c": c}
+
+        table = _map_model(joined, renew, "col_id INT, mean DOUBLE, var DOUBLE, noise DOUBLE, c ARRAY<DOUBLE>")
         if stop.record(float(objective)):
-            return CellModel(kind, table, k, n_rows, tuple(stop.history))
+            return CellModel(kind, table, k, n_rows, tuple(stop.history), path)

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .model import FactorModel
+from ..functions import literal_array
+from ..plans.blocks import checked_rows
+from .model import FactorModel, StopRule, start_values
 from .pca import shares_frame
+from .rotate import orthonormal
+from .rows import latent_scores
 from .stats import normalized_scatter
 
 
 # one job per class and iteration: several classes keep the cluster busy
 FITS_AT_ONCE = 8
+#: aggregates of one grouped pass
+MAX_GROUP_PRODUCTS = 600
 
 
 def accuracy_of(df: DataFrame, label: str, features: str = "x", c: float = 2.0, max_iter: int = 30) -> float:
@@ -36,6 +41,24 @@ def accuracy_of(df: DataFrame, label: str, features: str = "x", c: float = 2.0,
         data.unpersist()
 
 
+def linear_classes(df: DataFrame, weights: np.ndarray, bias: np.ndarray | None = None) -> DataFrame:
+    """Rows ``y`` scored by a linear map with a column per class: ``predicted``, the first of the best."""
+    scores = latent_scores(df, weights).withColumnRenamed("x", "_scores")
+    if bias is not None:
+        scores = scores.withColumn("_scores", F.zip_with("_scores", literal_array(np.asarray(bias, float)), lambda a, b: a + b))
+    best = F.array_position(F.col("_scores"), F.array_max("_scores")) - 1
+    return scores.withColumn("predicted", best.cast("int")).drop("_scores")
+
+
+def confusion(df: DataFrame, label: str, predicted: str = "predicted") -> DataFrame:
+    """``label, predicted, n`` and the share of all rows that are right, ``accuracy``."""
+    counts = df.groupBy(F.col(label).alias("label"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    right = F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0))
+    total = counts.agg((right / F.sum("n")).alias("accuracy"))
+    # one row, broadcast
+    return counts.join(F.broadcast(total))
+
+
 def explained_variance(model: FactorModel, spark: SparkSession) -> DataFrame:
     """Shares of the total variance along a rotated model's axes."""
     if model.var_exp is None:
@@ -63,20 +86,66 @@ def score_summary(scores: DataFrame, score: str, *keys: str) -> DataFrame:
     )
 
 
-def model_comparison(groups: Mapping[str, DataFrame], k: int, **fit_options) -> DataFrame:
-    """Variance share of PCA and PPCA per named data group: ``method, grp, share``.
+def group_products(df: DataFrame, d: int, grp: str = "grp") -> DataFrame:
+    """``grp, n, var ARRAY, cov ARRAY`` (upper triangle, row by row): population moments of
+    the columns of ``y`` in each group, from one aggregation."""
+    y = checked_rows("y", d)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    rows = df.select(F.col(grp).alias("grp"), *[y[j].alias(f"y{j}") for j in range(d)])
+    return rows.groupBy("grp").agg(
+        F.count("*").alias("n"),
+        F.array(*[F.count(f"y{j}") for j in range(d)]).alias("seen"),
+        F.array(*[F.covar_pop(f"y{i}", f"y{j}") for i, j in pairs]).alias("cov"),
+    )
+
+
+def model_comparison(df: DataFrame, k: int, d: int, grp: str = "grp", **fit_options) -> DataFrame:
+    """Variance share of PCA and PPCA per data group of complete rows: ``method, grp, share``.
 
-    PCA: singular-value share of the variance-normalised rows.  PPCA: fitted
-    with all columns as components on z-scored rows, share of the k largest.
+    PCA: singular-value share of the variance-normalised rows.  PPCA: fitted with all
+    columns as components on z-scored rows, share of the k largest.  Both follow
+    from the groups' products, which one pass gathers; groups are fitted in tasks, side
+    by side.  The products are written out, so this is for narrow rows.
     """
-    from .missing import ppca_missing_fit
-
-    rows = []
-    spark = None
-    for name, df in groups.items():
-        spark = df.sparkSession
-        rows.append(("pca", name, singular_value_share(df, k)))
-        d = df.select(F.size("y")).first()[0]
-        fit = ppca_missing_fit(df, d, d=d, **fit_options)
-        rows.append(("ppca", name, eigenvalue_share(fit.model, k)))
-    return spark.createDataFrame(rows, "method STRING, grp STRING, share DOUBLE")
+    if d * (d + 1) // 2 > MAX_GROUP_PRODUCTS:
+        raise ValueError(f"{d} columns: compare wide rows group by group")
+    options = dict(fit_options)
+
+    def fit(batches):
+        for batch in batches:
+            methods, names, shares = [], [], []
+            cols = {c: batch.column(c).to_pylist() for c in ("grp", "n", "seen", "cov")}
+            for name, n, seen, cov in zip(cols["grp"], cols["n"], cols["seen"], cols["cov"]):
+                if any(c != n for c in seen):
+                    raise ValueError(f"group {name}: NULL cells: use the fit for missing values")
+                both = shares_of_products(n, np.array(cov, float), d, k, **options)
+                for method, share in zip(("pca", "ppca"), both):
+                    methods.append(method)
+                    names.append(name)
+                    shares.append(share)
+            field = batch.schema.field("grp").type
+            yield pa.record_batch([pa.array(methods), pa.array(names, field), pa.array(shares, pa.float64())], names=["method", "grp", "share"])
+
+    kind = df.schema[grp].dataType.simpleString()
+    return group_products(df, d, grp).mapInArrow(fit, f"method STRING, grp {kind}, share DOUBLE")
+
+
+def shares_of_products(n: int, cov: np.ndarray, d: int, k: int, max_iter: int | None = None, tol: float = 1e-4, init=None):
+    """(PCA share, PPCA share) from a group's covariances."""
+    from .missing import Patterns, along_axes, missing_rounds
+
+    full = np.zeros((d, d))
+    full[np.triu_indices(d)] = cov
+    full = full + np.triu(full, 1).T
+    var = np.diag(full)
+    # rows scaled by 1 / (n var): the scatter scales with them
+    values = np.sqrt(np.maximum(np.linalg.eigvalsh(full * n / np.outer(var * n, var * n))[::-1], 0.0))
+    pca = float(values[:k].sum() / values.sum())
+    corr = full / np.sqrt(np.outer(var, var))
+    whole = Patterns(np.zeros((1, d), dtype=bool), np.array([n]), np.zeros((1, d)), n * corr[None])
+    loadings, _ = start_values(d, d, init, per_column=False, dist="normal")
+    loadings, _ = missing_rounds(whole, loadings, n, 0, StopRule(max_iter, tol, relative=True, min_rounds=6))
+    q = orthonormal(loadings)
+    _, found, _ = along_axes(whole.projections(q), q, n)
+    found = np.sort(np.abs(found))[::-1]
+    return pca, float(found[:k].sum() / found.sum())

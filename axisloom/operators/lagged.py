@@ -31,7 +31,7 @@ def _tile_rows(cells: DataFrame, tile: int) -> DataFrame:
     return rows.select("t", "tile", densify("e", tile, "NULL").alias("y"))
 
 
-def _pair_rows(rows: DataFrame, n_tiles: int, window: int, bucket: int) -> DataFrame:
+def _pair_rows(rows: DataFrame, n_tiles: int, window: int, bucket: int, upper: bool = False) -> DataFrame:
     """Sends each tile row to the tile pairs and buckets that need it.
 
     ``side``: 1 = left tile, 2 = right tile, 3 = both (a tile paired with itself).
@@ -45,8 +45,11 @@ def _pair_rows(rows: DataFrame, n_tiles: int, window: int, bucket: int) -> DataF
     if n_tiles == 1:
         pair = rows.select("t", "y", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(3).alias("side"))
     else:
+        # a symmetric product needs each pair of tiles once
+        first = F.col("tile") if upper else F.lit(0)
+        last = F.col("tile") if upper else F.lit(n_tiles - 1)
         left = F.transform(
-            F.sequence(F.lit(0), F.lit(n_tiles - 1)),
+            F.sequence(first, F.lit(n_tiles - 1)),
             lambda b: F.struct(
                 F.col("tile").alias("bi"),
                 b.alias("bj"),
@@ -54,7 +57,7 @@ def _pair_rows(rows: DataFrame, n_tiles: int, window: int, bucket: int) -> DataF
             ),
         )
         right = F.transform(
-            F.filter(F.sequence(F.lit(0), F.lit(n_tiles - 1)), lambda b: b != F.col("tile")),
+            F.filter(F.sequence(F.lit(0), last), lambda b: b != F.col("tile")),
             lambda b: F.struct(b.alias("bi"), F.col("tile").alias("bj"), F.lit(2).alias("side")),
         )
         pair = rows.select("t", "y", F.inline(F.concat(left, right)))
@@ -138,14 +141,16 @@ SUMS_SCHEMA = (
 )
 
 
-def _pair_sums(rows: DataFrame, n_series: int, window: int, tile: int, bucket: int | None) -> DataFrame:
+def _pair_sums(
+    rows: DataFrame, n_series: int, window: int, tile: int, bucket: int | None, upper: bool = False
+) -> DataFrame:
     """``lag, i, j`` with n, sum a, sum b, sum ab over the times both are observed."""
     n_tiles = -(-n_series // tile)
     if bucket is None:
         bucket = max(window, BLOCK_CELLS // tile, 1)
     if bucket < window:
         raise ValueError("a bucket must be at least as long as the window")
-    pairs = _pair_rows(rows, n_tiles, window, bucket)
+    pairs = _pair_rows(rows, n_tiles, window, bucket, upper)
     keys = ["bi", "bj", "bucket"]
     partial = (
         pairs.select(
@@ -240,5 +245,7 @@ def scatter_pairs(df: DataFrame, d: int, ddof: int = 0, tile: int = TILE) -> Dat
     rows = near.select("t", F.concat("y", blank).alias("y"), F.explode(starts).alias("tile")).select(
         "t", "tile", F.slice("y", F.col("tile") * tile + 1, F.lit(tile)).alias("y")
     )
-    sums = _pair_sums(rows, d, 0, tile, None)
-    return sums.select("i", "j", _covariance(ddof).alias("value"))
+    half = _pair_sums(rows, d, 0, tile, None, upper=True).select("i", "j", _covariance(ddof).alias("value"))
+    # pairs of different tiles were computed once and hold both ways
+    apart = F.floor(F.col("i") / tile) != F.floor(F.col("j") / tile)
+    return half.unionAll(half.filter(apart).select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))

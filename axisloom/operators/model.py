@@ -161,9 +161,9 @@ class FactorModel:
         )
 
     def history_frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(
-            list(self.history), "round INT, objective DOUBLE, rel_change DOUBLE, error DOUBLE"
-        )
+        """A row per round; the first round has no change."""
+        rows = [(n, o, None if c is None or math.isinf(c) else c, e) for n, o, c, e in self.history]
+        return spark.createDataFrame(rows, "round INT, objective DOUBLE, rel_change DOUBLE, error DOUBLE")
 
     def save(self, spark: SparkSession, path: str, mode: str = "errorifexists") -> None:
         as_list = lambda a: None if a is None else [float(v) for v in a]
@@ -193,7 +193,7 @@ class FactorModel:
             noise=np.array([r["noise"] for r in rows]),
             n_rows=meta["n_rows"],
             scale=None if rows[0]["scale"] is None else np.array([r["scale"] for r in rows]),
-            history=tuple(tuple(r) for r in history),
+            history=tuple((n, o, math.inf if c is None else c, e) for n, o, c, e in history),
             axes=None if rows[0]["axes"] is None else np.array([r["axes"] for r in rows]),
             eigenvalues=as_array(meta["eigenvalues"]),
             var_exp=as_array(meta["var_exp"]),

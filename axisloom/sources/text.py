@@ -12,7 +12,10 @@ FORMATS = ("DENSE", "COO")
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """Adds consecutive ``row_id`` in (path, position) order, without a sort.
+    """Adds consecutive ``row_id`` in (file, position) order, without a sort.
+
+    Files follow one another by folder, then by the number in a ``part-<number>`` name
+    (part-100000 comes after part-99999), then by name.
 
     One counting pass gives the size of each file split; a running total over
     the splits gives each split's first number.  Inside a split the lines are in
@@ -26,7 +29,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     splits = tagged.groupBy("path", "start").agg(F.min("mid").alias("first"), F.count("*").alias("n"))
     # one row per file split, not per line
     before = F.sum("n").over(
-        Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.orderBy(*file_order(F.col("path")), "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     splits = splits.withColumn("shift", before - F.col("n") - F.col("first"))
     splits = splits.select("path", "start", "shift")
@@ -38,6 +41,12 @@ def number_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def file_order(path):
+    folder = F.regexp_extract(path, r"^(.*/)", 1)
+    part = F.regexp_extract(path, r"/part-(\d+)[^/]*$", 1)
+    return folder, F.when(part != "", part.cast("bigint")).asc_nulls_first(), path
+
+
 def read_dense(spark: SparkSession, path: str, d: int | None = None) -> DataFrame:
     """Whitespace-separated numbers, one matrix row per line; blank lines skipped.
 

@@ -127,3 +127,14 @@ def test_cells_keep_or_drop_null(as_rows):
     df = as_rows(np.array([[1, np.nan], [0, 2]]))
     assert cells_of(df).count() == 3
     assert cells_of(df, keep_null=True).filter(F.col("value").isNull()).count() == 1
+
+
+def test_lines_are_numbered_by_part_number(spark, tmp_path):
+    from axisloom.sources import read_dense
+
+    folder = tmp_path / "m"
+    folder.mkdir()
+    for name, value in (("part-99999", 1), ("part-100000", 2), ("part-100001-x.txt", 3), ("part-00002", 0)):
+        (folder / name).write_text(f"{value}\n")
+    rows = read_dense(spark, str(folder), 1).orderBy("row_id").collect()
+    assert [(r.row_id, r.y) for r in rows] == [(i, [float(i)]) for i in range(4)]
