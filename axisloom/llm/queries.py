@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"'[^\x20\x09-\x0D]+'"
+ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
 
 def query(name: str, sql: str | None = None):
     def add(fn):
@@ -58,7 +62,24 @@ def op7(spark, sf):
     )
 
 
-@query("op10_benchmark_suffixes")
+OP10_SQL = f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({LOWERED}, {ALNUM}) AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWERED}, {ALNUM}) AS w FROM benchmark WHERE item_id IS NOT NULL),
+starts AS (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM starts),
+sizes AS (SELECT DISTINCT n FROM windows),
+spots AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes WHERE len(w) >= n),
+found AS (
+  SELECT s.doc_id, s.i, s.n, item FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM spots) s
+  JOIN windows USING (n, g)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+@query("op10_benchmark_suffixes", OP10_SQL)
 def op10(spark, sf):
     from .decontaminate import benchmark_hits
 
@@ -140,14 +161,41 @@ def op5(spark, sf):
     return scored.select("doc_id", "n_words", "n_backed_off", rounded("log_score", 5), rounded("score", 6))
 
 
-@query("op9_shingle_join")
+OP9_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({LOWERED}, {WORDS}) AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM docs)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingles a JOIN shingles b ON b.s = a.s AND b.doc_id <> a.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM common JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 100 * c >= 80 * (a.n + b.n - c)),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM docs UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(v) AS component_id
+FROM docs d LEFT JOIN sizes USING (doc_id) JOIN reach r ON r.u = d.doc_id GROUP BY d.doc_id"""
+
+
+@query("op9_shingle_join", OP9_SQL)
 def op9(spark, sf):
     from .ngram_join import near_copy_groups
 
     return near_copy_groups(table(spark, sf, "documents"))
 
 
-@query("op4_repeat_trees")
+OP4_SQL = f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w FROM documents),
+spots AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS g FROM spots),
+firsts AS (SELECT g, min(doc_id) AS owner FROM windows GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+late AS (SELECT doc_id, i FROM windows JOIN firsts USING (g) WHERE owner < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS place FROM late),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM docs),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text FROM placed ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op4_repeat_trees", OP4_SQL)
 def op4(spark, sf):
     from .repeats import remove_repeats
 
