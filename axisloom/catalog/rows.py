@@ -160,6 +160,14 @@ def trial_matrix(spark, sf):
     return r.cells(op.trials_to_matrix(trials, top + 1, r.TIMES))
 
 
+@query("trials_to_cells", f"""
+WITH {r.TRIALS_SQL}
+SELECT CAST(trial * {r.TIMES} + t AS BIGINT) AS row_id, cell AS col_id, round(value, 6) + 0.0 AS value FROM trials""")
+def trial_cells(spark, sf):
+    """The long form, which has no row that grows with the number of cells."""
+    return op.trials_to_cells(r.trials(spark, sf), r.TIMES).withColumn("value", r.rounded(F.col("value")))
+
+
 @query("project_rows", f"""
 WITH {r.EMBEDDINGS}, {r.FIXED}, means AS (SELECT col_id, avg(v) AS m FROM cell GROUP BY col_id)
 SELECT 'raw' AS mode, row_id, comp AS col_id, round(sum(v * c), 6) + 0.0 AS value

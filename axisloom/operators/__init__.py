@@ -7,6 +7,7 @@ from .cells import (
     nonzero_cells,
     remove_trial_mean,
     trial_mean,
+    trials_to_cells,
     trials_to_matrix,
 )
 from .cells_fit import CellModel, cross_moments_cells, fit_cells, latent_scores_cells

@@ -77,11 +77,24 @@ def remove_trial_mean(trials: DataFrame) -> DataFrame:
     return joined.select("cell", "trial", "t", (F.col("value") - F.col("mean")).alias("value"))
 
 
-def trials_to_matrix(trials: DataFrame, n_cells: int, n_times: int) -> DataFrame:
-    """Rows = (trial, t), columns = cells: ``row_id = trial * n_times + t``."""
-    cells = trials.select(
+def trials_to_cells(trials: DataFrame, n_times: int) -> DataFrame:
+    """The matrix of rows (trial, t) and columns = cells in long form, for any number of cells.
+
+    ``row_id = trial * n_times + t``; nothing is grouped or moved.
+    """
+    return trials.select(
         (F.col("trial").cast("bigint") * n_times + F.col("t")).alias("row_id"),
         F.col("cell").alias("col_id"),
         "value",
     )
-    return coo_to_rows(cells, n_cells, unique=True)
+
+
+#: columns of a row that is collected whole
+MAX_DENSE_CELLS = 1 << 20
+
+
+def trials_to_matrix(trials: DataFrame, n_cells: int, n_times: int) -> DataFrame:
+    """The same as dense rows, for a stated and bounded number of cells."""
+    if n_cells > MAX_DENSE_CELLS:
+        raise ValueError(f"{n_cells} cells make rows too long; use trials_to_cells")
+    return coo_to_rows(trials_to_cells(trials, n_times), n_cells, unique=True)

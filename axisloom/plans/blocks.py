@@ -18,6 +18,7 @@ from .budget import BLOCK_CELLS, MAX_WIDE_PRODUCTS, check_bytes
 
 # doubles per partial-sum row: short rows plan quickly, long ones save per-row cost
 SHORT_CHUNK, LONG_CHUNK, SHORT_TOTAL = 8, 64, 1 << 14
+PARTIALS_PER_CORE = 4
 
 
 def width(df: DataFrame, d: int | None = None, col: str = "y") -> int:
@@ -145,7 +146,8 @@ def flat_sum(
     """Sums named arrays over all partitions.
 
     ``accumulate`` sees the batches of one partition and returns its partial
-    arrays.  The result has model size, not data size.
+    arrays.  The result has model size, not data size.  Scan splits are taken
+    together, so that there are a few partial sums per core and not one per split.
     """
     names = list(shapes)
     sizes = [int(np.prod(shapes[n], dtype=np.int64)) for n in names]
@@ -165,7 +167,8 @@ def flat_sum(
             [pa.array(ids), list_array(flat.reshape(n_chunks, chunk))], names=["chunk", "v"]
         )
 
-    partial = df.mapInArrow(task, "chunk INT, v ARRAY<DOUBLE>")
+    most = PARTIALS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    partial = df.coalesce(most).mapInArrow(task, "chunk INT, v ARRAY<DOUBLE>")
     sums = [F.expr(f"sum(v[{j}])").alias(f"s{j}") for j in range(chunk)]
     table = partial.groupBy("chunk").agg(*sums).toArrow()
     flat = np.zeros((n_chunks, chunk))
