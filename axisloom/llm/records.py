@@ -79,7 +79,10 @@ def unframe(read, what: str) -> Iterator[tuple[int, bytes]]:
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    """File system and path of a shared folder as Spark names it."""
+    if path.startswith("file:/") or "://" in path:
+        return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
+    return fs.LocalFileSystem(), path
 
 
 # --- encoding -----------------------------------------------------------------
