@@ -38,7 +38,7 @@ from ..session import scratch_path
 from .words import slices
 
 MASK_ADD = 0xA282EAD8
-MAX_CACHED = 400_000
+MAX_CACHED = 150_000
 HEAD, CRC, PAYLOAD = "<QI", "<I", "<B?q"
 HEAD_SIZE, PAYLOAD_SIZE = struct.calcsize(HEAD), struct.calcsize(PAYLOAD)
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text handled at once inside a task; a longer document is a slice of its own
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
