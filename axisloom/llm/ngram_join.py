@@ -32,6 +32,8 @@ PERCENT = 80
 SHARE = 25
 #: classes of a block
 BLOCK = 1024
+#: a table of so many bytes may be broadcast; it is counted first, and joined by shuffle beyond
+MAX_BROADCAST_BYTES = 16 << 20
 #: bytes of shingles in a pack of small families
 PACK_BYTES = 4 << 20
 
@@ -171,6 +173,7 @@ def _verify(pack: pa.Table) -> pa.Table:
     family = pack.column("family").to_numpy()
     side = pack.column("side").to_numpy()
     rep = pack.column("rep").to_numpy()
+    size = pack.column("n").to_numpy()
     tokens = [np.frombuffer(t, "<u8") for t in pack.column("tokens").to_pylist()]
     order = np.lexsort((rep, side, family))
     starts = np.flatnonzero(np.diff(family[order], prepend=family[order[0]] - 1))
@@ -180,7 +183,6 @@ def _verify(pack: pa.Table) -> pa.Table:
         two = sides[0] != sides[-1]
         a = rows[sides == sides[0]]
         b = rows[sides == sides[-1]]
-        size = np.array([len(t) for t in tokens])
         both = intersections([tokens[i] for i in a], [tokens[i] for i in b])
         union = size[a][:, None] + size[b][None, :] - both
         x, y = np.nonzero(100 * both >= PERCENT * union)
@@ -203,10 +205,15 @@ def _families(index: DataFrame) -> DataFrame:
     return found.join(found.groupBy("family").agg(F.count("*").alias("members")), "family")
 
 
+def _measured(table: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """The (stored) table, marked for broadcast when its size is known to be small."""
+    return F.broadcast(table) if table.count() * row_bytes <= MAX_BROADCAST_BYTES else table
+
+
 def _links(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """Spanning links (u, v) between classes; the packed sets are dealt out once, by task."""
     keys = ["d1", "d2", "n"]
-    reps = groups.withColumnRenamed("rep", "doc_id")
+    reps = _measured(groups.withColumnRenamed("rep", "doc_id"))
     # rows that repeat an id and a set are alike
     index = sets.select("doc_id", *keys, "index").join(reps, [*keys, "doc_id"], "left_semi")
     # an id may stand for several sets: each is a class, and the id joins them
@@ -214,11 +221,11 @@ def _links(sets: DataFrame, groups: DataFrame) -> DataFrame:
     placed, _ = stored(groups.join(families, "rep"), "placed")
     total = int(placed.agg(F.sum("n")).first()[0] or 0) * 8
     packs = max(1, -(-total // PACK_BYTES))
-    own = sets.select("doc_id", *keys, "tokens").join(placed.withColumnRenamed("rep", "doc_id"), [*keys, "doc_id"])
+    own = sets.select("doc_id", *keys, "tokens").join(_measured(placed.withColumnRenamed("rep", "doc_id")), [*keys, "doc_id"])
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     b = F.when(F.col("members") > BLOCK, F.pmod(F.xxhash64("doc_id"), blocks)).cast("int")
     everything = own.select(
-        "family", "members", "doc_id", "tokens", b.alias("b"),
+        "family", "members", "doc_id", "n", "tokens", b.alias("b"),
         F.explode(F.when(F.col("members") > BLOCK, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(-1)))).alias("other"),
     )
     large = F.col("b").isNotNull()
@@ -229,6 +236,7 @@ def _links(sets: DataFrame, groups: DataFrame) -> DataFrame:
         "family",
         F.coalesce("b", F.lit(-1)).alias("side"),
         F.col("doc_id").alias("rep"),
+        "n",
         "tokens",
     )
     return dealt.groupBy("pack", "i", "j").applyInArrow(_verify, "u BIGINT, v BIGINT")
