@@ -10,8 +10,9 @@
    form a family.
 4. Families are verified exactly, in packs of small ones; a large one is cut into
    blocks and every pair of blocks is one task, so no task has more than two blocks.
-   Tasks report a spanning forest of the links they find, never all pairs.
-5. Components of these forests are the groups.
+   Tasks report how many documents each class is linked with and a spanning forest
+   of the links, never all pairs.
+5. Numbers of links are added up by class; components of the forests are the groups.
 """
 
 from __future__ import annotations
@@ -169,31 +170,47 @@ class Forest:
 
 
 def _verify(pack: pa.Table) -> pa.Table:
-    """Spanning links (u, v) of the families, or pair of blocks, in a pack."""
+    """Two kinds of rows: spanning links (u, v) of the families, or pair of blocks, in a pack,
+    and per linked class (d1, d2, n) the number of documents in the classes it is linked with."""
     family = pack.column("family").to_numpy()
     side = pack.column("side").to_numpy()
     rep = pack.column("rep").to_numpy()
     size = pack.column("n").to_numpy()
+    members = pack.column("docs").to_numpy()
+    # a block that met no other block has its own task, where it counts
+    lonely = pack.column("i")[0].as_py() != pack.column("j")[0].as_py()
     tokens = [np.frombuffer(t, "<u8") for t in pack.column("tokens").to_pylist()]
     order = np.lexsort((rep, side, family))
     starts = np.flatnonzero(np.diff(family[order], prepend=family[order[0]] - 1))
     us, vs = [], []
+    partners = np.zeros(len(rep), dtype=np.int64)
     for rows in np.split(order, starts[1:]):
         sides = side[rows]
         two = sides[0] != sides[-1]
+        if lonely and not two:
+            continue
         a = rows[sides == sides[0]]
         b = rows[sides == sides[-1]]
         both = intersections([tokens[i] for i in a], [tokens[i] for i in b])
         union = size[a][:, None] + size[b][None, :] - both
-        x, y = np.nonzero(100 * both >= PERCENT * union)
-        members = np.concatenate((a, b)) if two else a
-        forest = Forest(len(members))
+        linked = 100 * both >= PERCENT * union
+        if two:
+            partners[b] += linked.T @ members[a]
+        else:
+            np.fill_diagonal(linked, False)
+        partners[a] += linked @ members[b]
+        x, y = np.nonzero(linked)
+        both_sides = np.concatenate((a, b)) if two else a
+        forest = Forest(len(both_sides))
         for i, j in zip(x.tolist(), (y + len(a) if two else y).tolist()):
-            if i != j:
-                forest.link(i, j)
-        us += [rep[members[i]] for i, _ in forest.links]
-        vs += [rep[members[j]] for _, j in forest.links]
-    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+            forest.link(i, j)
+        us += [rep[both_sides[i]] for i, _ in forest.links]
+        vs += [rep[both_sides[j]] for _, j in forest.links]
+    some = np.flatnonzero(partners)
+    no_link, no_class = pa.nulls(len(some), pa.int64()), pa.nulls(len(us), pa.int64())
+    links = pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64()), "d1": no_class, "d2": no_class, "n": no_class, "partners": no_class})
+    counts = {k: pack.column(k).take(pa.array(some)) for k in ("d1", "d2", "n")}
+    return pa.concat_tables([links, pa.table({"u": no_link, "v": no_link, **counts, "partners": pa.array(partners[some])})])
 
 
 def _families(index: DataFrame) -> DataFrame:
@@ -211,9 +228,10 @@ def _measured(table: DataFrame, row_bytes: int = 64) -> DataFrame:
 
 
 def _links(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Spanning links (u, v) between classes; the packed sets are dealt out once, by task."""
+    """Spanning links (u, v) between classes, and their numbers of partners, as ``_verify`` has
+    them; the packed sets are dealt out once, by task."""
     keys = ["d1", "d2", "n"]
-    reps = _measured(groups.withColumnRenamed("rep", "doc_id"))
+    reps = _measured(groups.select(*keys, F.col("rep").alias("doc_id")))
     # rows that repeat an id and a set are alike
     index = sets.select("doc_id", *keys, "index").join(reps, [*keys, "doc_id"], "left_semi")
     # an id may stand for several sets: each is a class, and the id joins them
@@ -225,7 +243,7 @@ def _links(sets: DataFrame, groups: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     b = F.when(F.col("members") > BLOCK, F.pmod(F.xxhash64("doc_id"), blocks)).cast("int")
     everything = own.select(
-        "family", "members", "doc_id", "n", "tokens", b.alias("b"),
+        "family", "members", "docs", "doc_id", *keys, "tokens", b.alias("b"),
         F.explode(F.when(F.col("members") > BLOCK, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(-1)))).alias("other"),
     )
     large = F.col("b").isNotNull()
@@ -233,33 +251,48 @@ def _links(sets: DataFrame, groups: DataFrame) -> DataFrame:
         F.when(large, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(packs))).alias("pack"),
         F.least("b", "other").alias("i"),
         F.greatest("b", "other").alias("j"),
+        "docs",
         "family",
         F.coalesce("b", F.lit(-1)).alias("side"),
         F.col("doc_id").alias("rep"),
-        "n",
+        *keys,
         "tokens",
     )
-    return dealt.groupBy("pack", "i", "j").applyInArrow(_verify, "u BIGINT, v BIGINT")
+    schema = "u BIGINT, v BIGINT, d1 BIGINT, d2 BIGINT, n BIGINT, partners BIGINT"
+    return dealt.groupBy("pack", "i", "j").applyInArrow(_verify, schema)
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row of docs (doc_id, text).
+    """``doc_id, n_shingles, component_id, n_links`` per row of docs (doc_id, text).
 
     Words are runs without white space, A-Z lower-cased.  A null text or one without
     words has an empty set and is linked with nothing.  Rows of one id count as one
     document.  A null id gets the component of an equal set, else null.
+
+    ``n_links``: how many other documents the row is linked with directly, copies
+    included.  An id with several sets counts once for each; rows with a null id are nobody's
+    partner, and have the links of an equal set, or null where the component is null.
     """
     sets, _ = stored(shingled(docs), "shingles")
     keys = ["d1", "d2", "n"]
     possible = sets.filter("tokens IS NOT NULL")
-    groups = possible.groupBy(*keys).agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL")
-    groups, _ = stored(groups, "classes")
-    links = _links(possible, groups)
+    # by id first: a class of many copies is dealt out
+    by_id = possible.filter("doc_id IS NOT NULL").groupBy(*keys, "doc_id").agg(F.lit(1).alias("once"))
+    groups, _ = stored(by_id.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")), "classes")
+    found, _ = stored(_links(possible, groups), "links")
+    links = found.filter("u IS NOT NULL").select("u", "v")
+    counts = found.filter("partners IS NOT NULL").groupBy(*keys).agg(F.sum("partners").alias("partners"))
+    linked = groups.join(counts, keys, "left").select(*keys, F.col("rep").alias("_rep"), "docs", F.coalesce("partners", F.lit(0)).alias("partners"))
+    linked, _ = stored(linked, "linked")
     mates = possible.filter("doc_id IS NOT NULL").join(groups, keys).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     found, _ = stored(components(links.unionAll(mates)), "groups")
-    plain = sets.select("doc_id", *keys).join(groups.withColumnRenamed("rep", "_rep"), keys, "left")
+    plain = sets.select("doc_id", *keys).join(linked, keys, "left")
     named = plain.withColumn("_node", F.coalesce("doc_id", "_rep")).join(found, F.col("_node") == F.col("node"), "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "_node").alias("component_id"))
+    own = F.when(F.col("doc_id").isNull(), 0).otherwise(1)
+    n_links = F.when(F.col("_node").isNotNull(), F.coalesce(F.col("docs") - own + F.col("partners"), F.lit(0)))
+    return named.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "_node").alias("component_id"), n_links.cast("bigint").alias("n_links")
+    )
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:

@@ -178,7 +178,8 @@ FROM docs d LEFT JOIN sizes USING (doc_id) JOIN reach r ON r.u = d.doc_id GROUP
 def op9(spark, sf):
     from .ngram_join import near_copy_groups
 
-    return near_copy_groups(table(spark, sf, "documents"))
+    # the SQL states the groups
+    return near_copy_groups(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP4_SQL = f"""

@@ -89,6 +89,28 @@ def test_near_copies_of_odd_rows(odd, none):
     assert ngram_join.near_copy_groups(none).count() == 0 and ngram_join.keep_one_per_group(none).count() == 0
 
 
+def brute_links(rows):
+    sets = {(d, shingles(t)) for d, t in rows if d is not None}
+    near = lambda s, t: s and t and 100 * len(s & t) >= 80 * len(s | t)
+    links = lambda d, s: sum((d, s) != (e, t) and bool(near(s, t)) for e, t in sets)
+    null = lambda s: links(None, s) if s and any(s == t for _, t in sets) else None
+    return sorted(((d, links(d, shingles(t)) if d is not None else null(shingles(t))) for d, t in rows), key=repr)
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_numbers_of_links(spark, odd, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    # 0-1 and 1-2 are linked, 0-2 are not: one group with different numbers
+    w = [f"w{i}" for i in range(44)]
+    chain = [(1000 + k, " ".join(w[:34 + 5 * k])) for k in range(3)]
+    rows = near_copies() + chain + [(1010, chain[2][1]), (1010, chain[2][1]), (1010, "another text " * 9), (None, chain[2][1])]
+    got = ngram_join.near_copy_groups(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(5))
+    assert rows_of(got, "doc_id", "n_links") == brute_links(rows)
+    by = {r.doc_id: r.n_links for r in got.collect() if r.doc_id in (1000, 1001, 1002)}
+    assert by == {1000: 1, 1001: 3, 1002: 2}
+    assert rows_of(ngram_join.near_copy_groups(odd), "doc_id", "n_links") == brute_links([(d, t) for d, t, _ in ODD])
+
+
 def test_edge_of_the_threshold(spark):
     # 20 shared shingles of 25: exactly 0.8; one less is no link
     a, b = [f"a{i}" for i in range(24)], [f"b{i}" for i in range(9)]
