@@ -46,7 +46,7 @@ IDENTIFIERS = {
     "unlicense": "unlicense",
 }
 TAG = "spdx license identifier"
-LINE_AFTER_TAG = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n*/]{0,300})", re.IGNORECASE | re.ASCII)
+LINE_AFTER_TAG = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n*/]*)", re.IGNORECASE | re.ASCII)
 TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+-]*")
 #: binding strength
 OPERATORS = {"with": 3, "and": 2, "or": 1}
@@ -119,19 +119,30 @@ def label_of(identifier: str) -> str | None:
     return IDENTIFIERS.get(identifier.removesuffix("+"))
 
 
-def tag_labels(text: str) -> tuple[set[str], bool]:
-    """Labels of all tags in a text, and whether some tag names unknown licences only.
+def licences(postfix: list[str]) -> list[str]:
+    """All licences of an expression, as the union of its choices has them, in any length."""
+    stack: list[list[str]] = []
+    for token in postfix:
+        if token not in OPERATORS:
+            stack.append([token])
+            continue
+        if len(stack) < 2:
+            raise BadExpression(" ".join(postfix))
+        right = stack.pop()
+        if token != "with":
+            stack[-1] += right
+    if len(stack) != 1:
+        raise BadExpression(" ".join(postfix))
+    return stack[0]
 
-    An ``or`` of more than 64 choices is not multiplied out: its names are taken as they are.
-    """
+
+def tag_labels(text: str) -> tuple[set[str], bool]:
+    """Labels of all tags in a text, and whether some tag names unknown licences only."""
     labels: set[str] = set()
     unknown = False
     for m in LINE_AFTER_TAG.finditer(text):
         try:
-            postfix = parse_expression(m[1])
-            names = {t for t in postfix if t not in OPERATORS}
-            if postfix.count("or") <= 6:
-                names = set().union(*evaluate(postfix))
+            names = licences(parse_expression(m[1]))
         except BadExpression:
             unknown = True
             continue

@@ -178,6 +178,14 @@ def test_expression_choices():
             licenses.parse_expression(bad)
 
 
+def test_long_tags():
+    names = [f"LicenseRef-package-{i}" for i in range(40)]
+    tag = "SPDX-License-Identifier: "
+    for text in (f"(MIT AND {' AND '.join(names)} AND BSD-3-Clause)", f"MIT OR {' OR '.join(names)} OR BSD-3-Clause"):
+        labels, unknown = licenses.tag_labels(f"# {tag}{text}\n")
+        assert len(text) > 300 and {"mit", "bsd"} <= labels and not unknown
+
+
 # --- benchmark ---------------------------------------------------------------------
 
 ITEMS = [
