@@ -23,27 +23,39 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Licence identifiers (lower case) that tags may name, and their labels.
-IDENTIFIERS = {
-    "mit": "mit",
-    "apache-2.0": "apache",
-    "gpl-2.0": "gpl",
-    "gpl-2.0-only": "gpl",
-    "gpl-2.0-or-later": "gpl",
-    "gpl-3.0": "gpl",
-    "gpl-3.0-only": "gpl",
-    "gpl-3.0-or-later": "gpl",
-    "lgpl-2.1": "lgpl",
-    "lgpl-3.0": "lgpl",
-    "agpl-3.0": "agpl",
-    "bsd-2-clause": "bsd",
-    "bsd-3-clause": "bsd",
-    "mpl-2.0": "mpl",
-    "isc": "isc",
-    "cc0-1.0": "cc0",
-    "cc-by-4.0": "cc-by",
-    "cc-by-sa-4.0": "cc-by-sa",
-    "unlicense": "unlicense",
+# Further notices, which add labels but are no base places.
+NOTICES = {
+    "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl",
+    "gnu affero general public license": "agpl",
+    "mozilla public license": "mpl",
+    "bsd license": "bsd",
+    "bsd 2 clause": "bsd",
+    "bsd 3 clause": "bsd",
+    "2 clause bsd": "bsd",
+    "3 clause bsd": "bsd",
+    "redistribution and use in source and binary forms": "bsd",
+    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "isc license": "isc",
+    "for any purpose with or without fee is hereby granted provided that": "isc",
+    "cc0 1 0": "cc0",
+    "creative commons zero": "cc0",
+    "creative commons attribution 3 0": "cc-by",
+    "creative commons attribution 4 0": "cc-by",
+    "cc by sa": "cc-by-sa",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution share alike": "cc-by-sa",
+    "the unlicense": "unlicense",
+    "free and unencumbered software released into the public domain": "unlicense",
+}
+#: what tags write for no licence at all, or none that is known
+NO_LICENCE = {"none", "noassertion"}
+#: a family and the version behind it
+VERSIONED = re.compile(r"([a-z][a-z0-9.-]*?)-v?[0-9]")
+#: identifiers without a version: known even when other text follows on the line
+PLAIN = {
+    *("mit", "isc", "unlicense", "zlib", "0bsd", "x11", "ncsa", "ntp", "curl", "ruby", "vim", "wtfpl", "beerware"),
+    *("postgresql", "openssl", "libpng", "libtiff", "ijg", "icu", "ftl", "hpnd", "json", "info-zip", "tcl", "sleepycat"),
 }
 TAG = "spdx license identifier"
 LINE_AFTER_TAG = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n*/]*)", re.IGNORECASE | re.ASCII)
@@ -61,9 +73,15 @@ def parse_expression(text: str) -> list[str]:
 
     Reads as far as tokens form an expression; raises when nothing does.
     """
+    return _parse(text)[0]
+
+
+def _parse(text: str) -> tuple[list[str], bool]:
+    """The expression in postfix order, and whether no word of the text is left over."""
     out: list[str] = []
     waiting: list[str] = []
     wants_name = True
+    whole = False
     for token in TOKEN.findall(text.lower()):
         if token == "(":
             if not wants_name:
@@ -87,11 +105,13 @@ def parse_expression(text: str) -> list[str]:
                 break
             out.append(token)
             wants_name = False
+    else:
+        whole = not wants_name
     if wants_name and waiting and waiting[-1] in OPERATORS:
         waiting.pop()  # an operator without a right side is not part of it
     if "(" in waiting or not out:
         raise BadExpression(text)
-    return out + waiting[::-1]
+    return out + waiting[::-1], whole
 
 
 def evaluate(postfix: list[str]) -> list[frozenset[str]]:
@@ -115,8 +135,25 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]]:
     return stack[0]
 
 
-def label_of(identifier: str) -> str | None:
-    return IDENTIFIERS.get(identifier.removesuffix("+"))
+def label_of(identifier: str, whole: bool = True) -> str | None:
+    """The family of a licence identifier (lower case), or itself where it has none.
+
+    A version and what follows it (-only, -or-later, a country) is left out, a + too.  A name
+    that is neither versioned nor known counts only in an expression that is a
+    whole line, as it may be a word of a sentence.
+    """
+    name = identifier.rstrip("+.-")
+    if not name or name in NO_LICENCE:
+        return None
+    if name.startswith(("licenseref-", "documentref-")):
+        return name
+    if name.startswith("bsd-"):
+        return "bsd"
+    versioned = VERSIONED.match(name)
+    if versioned:
+        return versioned[1]
+    name = name.removesuffix("-or-later").removesuffix("-only")
+    return name if whole or name in PLAIN else None
 
 
 def licences(postfix: list[str]) -> list[str]:
@@ -142,11 +179,12 @@ def tag_labels(text: str) -> tuple[set[str], bool]:
     unknown = False
     for m in LINE_AFTER_TAG.finditer(text):
         try:
-            names = licences(parse_expression(m[1]))
+            postfix, whole = _parse(m[1])
+            names = licences(postfix)
         except BadExpression:
             unknown = True
             continue
-        found = {x for x in map(label_of, names) if x}
+        found = {x for x in (label_of(name, whole) for name in names) if x}
         labels |= found
         unknown |= not found
     return labels, unknown
@@ -163,11 +201,11 @@ def automaton(phrases):
     return machine
 
 
-def _scan(phrases: dict[str, str]):
+def _scan(phrases: dict[str, str], notices: dict[str, str]):
     space = np.uint8(0x20)
 
     def run(batches):
-        machine = automaton(phrases)
+        machine = automaton({**notices, **phrases})
         for batch in batches:
             for a, b, data, offsets in slices(batch.column("text")):
                 words = Words(data, offsets, NON_ALNUM, lower=True)
@@ -176,7 +214,7 @@ def _scan(phrases: dict[str, str]):
                 texts = batch.column("text").slice(a, n)
                 n_base, first, last, base, labels, score = [], [], [], [], [], []
                 for d in range(n):
-                    starts, kinds, tagged = [], [], False
+                    starts, kinds, others, tagged = [], [], [], False
                     # one byte is one character here; single spaces between words and at both ends
                     joined = b" ".join(plain[offsets[d] : offsets[d + 1]].split())
                     text = f" {joined.decode('latin-1')} "
@@ -184,6 +222,9 @@ def _scan(phrases: dict[str, str]):
                         if phrase == TAG:
                             tagged = True
                             continue
+                        if phrase not in phrases:
+                            others.append(notices[phrase])
+                            continue
                         starts.append(text.count(" ", 0, end - size + 1))
                         kinds.append(phrases[phrase])
                     own = set(kinds)
@@ -192,8 +233,8 @@ def _scan(phrases: dict[str, str]):
                     first.append(min(starts) if starts else None)
                     last.append(max(starts) if starts else None)
                     base.append(",".join(sorted(own)))
-                    labels.append(",".join(sorted(own | more)))
-                    score.append(_score(len(starts), int(words.count[d]), bool(more), unknown))
+                    labels.append(",".join(sorted(own | more | set(others))))
+                    score.append(_score(len(starts) + len(others), int(words.count[d]), bool(more), unknown))
                 yield pa.record_batch(
                     [
                         batch.column("doc_id").slice(a, n),
@@ -222,14 +263,15 @@ def _score(places: int, n_words: int, tagged: bool, unknown: bool) -> float:
     return max(0.7 if unknown else 0.0, 0.5 + 0.2 * (1 - 0.5**places) + 0.2 * share)
 
 
-def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
+def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` per document.
 
     A null or empty text has no words, no labels (empty strings) and score 0.
-    Places may overlap and each counts; equal rows give equal results.
+    Places may overlap and each counts; equal rows give equal results.  The base columns
+    are those of ``phrases``; ``notices`` and tags add to ``labels`` and ``score``.
     """
     return docs.select("doc_id", "text").mapInArrow(
-        _scan(dict(phrases)),
+        _scan(dict(phrases), dict(notices)),
         "doc_id BIGINT, n_words BIGINT, n_base BIGINT, first_word BIGINT, last_word BIGINT, "
         "base_labels STRING, labels STRING, score DOUBLE",
     )

@@ -186,6 +186,32 @@ def test_long_tags():
         assert len(text) > 300 and {"mit", "bsd"} <= labels and not unknown
 
 
+@pytest.mark.parametrize(
+    "tag, label",
+    [
+        *((f"{f}-{v}{end}", f.lower()) for f, v in (("LGPL", "2.1"), ("LGPL", "2.0"), ("AGPL", "3.0"), ("GPL", "1.0")) for end in ("", "+", "-only", "-or-later")),
+        ("Apache-1.1", "apache"), ("MPL-1.1", "mpl"), ("EPL-2.0", "epl"), ("BSL-1.0", "bsl"), ("Zlib", "zlib"), ("0BSD", "0bsd"),
+        ("CC-BY-3.0", "cc-by"), ("CC-BY-SA-3.0", "cc-by-sa"), ("BSD-3-Clause-Clear", "bsd"), ("LicenseRef-own-2", "licenseref-own-2"),
+        ("Fair", "fair"), ("GPL-2.0-only WITH Classpath-exception-2.0 */", "gpl"), ("Zlib as in the file", "zlib"),
+    ],
+)
+def test_identifiers(tag, label):
+    assert licenses.tag_labels(f"/* SPDX-License-Identifier: {tag}\n") == ({label}, False)
+
+
+def test_tags_without_a_licence():
+    for tag in ("NONE", "NOASSERTION", "see the file", "", "<>"):
+        assert licenses.tag_labels(f"# SPDX-License-Identifier: {tag}\n") == (set(), True)
+    assert licenses.tag_labels("SPDX-License-Identifier: MIT and more text") == ({"mit"}, False)
+
+
+def test_notices(spark):
+    texts = ["the GNU Lesser General Public License", "GNU Affero General Public License, v3", "Mozilla Public License", "Redistribution and use in source and binary forms, with", "GNU General Public License"]
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["lgpl", "agpl", "mpl", "bsd", "gpl"] and all(r.score > 0.5 for r in got)
+    assert [r.base_labels for r in got] == ["", "", "", "", "gpl"] and [r.n_base for r in got] == [0, 0, 0, 0, 1]
+
+
 # --- benchmark ---------------------------------------------------------------------
 
 ITEMS = [
