@@ -200,7 +200,7 @@ FROM docs d LEFT JOIN kept USING (doc_id)"""
 def op4(spark, sf):
     from .repeats import remove_repeats
 
-    return remove_repeats(table(spark, sf, "documents"))
+    return remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 OP8_SQL = r"""

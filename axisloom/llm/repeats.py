@@ -295,7 +295,7 @@ def _remove(window: int):
             ids = batch.column("doc_id").to_pylist()
             for a, b, data, offsets in slices(batch.column("text")):
                 words = Words(data, offsets, SPACE)
-                removed, shas = [], []
+                removed, shas, ranges = [], [], []
                 for d in range(b - a):
                     gone = np.zeros(int(words.count[d]), dtype=bool)
                     starts = [
@@ -309,21 +309,55 @@ def _remove(window: int):
                         gone = covered(len(gone), at, at + window)
                     removed.append(int(gone.sum()))
                     shas.append(_kept_sha(words, d, ~gone))
+                    edge = np.diff(np.concatenate(([0], gone.view(np.int8), [0])))
+                    at = np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
+                    ranges.append([{"start": s, "end": e} for s, e in zip(*at)])
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("n_words").slice(a, b - a), pa.array(removed, pa.int64()), pa.array(shas, pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256"],
+                    [
+                        *(batch.column(c).slice(a, b - a) for c in ("doc_id", "h", "n_words")),
+                        pa.array(removed, pa.int64()),
+                        pa.array(shas, pa.string()),
+                        pa.array(ranges, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                    ],
+                    names=["doc_id", "h", "n_words", "n_removed", "kept_sha256", "removed"],
                 )
 
     return run
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_group: int = MAX_GROUP) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` per row of docs (doc_id, text).
+    """``doc_id, n_words, n_removed, kept_sha256, removed`` per row of docs (doc_id, text).
 
-    Windows are judged on the input.  A repeat inside one document, or between rows of one
+    ``removed`` are the word ranges [start, end) that go, in order and apart from each other;
+    ``kept_sha256`` is that of the other words, joined by single spaces.  Windows are judged on the input.  A repeat inside one document, or between rows of one
     id, removes nothing.  A null text is empty; a row with a null id neither loses
     words nor owns any.  Documents shorter than a window lose nothing.
     """
+    return _removed(docs, window, gram, max_group).drop("h")
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_group: int = MAX_GROUP) -> DataFrame:
+    """The documents without their repeats: every row, all columns, the text (and n_chars) cut.
+
+    A removed word takes the white space before it along; rows that lose nothing stay as they were.
+    """
+    found = _removed(docs, window, gram, max_group).filter("n_removed > 0").groupBy("doc_id", "h").agg(F.first("removed").alias("removed"))
+    # the row travels as one struct, so its column names can clash with nothing
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("hash"))
+    joined = own.join(found, (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("h")), "left")
+    cut = F.col("removed").isNotNull()
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    gone = lambda i: F.exists("removed", lambda r: (i >= r["start"]) & (i < r["end"]))
+    kept = F.array_join(F.filter(words, lambda w, i: ~gone(i)), "")
+    row = F.col("row").withField("text", F.when(cut, kept).otherwise(F.col("row.text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        row = row.withField("n_chars", F.when(cut, F.char_length(kept).cast(kind)).otherwise(F.col("row.n_chars")))
+    return joined.select(row.alias("row")).select("row.*")
+
+
+def _removed(docs: DataFrame, window: int, gram: int, max_group: int) -> DataFrame:
+    """What ``remove_repeats`` gives, with the hash ``h`` that names a text among the rows of its id."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     found = plain.filter("doc_id IS NOT NULL").mapInArrow(_prefixes(window, gram), "prefix BIGINT, doc_id BIGINT, h BIGINT")
@@ -353,6 +387,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_
     late = places.join(owners.unionAll(crowd_owners), "context").filter(F.exists("owners", lambda o: o < F.col("doc_id")))
     spans = late.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "owners")).alias("spans"))
     cleaned = open_.select("doc_id", "h", "n_words", "text").join(spans, ["doc_id", "h"], "left")
-    out = "doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_sha256 STRING"
-    rest = screened.filter("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256")
+    ranges = "ARRAY<STRUCT<start: INT, end: INT>>"
+    out = f"doc_id BIGINT, h BIGINT, n_words BIGINT, n_removed BIGINT, kept_sha256 STRING, removed {ranges}"
+    rest = screened.filter("text IS NULL").select(
+        "doc_id", "h", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256", F.array().cast(ranges.lower()).alias("removed")
+    )
     return cleaned.mapInArrow(_remove(window), out).unionAll(rest)

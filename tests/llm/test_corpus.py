@@ -154,6 +154,38 @@ def test_repeats_of_odd_rows(odd, none):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def kept_texts(rows, window):
+    first = {}
+    windows = lambda w: [tuple(w[i : i + window]) for i in range(len(w) - window + 1)]
+    for d, t in rows:
+        for k in windows(plain_words(t)) if d is not None else ():
+            first[k] = min(first.get(k, d), d)
+    out = []
+    for d, t in rows:
+        w = plain_words(t)
+        late = [i for i, k in enumerate(windows(w)) if first[k] < d] if d is not None else []
+        gone = {i + j for i in late for j in range(window)}
+        out.append((d, [x for i, x in enumerate(w) if i not in gone], sorted(gone)))
+    return sorted(out, key=repr)
+
+
+def test_texts_without_repeats(spark, odd, none):
+    rows = near_copies(7, 60)
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(4)
+    for df, all_rows, window in ((docs, rows, 7), (odd, [(d, t) for d, t, _ in ODD], 50)):
+        want = kept_texts(all_rows, window)
+        ranges = repeats.remove_repeats(df, window=window, gram=3).collect()
+        assert sorted(((r.doc_id, [i for x in r.removed for i in range(x.start, x.end)]) for r in ranges), key=repr) == sorted(((d, g) for d, _, g in want), key=repr)
+        got = repeats.without_repeats(df, window=window, gram=3)
+        assert got.columns == df.columns
+        got = got.collect()
+        assert sorted(((r.doc_id, plain_words(r.text)) for r in got), key=repr) == sorted(((d, w) for d, w, _ in want), key=repr)
+        changed = {d for d, _, g in want if g}
+        texts = {t for _, t in all_rows}
+        assert changed and all(r.text in texts for r in got if r.doc_id not in changed)
+    assert repeats.without_repeats(none).count() == 0
+
+
 def test_deep_nodes():
     rng = np.random.default_rng(0)
     numbers = rng.integers(0, 2, 400)
