@@ -6,7 +6,8 @@ Everything here is a DataFrame expression.
    a source cannot give (more than ``MAX_REPEATS`` times its size) is shared again.
 2. Documents of a source are permuted by the digest of their id and cut into blocks
    (a block is a digest prefix).  A target is some whole passes over the permuted
-   blocks and a last pass that stops in one block, inside one document.
+   blocks and a last pass that stops in one block, inside one document or, with
+   ``whole``, at the end of it that is nearer.
 3. A splitting tree deals the block copies to output shards: at every node an
    exact number goes left, drawn without replacement, so the counts per source
    follow the multivariate hypergeometric law.  Only counts go down the tree.
@@ -184,12 +185,14 @@ def _shards_of_copies(plan: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def mix_plan(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def mix_plan(docs: DataFrame, shards: int = SHARDS, whole: bool = False) -> DataFrame:
     """``doc_id, source, digest, size, source_size, target, last, shards``, one row per document.
 
     ``shards`` has the output shard of every use of the document, in order; all uses
     take the document whole but, when ``last`` is not null, the last one, which takes
-    ``last`` words (fewer than the size, more than 0).
+    ``last`` words (fewer than the size, more than 0).  With ``whole`` no document is cut:
+    the one in which a source's last pass stops is used in it when at least half of its
+    words were wanted, so a source misses its target by half a document at most.
 
     A null text has size 0 and is not used; a null source is a source; a null id is like
     any id.  Documents with equal ids keep a fixed order by size.  An empty table gives
@@ -215,28 +218,31 @@ def mix_plan(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     stops = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("block_size") > F.col("rest"))
     within = Window.partitionBy("source", "block").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     columns = ["doc_id", "source", "digest", "size", "source_size", "target", "passes", "shards"]
-    whole = found.filter(~stops).select(*columns, F.lit(None).cast("bigint").alias("given"))
+    untouched = found.filter(~stops).select(*columns, F.lit(None).cast("bigint").alias("given"))
     partly = found.filter(stops).select(
         *columns,
         F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before") - (F.sum("size").over(within) - F.col("size")))).cast("bigint").alias("given"),
     )
+    if whole:
+        partly = partly.withColumn("given", F.when(F.col("given") * 2 >= F.col("size"), F.col("size")).otherwise(0).cast("bigint"))
     uses = F.when(F.col("size") == 0, F.array().cast("array<int>")).when(
         F.col("given") == 0, F.slice("shards", F.lit(1), F.col("passes").cast("int"))
     ).otherwise(F.col("shards"))
     last = F.when((F.col("given") > 0) & (F.col("given") < F.col("size")), F.col("given"))
-    return whole.unionByName(partly).select(*columns[:6], last.alias("last"), uses.alias("shards"))
+    return untouched.unionByName(partly).select(*columns[:6], last.alias("last"), uses.alias("shards"))
 
 
-def mix_report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def mix_report(docs: DataFrame, shards: int = SHARDS, whole: bool = False) -> DataFrame:
     """``doc_id, size, source_size, target, taken``: how many words of each document the mix takes."""
     taken = F.size("shards") * F.col("size") - F.coalesce(F.col("size") - F.col("last"), F.lit(0))
-    return mix_plan(docs, shards).select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return mix_plan(docs, shards, whole).select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
-def mixed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def mixed(docs: DataFrame, shards: int = SHARDS, whole: bool = False) -> DataFrame:
     """The documents of the mix: every row as often as it is used, shard by shard, shuffled inside.
 
-    All columns stay; the text of a last, partly used document ends after the words it gives.
+    All columns stay; the text of a last, partly used document ends after the words it gives,
+    or with ``whole`` it is used whole or not at all (see ``mix_plan``).
     Rows of one id and size are alike to the plan: each gets the plan of one of them.
     """
     # the row travels as one struct, so its column names can clash with nothing
@@ -249,7 +255,7 @@ def mixed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     alike = Window.partitionBy("doc_id", "source", "size").orderBy(
         F.size("shards").desc(), F.col("last").asc_nulls_first(), F.col("shards").cast("string")
     )
-    plan = mix_plan(docs, shards).select("doc_id", "source", "size", "last", "shards", F.row_number().over(alike).alias("at"))
+    plan = mix_plan(docs, shards, whole).select("doc_id", "source", "size", "last", "shards", F.row_number().over(alike).alias("at"))
     same = (
         F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source"))
         & (F.col("words") == F.col("size")) & (F.col("nth") == F.col("at"))

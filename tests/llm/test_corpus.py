@@ -9,6 +9,7 @@ import pytest
 from conftest import ODD
 from test_texts import LOWER, plain_words, rows_of
 
+import corpus_pipeline
 from axisloom.llm import lm, mixing, ngram_join, repeats
 from axisloom.llm.components import components
 from axisloom.llm.lines import drop_boilerplate, host, page_lines
@@ -287,6 +288,28 @@ def test_mix(spark):
     assert {d: n for d, n in by.items() if n} == {r.doc_id: r.taken for r in got if r.taken}
 
 
+def test_mix_of_whole_texts(spark, odd):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(rng.randrange(1, 60))), f"s{i % 9}") for i in range(60)]
+    rows += [(100 + i, " ".join(f"v{i}x{k}" for k in range(40 * i)), f"t{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING").repartition(3)
+    stage = corpus_pipeline.mixture(spark, docs, "").collect()
+    # every text is one of the input, and every source as near to its target as whole documents go
+    texts, source = {d: t for d, t, _ in rows}, {d: s for d, _, s in rows}
+    assert all(r.text == texts[r.doc_id] for r in stage)
+    report = mixing.mix_report(docs, whole=True).collect()
+    by = Counter(r.doc_id for r in stage)
+    assert {r.doc_id: r.taken // r.size for r in report if r.taken} == dict(by) and all(not r.size or r.taken % r.size == 0 for r in report)
+    taken, largest, target = Counter(), Counter(), {}
+    for r in report:
+        s = source[r.doc_id]
+        taken[s] += r.taken
+        largest[s], target[s] = max(largest[s], r.size), r.target
+    assert all(2 * abs(taken[s] - round(target[s])) <= largest[s] for s in target)
+    assert any(r.taken % r.size for r in mixing.mix_report(docs).collect() if r.size)
+    assert {r.text for r in mixing.mixed(odd, whole=True).collect()} <= {t for _, t, _ in ODD}
+
+
 def test_mix_of_odd_rows(odd, none):
     got = mixing.mix_report(odd).collect()
     sizes = defaultdict(int)
