@@ -204,14 +204,14 @@ def _report(tests: TestSet):
     return run, schema
 
 
-def _tests_of_part(benchmark: DataFrame, parts: int, part: int, window: int) -> TestSet:
+def _tests_of_part(benchmark: DataFrame, parts: int, part: int, window: int, nameless: bool = False) -> TestSet:
     rows = (
         benchmark.select(F.col("item_id").cast("string").alias("id"), "text")
         .filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
-        .filter("id IS NOT NULL AND text IS NOT NULL")
+        .filter("text IS NOT NULL" if nameless else "id IS NOT NULL AND text IS NOT NULL")
         .collect()  # measured before: at most about max_part_bytes
     )
-    rows.sort(key=lambda r: (r[0], r[1]))
+    rows.sort(key=lambda r: (r[0] or "", r[1]))
     return test_set([r[0] for r in rows], [r[1] for r in rows], window)
 
 
@@ -302,12 +302,15 @@ def _merge(passes: list[DataFrame]) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any hit word, all columns as they were; every row is judged on its own."""
+    """The documents without any hit word, all columns as they were; every row is judged on its own.
+
+    Removal needs no name: items without an id count too.
+    """
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-int(size) // MAX_PART_BYTES))
     kept = docs
     for part in range(parts):
-        kept = kept.mapInArrow(_keep_clean(_tests_of_part(benchmark, parts, part, window)), docs.schema)
+        kept = kept.mapInArrow(_keep_clean(_tests_of_part(benchmark, parts, part, window, nameless=True)), docs.schema)
     return kept
 
 

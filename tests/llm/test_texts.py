@@ -254,6 +254,12 @@ def test_benchmark_hits(spark, odd, none, part_bytes):
     assert len(clean) == len(ODD) and not any(r.contaminated for r in clean)
 
 
+def test_removal_by_items_without_an_id(spark):
+    bench = spark.createDataFrame([(None, "one two three"), (None, None), (1, "four five")], "item_id BIGINT, text STRING")
+    docs = spark.createDataFrame([(0, "say one two three"), (1, "one two"), (2, "four five"), (3, None)], "doc_id BIGINT, text STRING")
+    assert sorted(r.doc_id for r in remove_contaminated(docs, bench).collect()) == [1, 3]
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(3)
     numbers = rng.integers(1, 4, 300)
