@@ -229,3 +229,49 @@ def op8(spark, sf):
     from .lines import drop_boilerplate
 
     return drop_boilerplate(table(spark, sf, "pages"))
+
+
+OP11_SQL = r"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(embedding) % 16 = 0
+    AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+parts AS (
+  SELECT vec_id, label, p, x[1 + p * len(x) // 16 : (p + 1) * len(x) // 16] AS x
+  FROM (SELECT *, unnest(range(16)) AS p FROM kept)),
+book0 AS (
+  SELECT p, e, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id, x) - 1 AS e FROM parts) WHERE e < 64),
+{rounds}
+final AS (
+  SELECT vec_id, label, p, min(struct_pack(d := d, e := e)) AS best FROM (
+    SELECT a.vec_id, a.label, a.p, b.e, CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+    FROM parts a JOIN book2 b ON b.p = a.p) GROUP BY vec_id, label, p),
+coded AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', best.e)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM final GROUP BY vec_id, label),
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS s FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256
+FROM coded, books""".replace(
+    "{rounds}",
+    "".join(
+        f"""
+near{r} AS (
+  SELECT vec_id, p, any_value(x) AS x, min(struct_pack(d := d, e := e)).e AS e FROM (
+    SELECT a.vec_id, a.p, a.x, b.e, list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM parts a JOIN book{r - 1} b ON b.p = a.p) GROUP BY vec_id, p),
+means{r} AS (
+  SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT p, e, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS v, unnest(range(len(x))) AS i FROM near{r}) GROUP BY p, e, i)
+  GROUP BY p, e),
+book{r} AS (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{r - 1} b LEFT JOIN means{r} m ON m.p = b.p AND m.e = b.e),"""
+        for r in (1, 2)
+    ),
+)
+
+
+@query("op11_vector_pivots", OP11_SQL)
+def op11(spark, sf):
+    from .vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf, "embeddings"))
