@@ -275,3 +275,43 @@ def op11(spark, sf):
     from .vector_codes import vector_codes
 
     return vector_codes(table(spark, sf, "embeddings"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(range(0, 8), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) ORDER BY b) AS t
+  FROM (SELECT unnest(range(0, 256)) AS b)),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY 1, 2),
+bytes AS (
+  SELECT run, k, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+         lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195, CAST(ord(c) - 64 AS BIGINT)] END)) AS b FROM runs),
+hashed AS (
+  SELECT run, k, xor(list_reduce(b, lambda s, x: xor(t[1 + xor(s % 256, x)], s // 256), CAST(4294967295 AS BIGINT)), 4294967295) AS h
+  FROM bytes, crc_table),
+cut AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[1:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, k FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM cut WHERE len(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+spots AS (SELECT word, n, unnest(range(0, len(word))) AS i FROM words),
+holes AS (SELECT word, n, word[1:i] AS a, word[i + 2:] AS z FROM spots),
+pairs AS (
+  SELECT x.word AS u, y.word AS v, y.n AS m FROM holes x JOIN holes y ON x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON w.word = h.a || h.z
+  UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON w.word = h.a || h.z),
+near AS (SELECT u, count(*) AS n_near, min(struct_pack(m := -m, v := v)) AS best FROM pairs GROUP BY u),
+formed AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * n THEN best.v END AS form,
+         CASE WHEN -best.m >= 2 * n THEN -best.m END AS form_n FROM words LEFT JOIN near ON u = word),
+follow AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT f.word, w.form FROM follow f JOIN formed w ON w.word = f.at WHERE w.form IS NOT NULL),
+roots AS (SELECT f.word, f.at AS root FROM follow f JOIN formed w ON w.word = f.at WHERE w.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)"""
+
+
+@query("op13_spelling_variants", OP13_SQL)
+def op13(spark, sf):
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf, "documents")).select("word", "form", "root", "n", "n_near", "form_n")

@@ -107,13 +107,14 @@ class Words:
 
     ``start``/``end`` are byte positions, ``doc`` the document number of each
     word, ``hash`` its 64-bit hash, ``count`` the words per document and
-    ``first`` the number of each document's first word.
+    ``first`` the number of each document's first word.  ``separators`` has a flag per
+    byte value, or is a function that tells which bytes belong to words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators=SPACE, lower: bool = False):
         self.data = LOWER[data] if lower else data
         n = len(data)
-        inside = ~separators[self.data]
+        inside = separators(self.data) if callable(separators) else ~separators[self.data]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         borders = offsets[1:-1]
