@@ -315,3 +315,61 @@ def op13(spark, sf):
     from .spelling import spelling_variants
 
     return spelling_variants(table(spark, sf, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+OP12_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+kinds AS (SELECT * FROM (VALUES
+  (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'),
+  (2, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+  (3, 'card', '[0-9](?:[\x20-]?[0-9])+'),
+  (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')) AS k(k, kind, pattern)),
+cut AS (SELECT r, text, k, kind, regexp_extract_all(text, pattern) AS m, regexp_split_to_array(text, pattern) AS g FROM docs, kinds),
+placed AS (
+  SELECT r, text, k, kind, m[i] AS v, CAST(list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS s
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM cut WHERE len(m) > 0)),
+digits AS (SELECT *, s + len(v) AS e, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM placed),
+base AS (
+  SELECT r, text, k, kind, s, e, kind || ':' || CASE k WHEN 1 THEN lower(v) WHEN 2 THEN v ELSE d END AS entity FROM digits
+  WHERE k = 1
+     OR k = 2 AND len(list_filter(string_split(v, '.'), lambda x: len(ltrim(x, '0')) > 3 OR CAST(CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE left(ltrim(x, '0'), 4) END AS INTEGER) > 255)) = 0
+     OR k = 3 AND len(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(0, len(d)), lambda i:
+          CASE WHEN i % 2 = 0 THEN CAST(d[len(d) - i] AS INTEGER) WHEN CAST(d[len(d) - i] AS INTEGER) > 4 THEN CAST(d[len(d) - i] AS INTEGER) * 2 - 9 ELSE CAST(d[len(d) - i] AS INTEGER) * 2 END)) % 10 = 0
+     OR k = 4 AND len(d) BETWEEN 8 AND 15),
+sides AS (
+  SELECT *, greatest(0, lag(e, 1, 0) OVER o, lag(e, 2, 0) OVER o, lag(e, 3, 0) OVER o) AS b, lead(s, 1, len(text)) OVER o AS f, row_number() OVER (ORDER BY r, s, e, entity) AS mention
+  FROM base WINDOW o AS (PARTITION BY r ORDER BY s, e, entity)),
+gaps AS (
+  SELECT r, entity, mention, false AS after, b AS base, text[b + 1:s] AS gap FROM sides WHERE s > b
+  UNION ALL SELECT r, entity, mention, true, e, text[e + 1:f] FROM sides WHERE f > e),
+worded AS (
+  SELECT *, regexp_extract_all(gap, '[\p{L}\p{N}]+') AS w, regexp_split_to_array(gap, '[\p{L}\p{N}]+') AS g FROM gaps),
+near AS (
+  SELECT r, entity, mention, after, i, lower(w[i]) AS term, CAST(base + list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS s, len(w[i]) AS n, w[i] AS word
+  FROM (SELECT *, unnest(CASE WHEN after THEN range(1, least(8, len(w)) + 1) ELSE range(greatest(1, len(w) - 7), len(w) + 1) END) AS i FROM worded WHERE len(w) > 0)),
+terms AS (SELECT * FROM near WHERE n >= 3 AND regexp_matches(word, '\p{L}')),
+context AS (SELECT mention, string_agg(term, ' ' ORDER BY s) AS c FROM terms GROUP BY mention),
+pairs AS (
+  SELECT entity, term, count(DISTINCT r) AS c_te FROM terms JOIN context USING (mention) GROUP BY entity, term HAVING count(DISTINCT c) >= 3),
+words AS (SELECT r, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM docs),
+c_t AS (SELECT term, count(*) AS c_t FROM words WHERE term IN (SELECT term FROM pairs) GROUP BY term),
+c_e AS (SELECT entity, count(DISTINCT r) AS c_e FROM base GROUP BY entity),
+told AS (
+  SELECT entity, term FROM pairs JOIN c_t USING (term) JOIN c_e USING (entity), (SELECT count(*) AS n FROM docs)
+  WHERE c_e < n AND 1 - ln(c_t / c_te) / ln(n / c_e) >= 0.7),
+spans AS (
+  SELECT r, k, s, kind || ':' || s || ':' || e AS span FROM base
+  UNION SELECT r, 5, s, 'term:' || s || ':' || (s + n) FROM terms JOIN told USING (entity, term)),
+report AS (
+  SELECT r, count(*) FILTER (k = 1) AS n_email, count(*) FILTER (k = 2) AS n_ip, count(*) FILTER (k = 3) AS n_card, count(*) FILTER (k = 4) AS n_phone,
+         string_agg(span, ',' ORDER BY k, s) FILTER (k < 5) AS base, string_agg(span, ',' ORDER BY k, s) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN report USING (r)"""
+
+
+@query("op12_private_terms", OP12_SQL)
+def op12(spark, sf):
+    from .privacy import span_report
+
+    return span_report(table(spark, sf, "documents"))
