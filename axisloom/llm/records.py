@@ -21,6 +21,7 @@ again replaces its file by the same bytes.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -30,15 +31,18 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_path
-from .words import slices
+from .words import slices, text_bytes
 
 MASK_ADD = 0xA282EAD8
-MAX_CACHED = 150_000
+#: pieces that an encoder remembers, and bytes of text it takes at once
+MAX_CACHED = 400_000
+SLICE = 1 << 21
 HEAD, CRC, PAYLOAD = "<QI", "<I", "<B?q"
 HEAD_SIZE, PAYLOAD_SIZE = struct.calcsize(HEAD), struct.calcsize(PAYLOAD)
 
@@ -88,74 +92,202 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
 # --- encoding -----------------------------------------------------------------
 
 
+#: fixed values: the normaliser and splitter that ``pieces`` and ``PLAIN`` reproduce
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+#: classes of lower-cased bytes: white space, parts of letters, digits, symbols
+_SPACE, _LETTER, _DIGIT, _SYMBOL = range(4)
+_CLASS = np.full(256, _LETTER, np.uint8)
+_CLASS[:128] = _SYMBOL
+_CLASS[[9, 10, 13, 32]] = _SPACE
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+#: bytes that stand alone in texts whose normal form, lower case and classes are beyond doubt
+_PLAIN = np.zeros(256, dtype=bool)
+_PLAIN[[9, 10, 13, *range(0x20, 0x7F)]] = True
+#: what may follow C3 (letters U+00C0 to U+00FF without the signs for times and divided by) and C5 (the ligature oe)
+_AFTER_C3 = np.zeros(256, dtype=bool)
+_AFTER_C3[0x80:0xC0] = True
+_AFTER_C3[[0x97, 0xB7]] = False
+_AFTER_C5 = np.zeros(256, dtype=bool)
+_AFTER_C5[[0x92, 0x93]] = True
+
+
+def plain_documents(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which documents hold plain characters only."""
+    after = np.zeros(len(data) + 1, np.uint8)
+    after[1:-1] = data[:-1]
+    before, nxt = after[:-1], np.append(data[1:], np.uint8(0)) if len(data) else data
+    good = _PLAIN[data]
+    good |= (before == 0xC3) & _AFTER_C3[data]
+    good |= (data == 0xC3) & _AFTER_C3[nxt]
+    good |= (before == 0xC5) & _AFTER_C5[data]
+    good |= (data == 0xC5) & _AFTER_C5[nxt]
+    bad = np.searchsorted(np.flatnonzero(~good), offsets)
+    return bad[1:] == bad[:-1]
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Lower case of plain texts: all lower and upper forms have equal lengths."""
+    out = data.copy()
+    out[(data >= 65) & (data <= 90)] += 32
+    if len(data) > 1:
+        wide, oe = data[:-1] == 0xC3, data[:-1] == 0xC5
+        out[1:][wide & (data[1:] >= 0x80) & (data[1:] <= 0x9E)] += 32
+        out[1:][oe & (data[1:] == 0x92)] = 0x93
+    return out
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class per byte, starts, ends) of the pieces of lower-cased plain texts.
+
+    Runs of letters, single digits, runs of symbols; an apostrophe alone before s, t, m,
+    d, re, ve or ll takes these letters with it.
+    """
+    kind = _CLASS[data]
+    begin = np.empty(len(data), dtype=bool)
+    begin[:1] = True
+    begin[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    border = offsets[1:-1]
+    begin[border[border < len(data)]] = True
+    quote = np.flatnonzero(begin & (data == 39))
+    end_of = np.searchsorted(offsets, quote, side="right")  # each quote's document ends there
+    room = offsets[end_of] - quote
+    one, two = (data[np.minimum(quote + k, len(data) - 1)] for k in (1, 2))
+    short = (room > 1) & np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = (room > 2) & (((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108)))
+    for which, size in ((short, 2), (long, 3)):
+        at, left = quote[which], room[which]
+        begin[at + 1] = False
+        more = at[left > size] + size
+        # the letters behind are a piece of their own
+        begin[more] |= kind[more] == _LETTER
+    begin &= kind != _SPACE
+    stop = np.append(np.flatnonzero(begin | (kind == _SPACE)), len(data))
+    starts = np.flatnonzero(begin)
+    return kind, starts, stop[np.searchsorted(stop, starts) + 1] if len(starts) else starts
+
+
 class Encoder:
     """Exactly what ``Tokenizer.encode`` gives, with a memory for repeated words.
 
-    The tokenizer splits a text into pieces (letters, single digits, runs of
-    symbols, English endings) and encodes each alone, so the ids of a piece
-    never depend on its neighbours.  For texts of plain characters, whose pieces
-    and lower case are known, pieces are looked up in a bounded memory and only
-    new ones are encoded.  All other texts go to the tokenizer whole.
+    The tokenizer splits a text into pieces and encodes each alone, so the ids of a piece
+    never depend on its neighbours.  Texts of plain characters are cut into pieces as
+    byte arrays; a slice looks up its distinct pieces once, and id runs are gathered for
+    all places.  All other texts, and all texts when the tokenizer has another
+    normaliser or splitter, go to the tokenizer whole.
     """
 
-    #: characters whose normal form, lower case and class are beyond doubt
-    PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿŒœ]*")
-    PIECE = re.compile(
-        "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[!-/:-@\\[-`{-~]+"
-    )
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        said = json.loads(self.tokenizer.to_str())
+        self.known = said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == SPLITTER and said["model"]["end_of_word_suffix"] == "</w>"
+        self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width = 2 if n <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self.ends = np.zeros(n, dtype=bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
-        self.kept: dict[str, bytes] = {}
+        # the memory: distinct pieces, and their runs of ids one after the other
+        self.words = pa.array([], pa.string())
+        self.ids, self.length = np.empty(0, self.dtype), np.empty(0, np.int64)
 
     def _pack(self, ids) -> bytes:
         return np.asarray(ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.kept) + len(pieces) > MAX_CACHED:
-            self.kept = dict(islice(self.kept.items(), MAX_CACHED // 4))
-        # many pieces per call; an id of a word end closes each piece
-        for k in range(0, len(pieces), 4096):
-            some = pieces[k : k + 4096]
-            ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=self.dtype)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some) and (not len(ids) or cuts[-1] == len(ids)):
-                raw, at = ids.tobytes(), [0, *(cuts * self.width).tolist()]
-                self.kept.update((p, raw[a:b]) for p, a, b in zip(some, at, at[1:]))
+    def _encoded(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids of each): many pieces per call, an id of a word end closes each."""
+        ids, length = [], []
+        for k in range(0, len(new), 4096):
+            some = new.slice(k, 4096)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), " ")[0].as_py()
+            found = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            cuts = np.flatnonzero(self.ends[found]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(found):
+                ids.append(found)
+                length.append(np.diff(cuts, prepend=0))
             else:
-                encoded = self.tokenizer.encode_batch(some, add_special_tokens=False)
-                self.kept.update((p, self._pack(e.ids)) for p, e in zip(some, encoded))
+                each = [x.ids for x in self.tokenizer.encode_batch_fast(some.to_pylist(), add_special_tokens=False)]
+                ids.append(np.array([i for x in each for i in x], self.dtype))
+                length.append(np.array([len(x) for x in each], np.int64))
+        return (np.concatenate(ids), np.concatenate(length)) if ids else (self.ids[:0], self.length[:0])
+
+    def _numbers(self, distinct: pa.Array) -> np.ndarray:
+        """Places of distinct pieces in the memory, which learns the new ones."""
+        at = pc.index_in(distinct, value_set=self.words)
+        new = distinct.filter(at.is_null())
+        number = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        number[at.is_null().to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+        ids, length = self._encoded(new)
+        self.words = pa.concat_arrays([self.words, new])
+        self.ids, self.length = np.concatenate((self.ids, ids)), np.concatenate((self.length, length))
+        return number
+
+    def _forget(self, number: np.ndarray, often: np.ndarray) -> None:
+        """Keeps the pieces of the present slice that stood in it more than once."""
+        keep = np.sort(number[often])
+        keep = keep[: MAX_CACHED // 2]
+        first = np.cumsum(self.length) - self.length
+        length = self.length[keep]
+        self.ids = self.ids[np.repeat(first[keep] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+        self.words, self.length = self.words.take(pa.array(keep)), length
+
+    def _gather(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Packed ids of plain texts."""
+        data = lowered(data)
+        kind, starts, ends = pieces(data, offsets)
+        sizes = ends - starts
+        # pieces and white space make up the texts, so the bytes of all pieces lie in a row
+        bounds = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        column = pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(data[kind != _SPACE])])
+        coded = column.dictionary_encode()
+        number, at = self._numbers(coded.dictionary), coded.indices.to_numpy()
+        first = np.cumsum(self.length) - self.length
+        place = number[at]
+        many = self.length[place]
+        placed = np.concatenate(([0], np.cumsum(many)))
+        out = self.ids[np.repeat(first[place] - placed[:-1], many) + np.arange(placed[-1])].tobytes()
+        if len(self.words) > MAX_CACHED:
+            self._forget(number, np.bincount(at, minlength=len(number)) > 1)
+        cut = (placed[np.searchsorted(starts, offsets)] * self.width).tolist()
+        return [out[a:b] for a, b in zip(cut, cut[1:])]
+
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """Packed little-endian ids per text, ``width`` bytes each; a null text is empty."""
+        data, offsets = text_bytes(column)
+        plain = plain_documents(data, offsets) if self.known else np.zeros(len(column), dtype=bool)
+        raw = data.tobytes()
+        for mark in self.special:
+            at = raw.find(mark)
+            while at >= 0:
+                plain[np.searchsorted(offsets, at, side="right") - 1] = False
+                at = raw.find(mark, at + 1)
+        del raw
+        out: list[bytes | None] = [None] * len(column)
+        if plain.all():
+            return self._gather(data, offsets) if len(column) else []
+        some = np.flatnonzero(plain)
+        if len(some):
+            keep = np.repeat(plain, np.diff(offsets))
+            inner = np.concatenate(([0], np.cumsum(np.diff(offsets)[some])))
+            for i, ids in zip(some.tolist(), self._gather(data[keep], inner)):
+                out[i] = ids
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = self._pack(self.tokenizer.encode(column[i].as_py() or "", add_special_tokens=False).ids)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian ids per text, ``width`` bytes each."""
-        out: list[bytes | None] = [None] * len(texts)
-        plain: dict[int, list[str]] = {}
-        for i, text in enumerate(texts):
-            if self.PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-                plain[i] = self.PIECE.findall(text.lower())
-            else:
-                out[i] = self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        # sorted, so that what a memory has learnt never depends on set order
-        known = self.kept
-        new = sorted({p for pieces in plain.values() for p in pieces if p not in known})
-        if new:
-            self._learn(new)
-        known = self.kept
-        for i, pieces in plain.items():
-            try:
-                out[i] = b"".join([known[p] for p in pieces])
-            except KeyError:  # the memory was cut down meanwhile
-                out[i] = self._pack(self.tokenizer.encode(texts[i], add_special_tokens=False).ids)
-        return out
+        return self.encode_column(pa.array(texts, pa.string()))
 
 
 def encoder_of(path: str) -> Encoder:
@@ -197,11 +329,11 @@ def write_records(
         index, at, tokens, n_docs = [], 0, 0, 0
         with where.open_output_stream(own) as out:
             for batch in batches:
-                for a, b, _, _ in slices(batch.column("text")):
+                for a, b, _, _ in slices(batch.column("text"), SLICE):
                     ids = batch.column("doc_id").slice(a, b - a).to_pylist()
                     offsets, sizes, counts = [], [], []
                     chunk = []
-                    for doc, raw in zip(ids, encoder.encode(batch.column("text").slice(a, b - a).to_pylist())):
+                    for doc, raw in zip(ids, encoder.encode_column(batch.column("text").slice(a, b - a))):
                         raw += end
                         record = frame(payload(encoder.width, doc, raw))
                         offsets.append(at)
