@@ -207,16 +207,19 @@ def disclosures(
     seen = found.select(one("entity", "term", "context")).groupBy("x").count()
     backed = seen.groupBy("x.entity", "x.term").agg(F.count("*").alias("n")).filter(F.col("n") >= min_contexts)
     both = found.select(one("entity", "term")).groupBy("x.entity", "x.term").agg(F.count("*").alias("c_te"))
-    pairs, _ = stored(backed.join(both, ["entity", "term"]).select("entity", "term", "c_te"), "term-pairs")
     entity = F.array_distinct(F.transform(F.concat(*KINDS), lambda x: x["entity"]))
     c_e = found.select(F.explode(entity).alias("entity")).groupBy("entity").agg(F.count("*").alias("c_e"))
+    n = found.count()
+    share = lambda c_t: 1 - F.log(F.col(c_t) / F.col("c_te")) / F.log(F.lit(float(n)) / F.col("c_e"))
+    # rows with t in any context are rows with t: a bound that stops all common words before texts are read again
+    c_any = found.select(one("term")).groupBy("x.term").agg(F.count("*").alias("c_any"))
+    open_ = backed.join(both, ["entity", "term"]).join(c_e.filter(F.col("c_e") < n), "entity").join(c_any, "term")
+    open_ = open_.filter(share("c_any") >= threshold)
+    pairs, _ = stored(open_.select("entity", "term", "c_te", "c_e"), "term-pairs")
     terms, _ = stored(pairs.select("term").distinct(), "terms")
     c_t = term_counts(docs, terms, terms.count() <= BROADCAST_ROWS)
-    n = found.count()
-    worth = F.log(F.lit(float(n)) / F.col("c_e"))
-    share = 1 - F.log(F.col("c_t") / F.col("c_te")) / worth
-    told = pairs.join(c_t, "term").join(c_e, "entity").filter(F.col("c_e") < n)
-    return stored(told.select("entity", "term", share.alias("share")).filter(F.col("share") >= threshold), "disclosures")[0]
+    told = pairs.join(c_t, "term").select("entity", "term", share("c_t").alias("share"))
+    return stored(told.filter(F.col("share") >= threshold), "disclosures")[0]
 
 
 def personal_spans(
