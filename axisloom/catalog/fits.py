@@ -9,7 +9,7 @@ from .. import operators as op
 from ..operators.model import Start
 from ..operators.pca import shares_frame
 from ..plans.moments import column_stats
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from . import register as r
 from .register import query
 
@@ -408,6 +408,18 @@ def rotation(spark, sf):
     return factor_rows(spark, model).select("comp", "col_id", "loading")
 
 
+@query("canonical_rotation_cells", axes_sql())
+def rotation_cells(spark, sf):
+    """The axes of a model that is a table, saved and loaded: as many components as columns span everything."""
+    z = op.zscore_rows(r.correlated(spark, sf)).select("y").withColumn("row_id", F.monotonically_increasing_id())
+    rows, _ = stored(z, "numbered-rows")  # order keys repeat; the numbers are fixed once written
+    path = scratch_path(spark, "model")
+    op.fit_cells(op.cells_of(rows), 3, rows.count(), 3, max_iter=1, canonical=True).save(path)
+    model = op.CellModel.load(spark, path)
+    axes = model.components().select(F.posexplode("axis").alias("comp", "v"), "col_id").filter("comp < 2")
+    return axes.select("comp", "col_id", r.rounded(F.col("v")).alias("loading"))
+
+
 @query("model_round_trip", ppca_k1_sql(2))
 def round_trip(spark, sf):
     path = scratch_path(spark, "model")

@@ -15,10 +15,11 @@ import re
 import sys
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import fa_fit, ppca_fit
+from .operators import fa_fit, fit_cells, ppca_fit
 from .operators.model import Start
+from .plans.budget import MAX_CLOSURE_BYTES
 from .sinks import write_matrix, write_projected
 from .sinks.text import FORMATS as OUTPUT_FORMATS
 from .sources import convert_matrix, read_dense, scan_rows
@@ -64,6 +65,7 @@ def parser() -> argparse.ArgumentParser:
         option(fit, "start", help="dense text of start loadings, a line per column, in place of drawn ones")
         option(fit, "noise", type=float, help="start noise variance, with -start")
         option(fit, "canonical", action="store_true", help="rotate and order the components")
+        option(fit, "model", choices=("auto", "array", "table"), default="auto", help="where the model is held; auto: a table when sparse rows have more columns x components than a task can take")
     return top
 
 
@@ -79,6 +81,9 @@ def run(spark: SparkSession, args: list[str]):
     fit = ppca_fit if a.job == "ppca" else fa_fit
     if "idx" in rows.columns and a.cols is None:
         parser().error("sparse rows need -cols")
+    too_large = a.cols is not None and 8 * a.cols * a.pcs > MAX_CLOSURE_BYTES
+    if "idx" in rows.columns and a.model != "array" and (a.model == "table" or too_large):
+        return _table_fit(spark, rows, a)
     init = a.seed
     if a.start is not None:
         lines = read_dense(spark, a.start, a.pcs).orderBy("row_id").collect()
@@ -94,6 +99,29 @@ def run(spark: SparkSession, args: list[str]):
     return model
 
 
+def _table_fit(spark: SparkSession, rows: DataFrame, a: argparse.Namespace):
+    """The fit with the model as a table: same files, no reconstruction error per round."""
+    cells = rows.select("row_id", F.explode(F.arrays_zip("idx", "val")).alias("e"))
+    cells = cells.select("row_id", F.col("e.idx").cast("int").alias("col_id"), F.col("e.val").alias("value"))
+    start = None
+    if a.start is not None:
+        noise = F.lit(0.5 if a.noise is None else a.noise)
+        start = read_dense(spark, a.start, a.pcs).select(F.col("row_id").cast("int").alias("col_id"), F.col("y").alias("c"), noise.alias("noise"))
+    n = a.rows if a.rows is not None else rows.count()
+    model = fit_cells(
+        cells, a.pcs, n, a.cols, kind=a.job, max_iter=a.maxIter, start=start, seed=a.seed, canonical=a.canonical
+    )
+    model.save(os.path.join(a.o, "model"))
+    # columns without cells have no loadings; they are zero in the text
+    width = a.pcs if model.eigenvalues is None else len(model.eigenvalues)
+    zeros = F.array_repeat(F.lit(0.0), width)
+    every = spark.range(a.cols).withColumnRenamed("id", "row_id").join(model.loading_rows(), "row_id", "left")
+    write_matrix(every.select("row_id", F.coalesce("y", zeros).alias("y")), os.path.join(a.o, "PCs.txt"), a.outFmt)
+    if a.computeProjectedMatrix:
+        write_projected(model.transform(cells), a.o, a.projectedFmt)
+    return model
+
+
 def main() -> None:
     spark = SparkSession.builder.appName("axisloom").getOrCreate()
     try:

@@ -10,7 +10,7 @@ from .cells import (
     trials_to_cells,
     trials_to_matrix,
 )
-from .cells_fit import CellModel, cross_moments_cells, fit_cells, latent_scores_cells
+from .cells_fit import CellModel, canonical_rotation_cells, cross_moments_cells, fit_cells, latent_scores_cells
 from .evaluate import (
     accuracy_of,
     confusion,

@@ -1,25 +1,29 @@
 """PPCA and factor analysis on sparse cells with the model itself as a table.
 
 For matrices so wide that D x k no longer belongs on the driver or in a task:
-loadings are a DataFrame ``col_id, mean, var, noise, c ARRAY<DOUBLE>`` and a
-round is two joins with the cells.  Only k x k sums reach the driver.
+loadings are a DataFrame ``col_id, mean, var, noise, c ARRAY<DOUBLE>``.  The cells are
+stored once as bucketed blocks; a round sends the model's columns to the blocks and adds
+up partial sums per column.  Only k x k sums reach the driver.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+import os
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.blocks import flat_sum, list_array
+from ..plans.cell_blocks import CellBlocks, sum_lists
 from ..plans.joins import join_lookup
+from ..plans.tall import orthonormal_map, times
 from ..session import drop_stored, stored
 from .cells import column_sums_cells
 from .factor import MIN_NOISE
-from .model import StopRule
+from .model import MODES, StopRule
 
 
 def _lists(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
@@ -60,12 +64,16 @@ def _map_model(table: DataFrame, fn, schema: str) -> DataFrame:
     return table.mapInArrow(task, schema)
 
 
-def _weighted_sum(value: Column, row: str, k: int) -> list[Column]:
-    return [F.sum(value * F.col(row)[j]).alias(f"s{j}") for j in range(k)]
+#: sums of more components than this are made in tasks, not in generated code
+MAX_UNROLLED = 8
 
 
-def _gather(df: DataFrame, key: str, out: str, k: int) -> DataFrame:
-    return df.select(key, F.array(*[F.col(f"s{j}") for j in range(k)]).alias(out))
+def _weighted_sums(df: DataFrame, key: str, value: Column, row: str, out: str, k: int) -> DataFrame:
+    """Per key, the sum of value times the list."""
+    if k <= MAX_UNROLLED:
+        sums = df.groupBy(key).agg(*[F.sum(value * F.col(row)[j]).alias(f"s{j}") for j in range(k)])
+        return sums.select(key, F.array(*[F.col(f"s{j}") for j in range(k)]).alias(out))
+    return sum_lists(df.select(key, F.transform(row, lambda x: value * x).alias(out)), key, out, k)
 
 
 def latent_scores_cells(cells: DataFrame, matrix: DataFrame, k: int, col: str = "w") -> DataFrame:
@@ -75,7 +83,7 @@ def latent_scores_cells(cells: DataFrame, matrix: DataFrame, k: int, col: str =
     Products combine per row before the shuffle.
     """
     joined = join_lookup(cells, matrix.select("col_id", col), ["col_id"], 32 + 8 * k)
-    return _gather(joined.groupBy("row_id").agg(*_weighted_sum(F.col("value"), col, k)), "row_id", "x", k)
+    return _weighted_sums(joined, "row_id", F.col("value"), col, "x", k)
 
 
 def cross_moments_cells(cells: DataFrame, matrix: DataFrame, k: int, col: str = "w") -> DataFrame:
@@ -84,13 +92,15 @@ def cross_moments_cells(cells: DataFrame, matrix: DataFrame, k: int, col: str =
     X'X and the sum of X follow from it and M, so no other pass is needed.
     """
     x = latent_scores_cells(cells, matrix, k, col)
-    ytx = cells.join(x, "row_id").groupBy("col_id").agg(*_weighted_sum(F.col("value"), "x", k))
-    return _gather(ytx, "col_id", "ytx", k)
+    return _weighted_sums(cells.join(x, "row_id"), "col_id", F.col("value"), "x", "ytx", k)
 
 
 @dataclass(frozen=True)
 class CellModel:
-    """``table``: ``col_id, mean, var, noise, c``; columns without non-zeros are left out."""
+    """``table``: ``col_id, mean, var, noise, c``; columns without non-zeros are left out.
+
+    With canonical axes there is a further column ``axis``.
+    """
 
     kind: str
     table: DataFrame
@@ -98,28 +108,132 @@ class CellModel:
     n_rows: int
     history: tuple
     path: str | None = None
+    eigenvalues: tuple | None = None
+    var_exp: tuple | None = None
 
     def close(self) -> None:
         """Removes the stored table; the model can no longer be read then."""
         if self.path is not None:
             drop_stored(self.table.sparkSession, self.path)
 
-    def transform(self, cells: DataFrame) -> DataFrame:
-        """y C per row: ``row_id, x``."""
-        return latent_scores_cells(cells, self.table, self.k, "c")
+    @property
+    def direction(self) -> str:
+        """The column that rows are projected on."""
+        return "axis" if self.eigenvalues is not None else "c"
+
+    def transform(self, cells: DataFrame, mode: str = "raw") -> DataFrame:
+        """``row_id, x`` of the rows that have cells; modes as for the array models."""
+        if mode not in MODES:
+            raise ValueError(f"unknown mode {mode!r}; use one of {MODES}")
+        if mode == "raw":
+            width = self.k if self.eigenvalues is None else len(self.eigenvalues)
+            return latent_scores_cells(cells, self.table, width, self.direction)
+        table, col, k = self.table, self.direction, self.k if self.eigenvalues is None else len(self.eigenvalues)
+        if mode == "posterior":
+            k = self.k
+
+            def begin(batch):
+                c, noise = _lists(batch, "c", "noise")
+                return {"p": c.T @ (c / noise[:, None])}
+
+            v = np.linalg.inv(np.eye(k) + _model_sums(table, {"p": (k, k)}, begin)["p"])
+
+            def weigh(batch):
+                c, noise = _lists(batch, "c", "noise")
+                return {"col_id": batch.column("col_id"), "mean": batch.column("mean"), "w": c @ v / noise[:, None]}
+
+            table, col = _map_model(table, weigh, "col_id INT, mean DOUBLE, w ARRAY<DOUBLE>"), "w"
+
+        def middle(batch):
+            w, mean = _lists(batch, col, "mean")
+            return {"xm": mean @ w}
+
+        xm = _model_sums(table, {"xm": (k,)}, middle)["xm"]
+        shift = F.array(*[F.lit(float(v)) for v in xm])
+        scores = latent_scores_cells(cells, table, k, col)
+        return scores.select("row_id", F.zip_with("x", shift, lambda x, m: x - m).alias("x"))
 
     def components(self) -> DataFrame:
-        return self.table.select("col_id", F.col("c").alias("loadings"), "mean", "noise")
+        axis = [] if self.eigenvalues is None else ["axis"]
+        return self.table.select("col_id", F.col("c").alias("loadings"), "mean", "noise", *axis)
+
+    def loading_rows(self) -> DataFrame:
+        """The D x k result matrix as dense rows, ready for ``write_matrix``."""
+        return self.table.select(F.col("col_id").cast("bigint").alias("row_id"), F.col(self.direction).alias("y"))
+
+    def history_frame(self, spark) -> DataFrame:
+        """A row per round; the first round has no change, and no round an error."""
+        rows = [(n, o, None if c is None or math.isinf(c) else c, e) for n, o, c, e in self.history]
+        return spark.createDataFrame(rows, "round INT, objective DOUBLE, rel_change DOUBLE, error DOUBLE")
+
+    def save(self, path: str, mode: str = "errorifexists") -> None:
+        spark = self.table.sparkSession
+        as_list = lambda a: None if a is None else [float(v) for v in a]
+        meta = [(self.kind, self.k, self.n_rows, as_list(self.eigenvalues), as_list(self.var_exp))]
+        self.table.write.mode(mode).parquet(os.path.join(path, "table"))
+        schema = "kind STRING, k INT, n_rows BIGINT, eigenvalues ARRAY<DOUBLE>, var_exp ARRAY<DOUBLE>"
+        spark.createDataFrame(meta, schema).coalesce(1).write.mode(mode).parquet(os.path.join(path, "meta"))
+        self.history_frame(spark).coalesce(1).write.mode(mode).parquet(os.path.join(path, "history"))
+
+    @staticmethod
+    def load(spark, path: str) -> "CellModel":
+        meta = spark.read.parquet(os.path.join(path, "meta")).first()
+        history = spark.read.parquet(os.path.join(path, "history")).orderBy("round").collect()
+        as_tuple = lambda v: None if v is None else tuple(v)
+        return CellModel(
+            meta["kind"], spark.read.parquet(os.path.join(path, "table")), meta["k"], meta["n_rows"],
+            tuple((n, o, math.inf if c is None else c, e) for n, o, c, e in history),
+            None, as_tuple(meta["eigenvalues"]), as_tuple(meta["var_exp"]),
+        )
+
+
+def canonical_rotation_cells(cells: DataFrame, model: CellModel) -> CellModel:
+    """The model with orthonormal axes in order of score variance, as ``canonical_rotation``.
+
+    The basis comes from a tree of small QR decompositions, the score covariance from
+    one round over the cells; signs are fixed by the largest entry of an axis (the
+    smallest column where several are equal).
+    """
+    m = orthonormal_map(model.table, "c", model.k)
+    k, n = m.shape[1], float(model.n_rows)
+    basis, basis_path = stored(times(model.table, "c", m, "w"), "basis")
+    blocks = CellBlocks(cells, k)
+    joined = model.table.select("col_id", "mean", "var").join(basis, "col_id").join(blocks.moments(basis), "col_id")
+
+    def begin(batch):
+        w, ytx, mean, var = _lists(batch, "w", "ytx", "mean", "var")
+        return {"xtx": w.T @ ytx, "xm": mean @ w, "total": np.array([var.sum()])}
+
+    r = _model_sums(joined, {"xtx": (k, k), "xm": (k,), "total": (1,)}, begin)
+    scatter = (r["xtx"] + r["xtx"].T) / 2 - n * np.outer(r["xm"], r["xm"])
+    values, vectors = np.linalg.eigh(scatter / (n - 1))
+    order = np.argsort(values)[::-1]
+    values, vectors = values[order], vectors[:, order]
+    turned = times(basis, "w", vectors, "axis")
+    flat = turned.select("col_id", F.posexplode("axis").alias("comp", "v"))
+    top = flat.groupBy("comp").agg(F.max(F.struct(F.abs("v"), -F.col("col_id"), "v"))["v"].alias("v")).collect()  # k rows
+    sign = np.ones(k)
+    for x in top:
+        sign[x["comp"]] = -1.0 if x["v"] < 0 else 1.0
+    axes = times(basis, "w", vectors * sign, "axis")
+    table, path = stored(model.table.select("col_id", "mean", "var", "noise", "c").join(axes, "col_id"), "model")
+    blocks.close()
+    drop_stored(cells.sparkSession, basis_path)
+    return replace(
+        model, table=table, path=path, eigenvalues=tuple(map(float, values)),
+        var_exp=tuple(map(float, np.cumsum(values) / r["total"][0])),
+    )
 
 
 def uniform_start(k: int, seed: int) -> Column:
     """Loadings in [0, 1) from digests of column number, seed and component."""
 
     def draw(j):
-        text = F.concat_ws(":", F.col("col_id").cast("string"), F.lit(str(seed)), F.lit(str(j)))
+        text = F.concat_ws(":", F.col("col_id").cast("string"), F.lit(str(seed)), j.cast("string"))
         return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("double") / float(1 << 28)
 
-    return F.array(*[draw(j) for j in range(k)])
+    # one expression for all components, however many
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), draw)
 
 
 def fit_cells(
@@ -133,10 +247,12 @@ def fit_cells(
     tol: float | None = None,
     start: DataFrame | None = None,
     seed: int = 0,
+    canonical: bool = False,
 ) -> CellModel:
     """EM rounds on cells ``row_id, col_id, value`` (each cell at most once).
 
-    Same rounds and stop rules as the array forms, without the error pass.
+    Same rounds and stop rules as the array forms, without the error pass.  The cells are
+    shuffled and stored once; no round moves them again.
     ``start`` gives ``col_id, c, noise``; otherwise loadings are drawn in [0, 1)
     and the noise is 0.5.
     """
@@ -156,6 +272,7 @@ def fit_cells(
         )
     table, path = stored(table.select("col_id", "mean", "var", "noise", "c"), "model")
     isotropic = kind == "ppca"
+    blocks = CellBlocks(cells, k)
     stop = StopRule(max_iter, (1e-5 if isotropic else 1.0) if tol is None else tol, relative=isotropic)
     while True:
         def begin(batch):
@@ -175,7 +292,7 @@ def fit_cells(
 
         weights = _map_model(table, weigh, "col_id INT, w ARRAY<DOUBLE>")
         # the one query over the data in a round
-        moments = cross_moments_cells(cells, weights, k)
+        moments = blocks.moments(weights)
         joined, newer = stored(table.join(weights, "col_id").join(moments, "col_id"), "model")
         drop_stored(cells.sparkSession, path)
         path = newer
@@ -217,4 +334,9 @@ def fit_cells(
 
         table = _map_model(joined, renew, "col_id INT, mean DOUBLE, var DOUBLE, noise DOUBLE, c ARRAY<DOUBLE>")
         if stop.record(float(objective)):
-            return CellModel(kind, table, k, n_rows, tuple(stop.history), path)
+            blocks.close()
+            model = CellModel(kind, table, k, n_rows, tuple(stop.history), path)
+            if canonical:
+                fitted, model = model, canonical_rotation_cells(cells, model)
+                fitted.close()
+            return model

@@ -2,6 +2,8 @@
 has model size (columns x components); these constants say how large that may be.
 """
 
+import numpy as np
+
 # Up to these sizes expressions written out in SQL are as fast as Arrow blocks
 # (measured on 400,000 rows); beyond, generated code grows faster than the work.
 MAX_WIDE_AGGREGATES = 20
@@ -19,6 +21,17 @@ MAX_BROADCAST_ROWS = 200_000
 BLOCK_CELLS = 1 << 20
 
 
+def wake_blas() -> None:
+    """Lets a plain product start the threads of numpy's library on the driver.
+
+    A session forks the driver; a factorisation of 100 rows and more that starts the
+    threads afterwards can wait for ever, while after a product it never did (seen with
+    OpenBLAS).  Tasks run with one thread and need nothing.
+    """
+    block = np.ones((512, 512))
+    block @ block
+
+
 def check_bytes(what: str, n_doubles: int, limit: int = MAX_CLOSURE_BYTES) -> None:
     if 8 * n_doubles > limit:
         raise ValueError(f"{what}: {8 * n_doubles:,} bytes exceed the bound of {limit:,}")

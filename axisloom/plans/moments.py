@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .blocks import checked_rows, flat_sum, iter_blocks, list_array, width
-from .budget import BLOCK_CELLS, MAX_WIDE_AGGREGATES, check_bytes, gram_fits, wide_gram_fits
+from .budget import BLOCK_CELLS, MAX_WIDE_AGGREGATES, check_bytes, gram_fits, wake_blas, wide_gram_fits
 
 
 @dataclass(frozen=True)
@@ -375,6 +375,7 @@ def moment_source(
     df: DataFrame, plan: str = "auto", d: int | None = None, n_rows: int | None = None
 ):
     """Picks gram (one pass in all), rows or sparse (one pass per round)."""
+    wake_blas()
     if "idx" in df.columns:
         if d is None:
             raise ValueError("sparse rows need the number of columns")

@@ -61,3 +61,27 @@ def test_fa_job(spark, tmp_path):
 def test_wrong_arguments_are_refused(args):
     with pytest.raises(SystemExit):
         parser().parse_args(args)
+
+
+@pytest.mark.parametrize("job", ["ppca", "fa"])
+def test_the_model_as_a_table_writes_the_same_files(spark, tmp_path, job):
+    from axisloom.operators import CellModel
+
+    text, start = tmp_path / "coo.txt", tmp_path / "start.txt"
+    cells = [(i, j, TOY[i, j] * (1 + 0.3 * i + 0.1 * j)) for i in range(7) for j in range(4) if TOY[i, j]]
+    text.write_text("\n".join(f"{i},{j},{v}" for i, j, v in cells))
+    start.write_text("\n".join(" ".join(f"{(3 * i + 2 * j) % 7 / 7}" for j in range(2)) for i in range(4)))
+    rows = str(tmp_path / "rows")
+    run(spark, ["convert", "-Input", str(text), "-InputFmt", "COO", "-Base", "0", "-Output", rows, "-Sparse"])
+    more = ["-cols", "4", "-pcs", "2", "-start", str(start), "-noise", "0.5", "-errSampleRate", "0", "-maxIter", "2", "-computeProjectedMatrix", "1"]
+    found = {}
+    for kind in ("array", "table"):
+        out = str(tmp_path / kind)
+        model = run(spark, [job, "-i", rows, "-o", out, "-model", kind, *more])
+        pcs = np.array([r.y for r in read_dense(spark, os.path.join(out, "PCs.txt")).orderBy("row_id").collect()])
+        projected = {r.row_id: r.x for r in spark.read.parquet(os.path.join(out, "ProjectedMatrix")).collect()}
+        found[kind] = pcs, projected, model
+    assert isinstance(found["table"][2], CellModel)
+    assert np.allclose(found["array"][0], found["table"][0])
+    assert all(np.allclose(x, found["array"][1][i]) for i, x in found["table"][1].items())
+    assert CellModel.load(spark, str(tmp_path / "table" / "model")).components().count() == 4
