@@ -37,7 +37,7 @@ WINDOW = 8
 LEAST_TERM = 3
 MIN_CONTEXTS = 3
 GENERALISE, REMOVE = 0.7, 0.9
-#: so many candidate terms (or pairs) are sent to every task; more are joined by a shuffle
+#: so many telling pairs are sent to every task; more are joined by a shuffle
 BROADCAST_ROWS = 100_000
 #: elements whose running sums are built by appending
 CHUNK = 32
@@ -182,18 +182,11 @@ def found_entities(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return stored(rows.select("row", "doc_id", "hash", "f.*"), "entities")[0]
 
 
-def term_counts(docs: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
-    """``term, c_t``: the rows that hold each wanted term.
-
-    Few wanted terms go to every task and stop the other words before the shuffle;
-    otherwise all words are added up inside the tasks first.
-    """
+def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``term, c_t``: the rows that hold each wanted term; all words are added up inside the tasks first."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"{WORD}"), F.lit(0)))
     held = docs.filter(F.col("text").isNotNull()).select(F.explode(words).alias("term"))
-    if small:
-        held = held.join(F.broadcast(wanted), "term", "left_semi")
-    counts = held.groupBy("term").agg(F.count("*").alias("c_t"))
-    return counts if small else counts.join(wanted, "term", "left_semi")
+    return held.groupBy("term").agg(F.count("*").alias("c_t")).join(wanted, "term", "left_semi")
 
 
 def disclosures(
@@ -217,7 +210,7 @@ def disclosures(
     open_ = open_.filter(share("c_any") >= threshold)
     pairs, _ = stored(open_.select("entity", "term", "c_te", "c_e"), "term-pairs")
     terms, _ = stored(pairs.select("term").distinct(), "terms")
-    c_t = term_counts(docs, terms, terms.count() <= BROADCAST_ROWS)
+    c_t = term_counts(docs, terms)
     told = pairs.join(c_t, "term").select("entity", "term", share("c_t").alias("share"))
     return stored(told.filter(F.col("share") >= threshold), "disclosures")[0]
 
