@@ -183,10 +183,13 @@ def found_entities(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``term, c_t``: the rows that hold each wanted term; all words are added up inside the tasks first."""
+    """``term, c_t``: the rows that hold each wanted (distinct) term; all words are added up inside the tasks first.
+
+    A plain join: a semi-join would be moved below the sums, to every single word.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"{WORD}"), F.lit(0)))
     held = docs.filter(F.col("text").isNotNull()).select(F.explode(words).alias("term"))
-    return held.groupBy("term").agg(F.count("*").alias("c_t")).join(wanted, "term", "left_semi")
+    return held.groupBy("term").agg(F.count("*").alias("c_t")).join(wanted, "term")
 
 
 def disclosures(
