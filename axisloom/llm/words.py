@@ -45,24 +45,55 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return kept[:n]
 
 
+_STEP = np.uint64(0xD1B54A32D192ED03)
+_SIZE = np.uint64(0xD6E8FEB86659FD93)
+#: windows longer than this would need another sum than ``window_hashes`` makes
+MAX_WINDOW = 64
+
+
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of ``values[start:end]`` for every range, from one running sum."""
+    """Hash of ``values[start:end]`` for ascending ranges that do not overlap.
+
+    Every value is mixed with its place in the range before the sum, so no pattern of
+    values, of any length, can cancel out.
+    """
+    n = len(values)
+    first = np.zeros(n, dtype=np.int64)
+    some = starts[starts < n]
+    first[some] = some
+    np.maximum.accumulate(first, out=first)
+    place = (np.arange(n) - first).astype(np.uint64)
+    total = np.empty(n + 1, dtype=np.uint64)
+    total[0] = 0
+    np.cumsum(mix(values + place * _STEP), out=total[1:])
+    size = (ends - starts).astype(np.uint64)
+    return mix(total[ends] - total[starts] + size * _SIZE)
+
+
+def _window_sums(values: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hash of ``values[start:start + size]`` for overlapping windows, from one running sum.
+
+    A polynomial modulo 2^64: patterns of up to 64 values can cancel no more than
+    26 of the 64 bits, longer ones could cancel all.
+    """
     n = len(values)
     total = np.empty(n + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(values * powers(_ODD, n), out=total[1:])
     back = powers(_ODD_INVERSE, n + 1)
-    size = (ends - starts).astype(np.uint64)
-    return mix((total[ends] - total[starts]) * back[starts] + size * np.uint64(0xD6E8FEB86659FD93))
+    salt = np.uint64(size * int(_SIZE) & 0xFFFFFFFFFFFFFFFF)
+    return mix((total[starts + size] - total[starts]) * back[starts] + salt)
 
 
 def window_hashes(hashes: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of ``size`` words that lie in one document, and their starts."""
+    if size > MAX_WINDOW:
+        raise ValueError(f"windows of more than {MAX_WINDOW} words")
     n = len(hashes) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     starts = np.flatnonzero(doc[:n] == doc[size - 1 :])
-    return range_hashes(hashes, starts, starts + size), starts
+    return _window_sums(hashes, starts, size), starts
 
 
 # --- byte classes -------------------------------------------------------------
