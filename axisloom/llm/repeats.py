@@ -378,6 +378,8 @@ def _removed(docs: DataFrame, window: int, gram: int, max_group: int) -> DataFra
 
     many = contexts.join(crowded, "prefix", "left_semi").select("context", "doc_id")
     least = many.mapInArrow(_window_digests(window, False), "window BINARY, doc_id BIGINT").groupBy("window").agg(F.min("doc_id").alias("owner"))
+    # stored, so that the join deals out both sides itself and can split a hot window
+    least, _ = stored(least, "window-owners")
     parts = many.mapInArrow(_window_digests(window, True), "window BINARY, context BINARY, place INT")
     crowd_owners = parts.join(least, "window").groupBy("context").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "owner"))), lambda x: x["owner"]).alias("owners")
@@ -385,7 +387,8 @@ def _removed(docs: DataFrame, window: int, gram: int, max_group: int) -> DataFra
 
     places = open_.mapInArrow(_places(window, gram), "doc_id BIGINT, h BIGINT, context BINARY, start BIGINT")
     late = places.join(owners.unionAll(crowd_owners), "context").filter(F.exists("owners", lambda o: o < F.col("doc_id")))
-    spans = late.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "owners")).alias("spans"))
+    # a set: repeated rows bring each place once per row
+    spans = late.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "owners")).alias("spans"))
     cleaned = open_.select("doc_id", "h", "n_words", "text").join(spans, ["doc_id", "h"], "left")
     ranges = "ARRAY<STRUCT<start: INT, end: INT>>"
     out = f"doc_id BIGINT, h BIGINT, n_words BIGINT, n_removed BIGINT, kept_sha256 STRING, removed {ranges}"
