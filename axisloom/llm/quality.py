@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import stored
+from ..session import drop_stored, stored
 from .statistics import COUNTS, MORE, document_counts, feature_batch, features
 
 #: at most so many labelled rows are used for fitting, those of smallest id hash
@@ -112,24 +112,50 @@ def remainder(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def labelled_sample(counts: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_TRAIN_ROWS):
+#: labelled rows beyond ``max_rows`` that the first, rough choice takes along
+SPARE = 1.05
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, counted):
     """(ids, counts, labels) of at most ``max_rows`` labelled rows outside the held-out fold.
 
     The rows of smallest id hash are taken, so the sample is the same on every run.
+    ``counted(some)`` gives the counts of the rows of ``docs`` whose id is in ``some``.
+    Ids are counted and cut at a hash first: what is counted, sorted by one task and
+    brought to the driver is bounded by ``max_rows``, whatever the number of partitions.
     """
     known = labels.filter(remainder(F.col("doc_id")) != HELD_OUT).filter(F.col(label).isNotNull())
     known = known.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("_label"))
-    rows = (
-        counts.join(known, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS, *MORE, "_label")
-        .limit(max_rows)
-        .toPandas()  # bounded by max_rows
-    )
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(known, "doc_id").select("doc_id", F.xxhash64("doc_id").alias("_hash"), "_label")
+    ids, path = stored(ids, "labelled-ids")
+    n = ids.count()
+    cut, share = (1 << 63) - 1, SPARE * max_rows / max(n, 1)
+    while n > max_rows and share < 1:
+        cut = int(-(1 << 63) + share * (1 << 64))
+        if ids.filter(F.col("_hash") <= cut).count() >= max_rows:
+            break
+        share, cut = share * 2, (1 << 63) - 1
+    some = F.broadcast(ids.filter(F.col("_hash") <= cut).select("doc_id").distinct())  # about max_rows ids at most
+    rows = counted(some).join(F.broadcast(known.join(some, "doc_id", "left_semi")), "doc_id").withColumn("_hash", F.xxhash64("doc_id"))
+    one = rows.repartition(1).sortWithinPartitions("_hash", "doc_id", *COUNTS, *MORE, "_label")
+    rows = one.limit(max_rows).toPandas()
+    drop_stored(docs.sparkSession, path)
     return rows["doc_id"].to_numpy(), {c: rows[c].to_numpy() for c in (*COUNTS, *MORE)}, rows["_label"].to_numpy()
 
 
-def train(counts: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Trees:
-    _, found, y = labelled_sample(counts, labels, "quality", max_rows)
+def of_counts(counts: DataFrame):
+    """``counted`` for statistics that are stored already."""
+    return lambda some: counts.join(some, "doc_id", "left_semi")
+
+
+def of_texts(docs: DataFrame):
+    """``counted`` for texts: only those of the sample are counted."""
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return lambda some: document_counts(plain.join(some, "doc_id", "left_semi"))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int, counted) -> Trees:
+    _, found, y = labelled_sample(docs, labels, "quality", max_rows, counted)
     return fit_trees(features(found), y.astype(np.float64))
 
 
@@ -153,15 +179,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN
     0.5.  Labels, lang, source and doc_id are no inputs.
     """
     counts, _ = stored(document_counts(docs), "counts")
-    scored = score_counts(counts, train(counts, labels, max_rows))
+    scored = score_counts(counts, train(counts, labels, max_rows, of_counts(counts)))
     held = F.coalesce(remainder(F.col("doc_id")) == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """The documents predicted to be good, all columns as they were."""
-    counts, _ = stored(document_counts(docs), "counts")
-    trees = train(counts, labels, max_rows)
+    trees = train(docs, labels, max_rows, of_texts(docs))
 
     def run(batches):
         from .statistics import text_counts
