@@ -34,8 +34,8 @@ class TestSet:
 
     vocabulary: np.ndarray  # sorted word hashes; a word's number is its place + 1
     windows: dict  # length -> (n, length) array of distinct windows, sorted
-    window_items: dict  # length -> list of arrays: the items of each window
-    items: list  # item ids
+    window_items: dict  # length -> list of (uses, 2) arrays: item and offset in it, for each window
+    items: list  # item ids, None for items without one
     filter: np.ndarray  # which low bits of word hashes occur at all
 
     @property
@@ -55,12 +55,12 @@ def test_set(item_ids: list, texts: list, window: int = WINDOW) -> TestSet:
     for item, (first, count) in enumerate(zip(words.first.tolist(), words.count.tolist())):
         length = min(window, count)
         for at in range(first, first + count - length + 1) if length else ():
-            found.setdefault(length, {}).setdefault(tuple(numbers[at : at + length].tolist()), set()).add(item)
+            found.setdefault(length, {}).setdefault(tuple(numbers[at : at + length].tolist()), []).append((item, at - first))
     windows, owners = {}, {}
     for length, by in found.items():
         ordered = sorted(by)
         windows[length] = np.array(ordered, dtype=np.int64).reshape(len(ordered), length)
-        owners[length] = [np.array(sorted(by[w]), dtype=np.int64) for w in ordered]
+        owners[length] = [np.array(sorted(by[w]), dtype=np.int64).reshape(-1, 2) for w in ordered]
     low = np.zeros(1 << FILTER_BITS, dtype=bool)
     low[(vocabulary & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
     return TestSet(vocabulary, windows, owners, list(item_ids), low)
@@ -145,22 +145,45 @@ def _narrow(column, key, low, high):
     return ends[0], np.maximum(ends[0], ends[1])
 
 
-def longest(tests: TestSet, numbers: np.ndarray, hit: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Per document the longest run of hit words."""
-    n_docs = int(doc[-1]) + 1 if len(doc) else 0
-    best = np.zeros(n_docs, dtype=np.int64)
-    if len(hit):
-        edge = np.ones(len(hit), dtype=bool)
-        edge[1:] = (hit[1:] != hit[:-1]) | (doc[1:] != doc[:-1])
-        first = np.flatnonzero(edge)
-        size = np.diff(np.append(first, len(hit)))
-        inside = hit[first]
-        np.maximum.at(best, doc[first[inside]], size[inside])
-    return best
+def longest(tests: TestSet, found: list, doc: np.ndarray, first: np.ndarray) -> dict[int, list[dict]]:
+    """Per document its longest verbatim match with each item: item, start, item_start, size in words.
+
+    A window at place p that stands at offset o of an item lies on the diagonal p - o;
+    neighbours on one diagonal are one match.  Of equally long ones the first counts.
+    """
+    parts = []
+    for w, at, length in found:
+        uses = tests.window_items[length][int(w[0])]
+        parts.append((np.repeat(uses[:, 0], len(at)), np.tile(at, len(uses)), np.repeat(uses[:, 1], len(at)), np.full(len(at) * len(uses), length)))
+    if not parts:
+        return {}
+    item, place, offset, size = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((place, place - offset, item, doc[place]))
+    item, place, offset, size = item[order], place[order], offset[order], size[order]
+    on = doc[place]
+    new = np.ones(len(item), dtype=bool)
+    new[1:] = (item[1:] != item[:-1]) | (on[1:] != on[:-1]) | (place[1:] != place[:-1] + 1) | (offset[1:] != offset[:-1] + 1)
+    begin = np.flatnonzero(new)
+    steps = np.diff(np.append(begin, len(item)))
+    item, place, offset, size, on = item[begin], place[begin], offset[begin], size[begin] + steps - 1, on[begin]
+    best = np.lexsort((place, -size, item, on))
+    one = np.ones(len(best), dtype=bool)
+    one[1:] = (item[best][1:] != item[best][:-1]) | (on[best][1:] != on[best][:-1])
+    out: dict[int, list[dict]] = {}
+    for i in best[one].tolist():
+        d = int(on[i])
+        out.setdefault(d, []).append({"item": int(item[i]), "start": int(place[i] - first[d]), "item_start": int(offset[i]), "size": int(size[i])})
+    return out
+
+
+#: a document's matches in task tables
+_MATCHES = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int32()), ("item_start", pa.int32()), ("size", pa.int32())]))
+_REPORT = "_row BIGINT, _hash BIGINT, n_words BIGINT, hits ARRAY<STRUCT<start: INT, end: INT>>, "
+_NAMED = _REPORT + "matches ARRAY<STRUCT<item: STRING, start: INT, item_start: INT, size: INT>>"
 
 
 def _report(tests: TestSet):
-    schema = "_row BIGINT, _hash BIGINT, n_words BIGINT, hits ARRAY<STRUCT<start: INT, end: INT>>, items ARRAY<BIGINT>, longest BIGINT"
+    names = tests.items
 
     def run(batches):
         for batch in batches:
@@ -168,19 +191,11 @@ def _report(tests: TestSet):
                 words = Words(data, offsets, NON_ALNUM, lower=True)
                 numbers = word_numbers(tests, words.hash)
                 found = matches(tests, numbers, words.doc) if tests.windows else []
-                items: dict[int, set] = {}
-                starts, ends = [], []
-                for w, at, length in found:
-                    starts.append(at)
-                    ends.append(at + length)
-                    for d in np.unique(words.doc[at]).tolist():
-                        items.setdefault(d, set()).update(tests.window_items[length][int(w[0])].tolist())
+                top = longest(tests, found, words.doc, words.first)
                 spans = [[] for _ in range(b - a)]
-                best = np.zeros(b - a, np.int64)
                 if found:
-                    hit = covered(len(words), np.concatenate(starts), np.concatenate(ends))
-                    top = longest(tests, numbers, hit, words.doc)
-                    best[: len(top)] = top
+                    starts = np.concatenate([at for _, at, _ in found])
+                    hit = covered(len(words), starts, np.concatenate([at + length for _, at, length in found]))
                     edge = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
                     for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
                         # a run may go on from one document into the next
@@ -189,26 +204,26 @@ def _report(tests: TestSet):
                             stop = min(e, int(words.first[d] + words.count[d]))
                             spans[d].append({"start": s - int(words.first[d]), "end": stop - int(words.first[d])})
                             s = stop
+                named = [[{**m, "item": names[m["item"]]} for m in top.get(d, ())] for d in range(b - a)]
                 yield pa.record_batch(
                     [
                         batch.column("_row").slice(a, b - a),
                         batch.column("_hash").slice(a, b - a),
                         pa.array(words.count, pa.int64()),
                         pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                        pa.array([sorted(items.get(d, ())) for d in range(b - a)], pa.list_(pa.int64())),
-                        pa.array(best),
+                        pa.array(named, _MATCHES),
                     ],
-                    names=["_row", "_hash", "n_words", "hits", "items", "longest"],
+                    names=["_row", "_hash", "n_words", "hits", "matches"],
                 )
 
-    return run, schema
+    return run
 
 
-def _tests_of_part(benchmark: DataFrame, parts: int, part: int, window: int, nameless: bool = False) -> TestSet:
+def _tests_of_part(benchmark: DataFrame, parts: int, part: int, window: int) -> TestSet:
     rows = (
         benchmark.select(F.col("item_id").cast("string").alias("id"), "text")
         .filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
-        .filter("text IS NOT NULL" if nameless else "id IS NOT NULL AND text IS NOT NULL")
+        .filter("text IS NOT NULL")
         .collect()  # measured before: at most about max_part_bytes
     )
     rows.sort(key=lambda r: (r[0] or "", r[1]))
@@ -221,24 +236,24 @@ def benchmark_hits(
     window: int = WINDOW,
     max_part_bytes: int = MAX_PART_BYTES,
 ) -> DataFrame:
-    """Per document ``doc_id, n_words, n_hit, n_items, items (sorted strings), hits, longest, contaminated``.
-
-    ``hits`` are maximal hit word ranges [start, end), ``longest`` the longest of them.
-    A null text has no words; an item without words or without an id matches nothing;
-    items that share a window are all reported; an empty benchmark leaves every
+    """Per document ``doc_id, n_words, n_hit, n_items, items (sorted strings), hits, matches, longest, contaminated``.
+
+    ``hits`` are maximal hit word ranges [start, end).  ``matches`` has the longest verbatim
+    match with each item: ``item, start`` (word of the document), ``item_start`` (word of the
+    item) and ``size``, sorted by item; ``longest`` is the size of the longest.
+    A null text has no words; an item without words matches nothing; one without an id
+    hits words and has a match without a name, but is none of ``items``; of items that share an id
+    each has a match; items that share a window are all reported; an empty benchmark leaves every
     document clean.  Equal rows are reported each on its own.
     """
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-int(size) // max_part_bytes))
     named = docs.select(F.col("doc_id").alias("_row"), F.xxhash64("text").alias("_hash"), "text")
-    passes = []
-    for part in range(parts):
-        tests = _tests_of_part(benchmark, parts, part, window)
-        run, schema = _report(tests)
-        found = named.mapInArrow(run, schema)
-        ids = F.array(*[F.lit(i) for i in tests.items]) if len(tests.items) <= 2000 else None
-        passes.append(_with_items(found, tests, ids))
+    passes = [named.mapInArrow(_report(_tests_of_part(benchmark, parts, part, window)), _NAMED) for part in range(parts)]
     found = passes[0] if parts == 1 else _merge(passes)
+    found = found.withColumn("matches", F.array_sort("matches")).withColumn(
+        "items", F.array_sort(F.array_distinct(F.array_compact(F.transform("matches", lambda m: m["item"]))))
+    )
     hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda s, h: s + h["end"] - h["start"])
     return found.select(
         F.col("_row").alias("doc_id"),
@@ -247,27 +262,12 @@ def benchmark_hits(
         F.size("items").cast("bigint").alias("n_items"),
         "items",
         "hits",
-        "longest",
+        "matches",
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["size"])), F.lit(0)).cast("bigint").alias("longest"),
         (F.size("hits") > 0).alias("contaminated"),
     )
 
 
-def _with_items(found: DataFrame, tests: TestSet, ids) -> DataFrame:
-    """Item numbers to item ids, distinct and sorted as strings."""
-    if ids is None:  # many items: named inside the tasks
-        names = tests.items
-
-        def name(batches):
-            for batch in batches:
-                lists = [sorted({names[i] for i in x}) for x in batch.column("items").to_pylist()]
-                cols = [c if n != "items" else pa.array(lists, pa.list_(pa.string())) for n, c in zip(batch.schema.names, batch.columns)]
-                yield pa.record_batch(cols, names=batch.schema.names)
-
-        return found.mapInArrow(name, "_row BIGINT, _hash BIGINT, n_words BIGINT, hits ARRAY<STRUCT<start: INT, end: INT>>, items ARRAY<STRING>, longest BIGINT")
-    named = F.transform("items", lambda i: F.get(ids, i.cast("int")).cast("string")) if tests.items else F.array().cast("array<string>")
-    return found.withColumn("items", F.array_sort(F.array_distinct(named)))
-
-
 def _merge(passes: list[DataFrame]) -> DataFrame:
     """Passes over the same documents with different parts of the benchmark, joined by document."""
     union = passes[0]
@@ -279,7 +279,7 @@ def _merge(passes: list[DataFrame]) -> DataFrame:
         # equal rows come n times each per pass: their number survives as copies
         (F.count("*") / n).cast("int").alias("_copies"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.array_distinct(F.flatten(F.collect_set("matches"))).alias("matches"),
     )
     # ranges of different parts may overlap or touch: joined in order of their starts
     joined = F.aggregate(
@@ -296,9 +296,7 @@ def _merge(passes: list[DataFrame]) -> DataFrame:
             ),
         ).otherwise(F.concat(kept, F.array(h))),
     )
-    merged = by.withColumn("hits", joined)
-    top = F.aggregate("hits", F.lit(0).cast("bigint"), lambda s, h: F.greatest(s, (h["end"] - h["start"]).cast("bigint")))
-    return merged.withColumn("longest", top).withColumn("_c", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).drop("_c", "_copies")
+    return by.withColumn("hits", joined).withColumn("_c", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).drop("_c", "_copies")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -310,7 +308,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     parts = max(1, -(-int(size) // MAX_PART_BYTES))
     kept = docs
     for part in range(parts):
-        kept = kept.mapInArrow(_keep_clean(_tests_of_part(benchmark, parts, part, window, nameless=True)), docs.schema)
+        kept = kept.mapInArrow(_keep_clean(_tests_of_part(benchmark, parts, part, window)), docs.schema)
     return kept
 
 

@@ -64,7 +64,7 @@ def op7(spark, sf):
 
 OP10_SQL = f"""
 WITH docs AS (SELECT doc_id, regexp_extract_all({LOWERED}, {ALNUM}) AS w FROM documents),
-items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWERED}, {ALNUM}) AS w FROM benchmark WHERE item_id IS NOT NULL),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWERED}, {ALNUM}) AS w FROM benchmark),
 starts AS (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM starts),
 sizes AS (SELECT DISTINCT n FROM windows),

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from conftest import ODD
 
-from axisloom.llm import licenses, records, rules, statistics
+from axisloom.llm import licenses, ngram_join, records, rules, statistics
 from axisloom.llm.decontaminate import benchmark_hits, remove_contaminated, suffix_array
 from axisloom.llm.quality import Trees, fit_trees, keep_quality, quality_scores
 from axisloom.llm.queries import tokenizer_path
@@ -229,13 +229,14 @@ def hits(text, size=10):
     words = alnum_words(text)
     hit, found = set(), set()
     for item, t in ITEMS:
-        w = alnum_words(t) if item is not None else []
+        w = alnum_words(t)
         n = min(size, len(w))
         for k in range(len(w) - n + 1) if n else ():
             for i in range(len(words) - n + 1):
                 if words[i : i + n] == w[k : k + n]:
                     hit |= set(range(i, i + n))
-                    found.add(str(item))
+                    if item is not None:
+                        found.add(str(item))
     return len(words), len(hit), len(found), sorted(found), bool(hit)
 
 
@@ -254,6 +255,60 @@ def test_benchmark_hits(spark, odd, none, part_bytes):
     assert len(clean) == len(ODD) and not any(r.contaminated for r in clean)
 
 
+def test_longest_verbatim_matches(spark):
+    """Against every pair of places; passages of two items side by side are two matches."""
+    import random
+
+    rng = random.Random(8)
+    words = [f"b{i}" for i in range(6)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate((30, 12, 10, 3, 40))] + [(None, "b1 b2 b3 nameless b4")]
+    texts = [" ".join(rng.choice(words + ["x"]) for _ in range(n)) for n in (0, 5, 80, 300)]
+    for _ in range(6):
+        a, b = rng.choice(items)[1].split(), rng.choice(items)[1].split()
+        texts.append(" ".join(["x", *a[rng.randrange(4) :], *b[: rng.randrange(5, 40)], "y", *a[:12]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r for r in benchmark_hits(docs, spark.createDataFrame(items, "item_id BIGINT, text STRING")).collect()}
+    for d, text in enumerate(texts):
+        doc, want = alnum_words(text), []
+        for item, t in items:
+            w = alnum_words(t)
+            best = None
+            for i in range(len(doc)):
+                for k in range(len(w)):
+                    if i and k and doc[i - 1] == w[k - 1]:
+                        continue
+                    n = 0
+                    while i + n < len(doc) and k + n < len(w) and doc[i + n] == w[k + n]:
+                        n += 1
+                    if n >= min(10, len(w)) and (best is None or n > best[3]):
+                        best = (None if item is None else str(item), i, k, n)
+            want += [best] if best else []
+        assert {(m.item, m.size) for m in got[d].matches} == {(b[0], b[3]) for b in want}
+        for m in got[d].matches:
+            w = next(alnum_words(t) for i, t in items if (None if i is None else str(i)) == m.item)
+            assert doc[m.start : m.start + m.size] == w[m.item_start : m.item_start + m.size]
+        assert got[d].longest == max((b[3] for b in want), default=0)
+
+
+def test_long_words_of_two_letters(spark):
+    """Thue-Morse words and their complements: sums of plain powers cannot tell them apart."""
+    from axisloom.llm.rules import rule_verdicts
+
+    def morse(n, a, b):
+        return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+    one, two = morse(2048, "a", "b"), morse(2048, "b", "a")
+    texts = [one, two, f"{one}\n{two}", " ".join(morse(2048, "a ", "b ").split()), " ".join(morse(2048, "b ", "a ").split())]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    groups = {r.doc_id: r.component_id for r in ngram_join.near_copy_groups(docs.filter("doc_id < 2")).collect()}
+    assert groups == {0: 0, 1: 1}
+    labels = spark.createDataFrame([], "doc_id BIGINT, quality INT, toxic INT")
+    rows = {r.doc_id: r for r in rule_verdicts(docs, labels).collect()}
+    assert rows[2].n_dup_lines == 0
+    scan = benchmark_hits(docs, spark.createDataFrame([(7, one)], "item_id BIGINT, text STRING"))
+    assert [r.doc_id for r in scan.orderBy("doc_id").collect() if r.contaminated] == [0, 2]
+
+
 def test_removal_by_items_without_an_id(spark):
     bench = spark.createDataFrame([(None, "one two three"), (None, None), (1, "four five")], "item_id BIGINT, text STRING")
     docs = spark.createDataFrame([(0, "say one two three"), (1, "one two"), (2, "four five"), (3, None)], "doc_id BIGINT, text STRING")
