@@ -240,6 +240,39 @@ def pca_shares(spark, sf):
     return rounded_shares(shares_frame(model, spark))
 
 
+@query("pca_randomized_shares", f"""
+WITH {EIGEN}
+SELECT 0 AS comp, round(e0 / 3, 6) AS share, round(e0 / 3, 6) AS cumulative FROM eig
+UNION ALL SELECT 1, round(e1 / 3, 6), round((e0 + e1) / 3, 6) FROM eig""")
+def pca_randomized_shares(spark, sf):
+    """The form for wide matrices: passes over the rows, no scatter matrix."""
+    model = op.pca_randomized(op.zscore_rows(r.correlated(spark, sf)), 2, oversample=0, plan="rows", passes=200, tol=1e-12)
+    return rounded_shares(shares_frame(model, spark))
+
+
+FOURIER = 24
+
+
+def fourier_sql() -> str:
+    """Directions and phases from digests, cosines written out."""
+    u = lambda text: f"(CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496"
+    return f"""
+WITH {r.EMBEDDINGS}, f AS (SELECT CAST(i AS INTEGER) AS f FROM range({FOURIER}) a(i)),
+w AS (
+  SELECT CAST(i AS INTEGER) AS col_id, f, sqrt(2 * 0.5) * sqrt(-2 * ln({u("'0:' || i || ':' || f || ':r'")})) * cos(2 * pi() * {u("'0:' || i || ':' || f || ':a'")}) AS w
+  FROM range({r.WIDTH}) b(i), f),
+p AS (SELECT f, 2 * pi() * {u("'0:phase:' || f")} AS p FROM f),
+s AS (SELECT row_id, f, sum(v * w) AS s FROM cell JOIN w USING (col_id) GROUP BY row_id, f)
+SELECT row_id, f AS feature, round(sqrt(2.0 / {FOURIER}) * cos(s + p), 6) + 0.0 AS value FROM s JOIN p USING (f)"""
+
+
+@query("fourier_features", fourier_sql())
+def fourier(spark, sf):
+    """The explicit map of the radial kernel."""
+    made = op.fourier_features(r.embeddings(spark, sf), FOURIER, gamma=0.5, d=r.WIDTH)
+    return made.select("row_id", F.posexplode("y").alias("feature", "value")).withColumn("value", r.rounded(F.col("value")))
+
+
 @query("sv_share", f"""
 WITH {EIGEN}
 SELECT round((sqrt(e0) + sqrt(e1)) / (sqrt(e0) + sqrt(e1) + sqrt(e2)), 6) AS share FROM eig""")
@@ -455,8 +488,9 @@ def accuracy(spark, sf):
     rows = []
     for name, model in models.items():
         mode = "posterior" if name == "fa" else "centered"
-        rows.append((name, op.accuracy_of(model.transform(df, mode), "label", max_iter=10)))
-    return spark.createDataFrame(rows, "method STRING, accuracy DOUBLE")
+        for kernel in ("linear", "rbf"):
+            rows.append((name, kernel, op.accuracy_of(model.transform(df, mode), "label", max_iter=10, kernel=kernel)))
+    return spark.createDataFrame(rows, "method STRING, kernel STRING, accuracy DOUBLE")
 
 
 def comparison_sql() -> str:

@@ -20,9 +20,10 @@ from .evaluate import (
     score_summary,
     singular_value_share,
 )
+from .kernel import fourier_features, scale_gamma, svm_fit, svm_predict
 from .lagged import lagged_covariance
 from .model import FactorModel
-from .pca import pca_fit
+from .pca import pca_fit, pca_randomized
 from .ppca import ppca_fit
 from .factor import fa_fit
 from .missing import ppca_missing_fit

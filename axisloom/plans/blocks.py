@@ -18,7 +18,8 @@ from .budget import BLOCK_CELLS, MAX_WIDE_PRODUCTS, check_bytes
 
 # doubles per partial-sum row: short rows plan quickly, long ones save per-row cost
 SHORT_CHUNK, LONG_CHUNK, SHORT_TOTAL = 8, 64, 1 << 14
-PARTIALS_PER_CORE = 4
+# partial sums: a few per core, but never so few that executors which register later stay idle
+PARTIALS_PER_CORE, LEAST_PARTIALS = 4, 1024
 
 
 def width(df: DataFrame, d: int | None = None, col: str = "y") -> int:
@@ -167,7 +168,7 @@ def flat_sum(
             [pa.array(ids), list_array(flat.reshape(n_chunks, chunk))], names=["chunk", "v"]
         )
 
-    most = PARTIALS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    most = max(PARTIALS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, LEAST_PARTIALS)
     partial = df.coalesce(most).mapInArrow(task, "chunk INT, v ARRAY<DOUBLE>")
     sums = [F.expr(f"sum(v[{j}])").alias(f"s{j}") for j in range(chunk)]
     table = partial.groupBy("chunk").agg(*sums).toArrow()
