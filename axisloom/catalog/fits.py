@@ -373,6 +373,17 @@ def fa(spark, sf):
     return factor_rows(spark, model)
 
 
+@query("covariance_cells", f"""
+WITH {r.EVENT_COUNTS}, {r.dense_sql('counts')}
+SELECT a.col_id AS i, b.col_id AS j, round(covar_pop(a.value, b.value), 6) + 0.0 AS cov
+FROM dense a JOIN dense b ON b.row_id = a.row_id AND b.col_id >= a.col_id GROUP BY 1, 2""")
+def sparse_covariance(spark, sf):
+    """Covariances from the stored cells only."""
+    cells = r.event_counts(spark, sf)
+    n = cells.select("row_id").distinct().count()
+    return op.covariance_cells(cells, n, len(r.TYPES)).withColumn("cov", r.rounded(F.col("cov")))
+
+
 @query("fa_fit_cells", em_k2_sql(COUNT_CELLS, len(r.TYPES), "fa", 2))
 def fa_cells(spark, sf):
     """Per-column noise with the model as a table."""

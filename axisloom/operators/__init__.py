@@ -10,6 +10,7 @@ from .cells import (
     trials_to_cells,
     trials_to_matrix,
 )
+from .cells_cov import covariance_cells, products_cells
 from .cells_fit import CellModel, canonical_rotation_cells, cross_moments_cells, fit_cells, latent_scores_cells
 from .evaluate import (
     accuracy_of,

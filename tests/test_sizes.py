@@ -120,3 +120,21 @@ def test_wide_normalized_scatter_by_tiles(spark, monkeypatch):
     for r in stats.normalized_scatter_frame(rows_of(spark, m)).collect():
         got[r.i, r.j] = r.value
     assert np.allclose(got, want)
+
+
+@pytest.mark.parametrize("tile,bundle", [(256, 1 << 18), (7, 50)])
+def test_covariance_of_sparse_cells(spark, tile, bundle):
+    """Also with many small tiles and bundles, an empty column and a column that every row has."""
+    rng = np.random.default_rng(5)
+    m = np.where(rng.random((120, 40)) < 0.1, rng.normal(size=(120, 40)), 0.0)
+    m[:, 3], m[:, 39], m[7] = 0.0, 1 + rng.random(120), 2.0
+    m[7, 3] = 0.0
+    cells = [(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))] + [(500, 3, None), (501, 3, 0.0)]
+    df = spark.createDataFrame(cells, "row_id BIGINT, col_id INT, value DOUBLE").repartition(4)
+    got = {(r.i, r.j): r.cov for r in op.covariance_cells(df, 120, 40, tile, bundle).collect()}
+    want = np.cov(m.T, bias=True)
+    assert len(got) == 40 * 41 // 2 and all(np.isclose(v, want[k]) for k, v in got.items())
+    some = op.covariance_cells(df, 120, None, tile, bundle).collect()
+    met = {(i, j) for i in range(40) for j in range(i, 40) if np.any((m[:, i] != 0) & (m[:, j] != 0))}
+    assert {(r.i, r.j) for r in some} == met
+    assert op.covariance_cells(df.limit(0), 120).count() == 0
