@@ -208,6 +208,13 @@ def lagged_filled(spark, sf):
     return out.withColumn("value", r.rounded(F.col("value"), 4))
 
 
+@query("lagged_covariance_long", f"WITH {r.HOURLY}, {LAGGED.format(source='hourly').replace('range(-4, 5)', 'range(-48, 49)').replace('sum(c), 4', 'sum(c), 2')}")
+def lagged_long(spark, sf):
+    """Two days each way: all lags from transforms."""
+    out = op.lagged_covariance(r.hourly(spark, sf), 48, len(r.TYPES))
+    return out.withColumn("value", r.rounded(F.col("value"), 2))
+
+
 COHORTS = 200
 
 

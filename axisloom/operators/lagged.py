@@ -18,6 +18,10 @@ from ..plans.budget import BLOCK_CELLS
 from ..plans.joins import join_lookup
 
 TILE = 512
+#: doubles of a task's sums, over all lags: longer windows get smaller tiles
+SUMS = 20 * TILE * TILE
+#: from this window on all lags come from transforms of a bucket (overlap-save) in place of a product per lag
+FFT_WINDOW = 24
 
 
 def _tile_rows(cells: DataFrame, tile: int) -> DataFrame:
@@ -87,6 +91,26 @@ def _accumulator(window: int, bucket: int, tile: int):
         if key is not None:
             yield key, held
 
+    transforms = window >= FFT_WINDOW
+    size = 1 << int(np.ceil(np.log2(bucket + window)))
+
+    def add_transformed(acc, at, ta, a, tb, b):
+        """Every lag at once: correlations of the bucket with itself and the window before it.
+
+        With the right side shifted by the window, lag l is shift window - l, and shifts
+        up to the window never reach round the end of the transform.
+        """
+        left, right = np.zeros((2, a.shape[1], size)), np.zeros((2, b.shape[1], size))
+        seen_a, seen_b = ~np.isnan(a), ~np.isnan(b)
+        left[0][:, ta - at], left[1][:, ta - at] = seen_a.T, np.where(seen_a, a, 0.0).T
+        right[0][:, tb - at + window], right[1][:, tb - at + window] = seen_b.T, np.where(seen_b, b, 0.0).T
+        fa, fb = np.conj(np.fft.rfft(left)), np.fft.rfft(right)
+        for i in range(a.shape[1]):
+            for at_sum, (x, y) in enumerate(((0, 0), (1, 0), (0, 1), (1, 1))):  # n, sum a, sum b, sum ab
+                found = np.fft.irfft(fa[x, i] * fb[y], size)[:, window::-1]
+                acc[:, at_sum, i] += (np.rint(found) if at_sum == 0 else found).T
+        return acc
+
     def add(acc, key, held):
         t, side, y = (np.concatenate([h[i] for h in held]) for i in range(3))
         is_left = ((side & 1) == 1) & (np.floor_divide(t, bucket) == key[2])
@@ -97,6 +121,8 @@ def _accumulator(window: int, bucket: int, tile: int):
             return acc
         if acc is None:
             acc = np.zeros((window + 1, 4, y.shape[1], y.shape[1]))
+        if transforms:
+            return add_transformed(acc, key[2] * bucket, ta, a, tb, b)
         # missing cells count neither as values nor as observations
         seen_a, seen_b = ~np.isnan(a), ~np.isnan(b)
         a, b = np.where(seen_a, a, 0.0), np.where(seen_b, b, 0.0)
@@ -147,7 +173,9 @@ def _pair_sums(
     """``lag, i, j`` with n, sum a, sum b, sum ab over the times both are observed."""
     n_tiles = -(-n_series // tile)
     if bucket is None:
-        bucket = max(window, BLOCK_CELLS // tile, 1)
+        # a transform of four windows or more wastes at most a quarter on the overlap
+        long = (1 << max(10, int(np.ceil(np.log2(4 * window))))) - window if window >= FFT_WINDOW else 0
+        bucket = long or max(window, BLOCK_CELLS // tile, 1)
     if bucket < window:
         raise ValueError("a bucket must be at least as long as the window")
     pairs = _pair_rows(rows, n_tiles, window, bucket, upper)
@@ -187,12 +215,15 @@ def lagged_covariance(
     Input ``series INT (0..n_series-1), t, value`` with one value per (series,
     t); times may be missing.  Output ``s1, s2, value``.  Only lags >= 0 are
     computed: the covariance of (i, j) at lag -l is that of (j, i) at lag l.
+
+    Long windows get smaller tiles, so a task's sums need the same memory whatever the
+    window, and all lags of a bucket come from one transform per series.
     """
     # values near their series' level keep the cross sums small; covariance does not change
     level = cells.groupBy("series").agg(F.avg("value").alias("level"))
     joined = join_lookup(cells, level, ["series"], n_rows=n_series)
     centered = joined.select("series", "t", (F.col("value") - F.col("level")).alias("value"))
-    tile = min(tile, n_series)
+    tile = min(tile, n_series, max(1, int(np.sqrt(SUMS / (4 * (window + 1))))))
     rows = _tile_rows(centered, tile)
     sums = _pair_sums(rows, n_series, window, tile, bucket).withColumn("cov", _covariance(ddof))
     both = sums.select(
