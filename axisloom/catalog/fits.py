@@ -266,6 +266,21 @@ s AS (SELECT row_id, f, sum(v * w) AS s FROM cell JOIN w USING (col_id) GROUP BY
 SELECT row_id, f AS feature, round(sqrt(2.0 / {FOURIER}) * cos(s + p), 6) + 0.0 AS value FROM s JOIN p USING (f)"""
 
 
+@query("group_covariances", f"""
+WITH {r.EMBEDDINGS}, named AS (SELECT row_id, col_id, v, CAST(label AS INTEGER) AS grp FROM cell JOIN embeddings ON vec_id = row_id)
+SELECT a.grp, a.col_id AS i, b.col_id AS j, round(covar_pop(a.v, b.v), 6) + 0.0 AS cov
+FROM named a JOIN named b ON b.row_id = a.row_id AND b.col_id >= a.col_id GROUP BY 1, 2, 3""")
+def covariances_by_label(spark, sf):
+    """Array sums per group: all 64 columns by label."""
+    table = r.table(spark, sf, "embeddings").select(F.col("label").cast("int").alias("grp"), F.col("embedding").cast("array<double>").alias("y"))
+    flat = op.group_covariances(table, r.WIDTH).select("grp", F.posexplode("cov").alias("at", "cov"))
+    # the place in the upper triangle, row by row
+    row = F.floor((2 * r.WIDTH + 1 - F.sqrt(F.lit((2 * r.WIDTH + 1) ** 2) - 8 * F.col("at"))) / 2).cast("int")
+    flat = flat.withColumn("i", row)
+    first = (F.col("i") * r.WIDTH - F.floor(F.col("i") * (F.col("i") - 1) / 2)).cast("int")
+    return flat.select("grp", "i", (F.col("i") + F.col("at") - first).cast("int").alias("j"), r.rounded(F.col("cov")).alias("cov"))
+
+
 @query("fourier_features", fourier_sql())
 def fourier(spark, sf):
     """The explicit map of the radial kernel."""

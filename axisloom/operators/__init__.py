@@ -16,6 +16,7 @@ from .evaluate import (
     accuracy_of,
     confusion,
     explained_variance,
+    group_covariances,
     linear_classes,
     model_comparison,
     score_summary,

@@ -8,7 +8,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import literal_array
-from ..plans.blocks import checked_rows
+from ..plans.blocks import checked_rows, dense_block, list_array
+from ..plans.cell_blocks import sum_lists
+from ..plans.moments import column_stats
 from .kernel import FEATURES, fourier_features, svm_fit, svm_predict
 from .model import FactorModel, StopRule, start_values
 from .pca import shares_frame
@@ -17,8 +19,8 @@ from .rows import latent_scores
 from .stats import normalized_scatter
 
 
-#: aggregates of one grouped pass
-MAX_GROUP_PRODUCTS = 600
+#: aggregates of one grouped pass, and bytes of sums that a task of the array form keeps
+MAX_GROUP_PRODUCTS, GROUP_BYTES = 600, 64 << 20
 
 
 def accuracy_of(
@@ -100,16 +102,72 @@ def group_products(df: DataFrame, d: int, grp: str = "grp") -> DataFrame:
     )
 
 
+def group_sums(df: DataFrame, d: int, mean: np.ndarray, grp: str = "grp", held_bytes: int = GROUP_BYTES) -> DataFrame:
+    """``grp, v``: per group the number of rows, the sums of y - mean, and the upper triangle of its products.
+
+    A task keeps one array per group it meets and passes all of them on when they grow
+    beyond ``held_bytes``; arrays of a group are then added up, so columns and groups can both be many.
+    """
+    upper = np.triu_indices(d)
+    size = 1 + d + len(upper[0])
+
+    def task(batches):
+        held: dict = {}
+
+        def out(kind):
+            return pa.record_batch([pa.array(list(held), kind), list_array(np.stack(list(held.values())))], names=["grp", "v"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema[0].type
+            names = batch.column(0).to_pylist()
+            order = {}
+            for i, name in enumerate(names):
+                order.setdefault(name, []).append(i)
+            y = dense_block(batch.column(1), d)
+            for name, rows in order.items():
+                z = y[rows] - mean
+                if not np.isfinite(z).all():
+                    raise ValueError(f"group {name}: NULL cells: use the fit for missing values")
+                held.setdefault(name, np.zeros(size))
+                held[name] += np.concatenate(([len(rows)], z.sum(axis=0), (z.T @ z)[upper]))
+                if len(held) * size * 8 > held_bytes:
+                    yield out(kind)
+                    held.clear()
+        if held:
+            yield out(kind)
+
+    kind = df.schema[grp].dataType.simpleString()
+    partial = df.select(F.col(grp).alias("grp"), "y").mapInArrow(task, f"grp {kind}, v ARRAY<DOUBLE>")
+    return sum_lists(partial, "grp", "v", size)
+
+
+def group_covariances(df: DataFrame, d: int, grp: str = "grp") -> DataFrame:
+    """``grp, n, cov``: population covariances (upper triangle, row by row) per group of complete rows of any width."""
+    mean = column_stats(df, d).mean
+    upper = np.triu_indices(d)
+
+    def task(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v = dense_block(batch.column(1), 1 + d + len(upper[0]))
+                n, s = v[:, 0], v[:, 1 : d + 1] / v[:, :1]
+                cov = v[:, d + 1 :] / n[:, None] - s[:, upper[0]] * s[:, upper[1]]
+                yield pa.record_batch([batch.column(0), pa.array(n.astype(np.int64)), list_array(cov)], names=["grp", "n", "cov"])
+
+    kind = df.schema[grp].dataType.simpleString()
+    return group_sums(df, d, mean, grp).mapInArrow(task, f"grp {kind}, n BIGINT, cov ARRAY<DOUBLE>")
+
+
 def model_comparison(df: DataFrame, k: int, d: int, grp: str = "grp", **fit_options) -> DataFrame:
     """Variance share of PCA and PPCA per data group of complete rows: ``method, grp, share``.
 
     PCA: singular-value share of the variance-normalised rows.  PPCA: fitted with all
     columns as components on z-scored rows, share of the k largest.  Both follow
     from the groups' products, which one pass gathers; groups are fitted in tasks, side
-    by side.  The products are written out, so this is for narrow rows.
+    by side.  Products of narrow rows are written out in SQL, those of wide rows are
+    array sums per group.
     """
-    if d * (d + 1) // 2 > MAX_GROUP_PRODUCTS:
-        raise ValueError(f"{d} columns: compare wide rows group by group")
     options = dict(fit_options)
 
     def fit(batches):
@@ -128,7 +186,11 @@ def model_comparison(df: DataFrame, k: int, d: int, grp: str = "grp", **fit_opti
             yield pa.record_batch([pa.array(methods), pa.array(names, field), pa.array(shares, pa.float64())], names=["method", "grp", "share"])
 
     kind = df.schema[grp].dataType.simpleString()
-    return group_products(df, d, grp).mapInArrow(fit, f"method STRING, grp {kind}, share DOUBLE")
+    if d * (d + 1) // 2 <= MAX_GROUP_PRODUCTS:
+        products = group_products(df, d, grp)
+    else:
+        products = group_covariances(df, d, grp).select("grp", "n", F.array("n").alias("seen"), "cov")
+    return products.mapInArrow(fit, f"method STRING, grp {kind}, share DOUBLE")
 
 
 def shares_of_products(n: int, cov: np.ndarray, d: int, k: int, max_iter: int | None = None, tol: float = 1e-4, init=None):

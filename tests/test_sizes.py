@@ -138,3 +138,23 @@ def test_covariance_of_sparse_cells(spark, tile, bundle):
     met = {(i, j) for i in range(40) for j in range(i, 40) if np.any((m[:, i] != 0) & (m[:, j] != 0))}
     assert {(r.i, r.j) for r in some} == met
     assert op.covariance_cells(df.limit(0), 120).count() == 0
+
+
+def test_wide_groups_are_compared(spark, monkeypatch):
+    """40 columns, as array sums per group that a task passes on in between; null is a group."""
+    from axisloom.operators import evaluate
+
+    rng = np.random.default_rng(9)
+    groups = ["a", None, "b"]
+    m = rng.standard_normal((240, 40)) * np.linspace(1, 3, 40) + 1000
+    df = spark.createDataFrame([(groups[i % 3], r.tolist()) for i, r in enumerate(m)], "grp STRING, y ARRAY<DOUBLE>").repartition(3)
+    sums = evaluate.group_sums(df, 40, m.mean(axis=0), held_bytes=10_000)
+    assert {r.grp: r.v[0] for r in sums.collect()} == dict.fromkeys(groups, 80.0)
+    got = {r.grp: (r.n, r.cov) for r in op.group_covariances(df, 40).collect()}
+    for g, name in enumerate(groups):
+        want = np.cov(m[g::3].T, bias=True)[np.triu_indices(40)]
+        assert got[name][0] == 80 and np.allclose(got[name][1], want)
+    shares = {(r.method, r.grp): r.share for r in op.model_comparison(df, 5, 40, max_iter=3).collect()}
+    for g, name in enumerate(groups):
+        want = evaluate.shares_of_products(80, np.cov(m[g::3].T, bias=True)[np.triu_indices(40)], 40, 5, max_iter=3)
+        assert np.allclose([shares["pca", name], shares["ppca", name]], want)
