@@ -378,8 +378,6 @@ def _removed(docs: DataFrame, window: int, gram: int, max_group: int) -> DataFra
 
     many = contexts.join(crowded, "prefix", "left_semi").select("context", "doc_id")
     least = many.mapInArrow(_window_digests(window, False), "window BINARY, doc_id BIGINT").groupBy("window").agg(F.min("doc_id").alias("owner"))
-    # stored, so that the join deals out both sides itself and can split a hot window
-    least, _ = stored(least, "window-owners")
     parts = many.mapInArrow(_window_digests(window, True), "window BINARY, context BINARY, place INT")
     crowd_owners = parts.join(least, "window").groupBy("context").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "owner"))), lambda x: x["owner"]).alias("owners")
