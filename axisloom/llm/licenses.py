@@ -173,9 +173,44 @@ def licences(postfix: list[str]) -> list[str]:
     return stack[0]
 
 
-def tag_labels(text: str) -> tuple[set[str], bool]:
-    """Labels of all tags in a text, and whether some tag names unknown licences only."""
+#: how much a family asks of those who use a text: a choice goes to the least; all others ask 2
+BURDEN = {
+    **dict.fromkeys(("mit", "bsd", "apache", "isc", "zlib", "unlicense", "cc0", "0bsd", "cc-by", "bsl"), 0),
+    **dict.fromkeys(("lgpl", "mpl", "epl", "cddl", "cc-by-sa"), 1),
+    "agpl": 3,
+}
+
+
+def chosen(postfix: list[str], whole: bool = True) -> list[str]:
+    """The labels that hold after every ``or`` went to its lighter side: all of an ``and``, none of the side left.
+
+    A side weighs what its heaviest licence asks, then the number of its licences; the left one
+    wins a tie.  One pass, however many choices the expression has.
+    """
+    stack: list[tuple[tuple[int, int], dict[str, None]]] = []
+    for token in postfix:
+        if token not in OPERATORS:
+            label = label_of(token, whole)
+            stack.append(((BURDEN.get(label, 2), 1), {} if label is None else {label: None}))
+            continue
+        if len(stack) < 2:
+            raise BadExpression(" ".join(postfix))
+        (right, more), (left, own) = stack.pop(), stack.pop()
+        if token == "with":  # an exception: the licence it goes with stays
+            stack.append((left, own))
+        elif token == "or":
+            stack.append((left, own) if left <= right else (right, more))
+        else:
+            stack.append(((max(left[0], right[0]), left[1] + right[1]), own | more))
+    if len(stack) != 1:
+        raise BadExpression(" ".join(postfix))
+    return list(stack[0][1])
+
+
+def tag_labels(text: str) -> tuple[set[str], set[str], bool]:
+    """Labels of all tags in a text, those that hold by choice, and whether some tag names unknown licences only."""
     labels: set[str] = set()
+    held: set[str] = set()
     unknown = False
     for m in LINE_AFTER_TAG.finditer(text):
         try:
@@ -186,8 +221,9 @@ def tag_labels(text: str) -> tuple[set[str], bool]:
             continue
         found = {x for x in (label_of(name, whole) for name in names) if x}
         labels |= found
+        held.update(chosen(postfix, whole))
         unknown |= not found
-    return labels, unknown
+    return labels, held, unknown
 
 
 def automaton(phrases):
@@ -212,9 +248,9 @@ def _scan(phrases: dict[str, str], notices: dict[str, str]):
                 n = b - a
                 plain = np.where(NON_ALNUM[words.data], space, words.data).tobytes()
                 texts = batch.column("text").slice(a, n)
-                n_base, first, last, base, labels, score = [], [], [], [], [], []
+                n_base, first, last, base, labels, score, hold = [], [], [], [], [], [], []
                 for d in range(n):
-                    starts, kinds, others, tagged = [], [], [], False
+                    starts, kinds, others, tagged, blanks = [], [], [], False, None
                     # one byte is one character here; single spaces between words and at both ends
                     joined = b" ".join(plain[offsets[d] : offsets[d + 1]].split())
                     text = f" {joined.decode('latin-1')} "
@@ -225,16 +261,19 @@ def _scan(phrases: dict[str, str], notices: dict[str, str]):
                         if phrase not in phrases:
                             others.append(notices[phrase])
                             continue
-                        starts.append(text.count(" ", 0, end - size + 1))
+                        if blanks is None:  # words before each place, counted once
+                            blanks = np.cumsum(np.frombuffer(f" {text}".encode("latin-1"), np.uint8) == space) - 1
+                        starts.append(int(blanks[end - size + 1]))
                         kinds.append(phrases[phrase])
                     own = set(kinds)
-                    more, unknown = tag_labels(texts[d].as_py()) if tagged else (set(), False)
+                    more, held, unknown = tag_labels(texts[d].as_py()) if tagged else (set(), set(), False)
                     n_base.append(len(starts))
                     first.append(min(starts) if starts else None)
                     last.append(max(starts) if starts else None)
                     base.append(",".join(sorted(own)))
                     labels.append(",".join(sorted(own | more | set(others))))
-                    score.append(_score(len(starts) + len(others), int(words.count[d]), bool(more), unknown))
+                    score.append(_score(len(starts) + len(others), int(words.count[d]), bool(more), bool(held), unknown))
+                    hold.append(sorted(held))
                 yield pa.record_batch(
                     [
                         batch.column("doc_id").slice(a, n),
@@ -245,18 +284,20 @@ def _scan(phrases: dict[str, str], notices: dict[str, str]):
                         pa.array(base, pa.string()),
                         pa.array(labels, pa.string()),
                         pa.array(score, pa.float64()),
+                        pa.array(hold, pa.list_(pa.string())),
                     ],
-                    names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+                    names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "licences"],
                 )
 
     return run
 
 
-def _score(places: int, n_words: int, tagged: bool, unknown: bool) -> float:
-    """How sure it is that the text states a licence: a known tag 1; an unknown tag 0.7;
+def _score(places: int, n_words: int, tagged: bool, held: bool, unknown: bool) -> float:
+    """How sure it is that the text states a licence: a known tag 1 (0.9 when the licences
+    that hold by choice are unknown ones); an unknown tag 0.7;
     phrases 0.5 and up by their number, less in texts where they are a small part."""
     if tagged:
-        return 1.0
+        return 1.0 if held else 0.9
     if not places:
         return 0.7 if unknown else 0.0
     share = min(1.0, 50.0 * places / max(1, n_words))
@@ -264,7 +305,10 @@ def _score(places: int, n_words: int, tagged: bool, unknown: bool) -> float:
 
 
 def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
-    """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` per document.
+    """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, licences`` per document.
+
+    ``licences`` are the labels that hold after every choice (or) of a tag's expression went to the
+    licence that asks least, sorted; empty without tags.
 
     A null or empty text has no words, no labels (empty strings) and score 0.
     Places may overlap and each counts; equal rows give equal results.  The base columns
@@ -273,5 +317,5 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: di
     return docs.select("doc_id", "text").mapInArrow(
         _scan(dict(phrases), dict(notices)),
         "doc_id BIGINT, n_words BIGINT, n_base BIGINT, first_word BIGINT, last_word BIGINT, "
-        "base_labels STRING, labels STRING, score DOUBLE",
+        "base_labels STRING, labels STRING, score DOUBLE, licences ARRAY<STRING>",
     )

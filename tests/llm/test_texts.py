@@ -182,7 +182,7 @@ def test_long_tags():
     names = [f"LicenseRef-package-{i}" for i in range(40)]
     tag = "SPDX-License-Identifier: "
     for text in (f"(MIT AND {' AND '.join(names)} AND BSD-3-Clause)", f"MIT OR {' OR '.join(names)} OR BSD-3-Clause"):
-        labels, unknown = licenses.tag_labels(f"# {tag}{text}\n")
+        labels, _, unknown = licenses.tag_labels(f"# {tag}{text}\n")
         assert len(text) > 300 and {"mit", "bsd"} <= labels and not unknown
 
 
@@ -205,6 +205,23 @@ def test_tags_without_a_licence():
     assert licenses.tag_labels("SPDX-License-Identifier: MIT and more text") == ({"mit"}, False)
 
 
+def test_choices_reach_the_result(spark):
+    texts = ["SPDX-License-Identifier: GPL-2.0-only OR MIT", "SPDX-License-Identifier: GPL-2.0-only AND MIT", "SPDX-License-Identifier: (MIT AND LGPL-2.1-only) OR (AGPL-3.0-only WITH x-exception)",
+             "SPDX-License-Identifier: MIT OR Apache-2.0", "no tag", "SPDX-License-Identifier: " + " AND ".join(["(MIT OR GPL-2.0-only)"] * 300)]
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")).orderBy("doc_id").collect()
+    assert [r.licences for r in got] == [["mit"], ["gpl", "mit"], ["lgpl", "mit"], ["mit"], [], ["mit"]]
+    assert [r.labels for r in got] == ["gpl,mit", "gpl,mit", "agpl,lgpl,mit", "apache,mit", "", "gpl,mit"]
+
+
+def test_many_places_are_linear(spark):
+    import time
+
+    text = "gnu general public license v " * 60_000
+    begin = time.time()
+    row = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id BIGINT, text STRING")).first()
+    assert (row.n_base, row.first_word, row.last_word) == (60_000, 0, 5 * 59_999) and time.time() - begin < 30
+
+
 def test_notices(spark):
     texts = ["the GNU Lesser General Public License", "GNU Affero General Public License, v3", "Mozilla Public License", "Redistribution and use in source and binary forms, with", "GNU General Public License"]
     got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")).orderBy("doc_id").collect()
