@@ -196,13 +196,13 @@ def test_long_tags():
     ],
 )
 def test_identifiers(tag, label):
-    assert licenses.tag_labels(f"/* SPDX-License-Identifier: {tag}\n") == ({label}, False)
+    assert licenses.tag_labels(f"/* SPDX-License-Identifier: {tag}\n")[::2] == ({label}, False)
 
 
 def test_tags_without_a_licence():
     for tag in ("NONE", "NOASSERTION", "see the file", "", "<>"):
-        assert licenses.tag_labels(f"# SPDX-License-Identifier: {tag}\n") == (set(), True)
-    assert licenses.tag_labels("SPDX-License-Identifier: MIT and more text") == ({"mit"}, False)
+        assert licenses.tag_labels(f"# SPDX-License-Identifier: {tag}\n")[::2] == (set(), True)
+    assert licenses.tag_labels("SPDX-License-Identifier: MIT and more text")[::2] == ({"mit"}, False)
 
 
 def test_choices_reach_the_result(spark):
