@@ -16,6 +16,7 @@ from ..functions import densify
 from ..plans.blocks import dense_block, list_array
 from ..plans.budget import BLOCK_CELLS
 from ..plans.joins import join_lookup
+from ..session import stored
 
 TILE = 512
 #: doubles of a task's sums, over all lags: longer windows get smaller tiles
@@ -269,6 +270,8 @@ def scatter_pairs(df: DataFrame, d: int, ddof: int = 0, tile: int = TILE) -> Dat
         F.monotonically_increasing_id().alias("t"),
         F.zip_with(checked_rows("y", d), origin, lambda a, m: a - m).alias("y"),
     )
+    # written once: a task that runs again must not number its rows anew
+    near, _ = stored(near, "numbered-rows")
     tile = min(tile, d)
     n_tiles = -(-d // tile)
     starts = F.sequence(F.lit(0), F.lit(n_tiles - 1))

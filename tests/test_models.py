@@ -117,8 +117,8 @@ def test_fa_likelihood_never_falls_and_finds_the_noise(as_rows):
     model = op.fa_fit(as_rows(m), 3, max_iter=400, tol=1e-6, error_rate=0)
     ll = [h[1] for h in model.history]
     assert np.all(np.diff(ll) > -1e-6)
-    sd = 0.3 * (0.5 + np.random.default_rng(1).random(3 * 4000 + 24 + 8)[-8:])
-    assert model.noise.shape == sd.shape
+    sd = 0.3 * np.linspace(0.5, 1.5, 8)  # of the generator, column by column
+    assert np.allclose(model.noise, sd**2, rtol=0.25)
     assert np.allclose(model.covariance(), np.cov(m.T, ddof=0), rtol=0.1, atol=0.05)
 
 
