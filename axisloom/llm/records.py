@@ -1,6 +1,6 @@
 """Token ids as length-delimited binary records with a separate offset index.
 
-A data file ``shard-<n>.rec`` is a run of records, one per document:
+A data file ``shard-<n>-<attempt>.rec`` is a run of records, one per document:
 
     uint64  bytes of the payload        uint32  masked CRC-32 of those 8 bytes
     payload                             uint32  masked CRC-32 of the payload
@@ -8,15 +8,16 @@ A data file ``shard-<n>.rec`` is a run of records, one per document:
 all little-endian.  The payload is one byte for the width of an id (2 or 4),
 the document id (int64, with one byte before it that is 0 for a null id) and the
 ids.  The masking turns the checksum right by 15 bits and adds a constant, so
-that a checksum of data that holds checksums stays useful.  ``shard-<n>.idx``
+that a checksum of data that holds checksums stays useful.  The ``.idx`` file beside it
 is an Arrow file with ``doc_id, offset, size, n_tokens`` per record: a reader
 that shuffles fetches single records by offset.
 
 Documents are range-partitioned by doc_id, a shard per partition, and sorted
 inside, so file order is ascending doc_id order (null ids first, equal ids in
-text order).  Files are written through ``pyarrow.fs`` to the shared folder,
-first under a name of their own and then renamed, so that a task that runs
-again replaces its file by the same bytes.
+text order).  Files are written through ``pyarrow.fs`` to the shared folder under names
+of the task's attempt; the table of files, which Spark commits, names those that count.
+A task that runs again writes files of its own and renames nothing, and what a lost
+attempt has left is never read.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ from .words import slices, text_bytes
 MASK_ADD = 0xA282EAD8
 #: pieces that an encoder remembers, and bytes of text it takes at once
 MAX_CACHED = 400_000
+#: bytes of text in a shard at most, and at least (small inputs get a shard per shuffle partition)
+MAX_SHARD, LEAST_SHARD = 256 << 20, 4 << 20
 SLICE = 1 << 21
 HEAD, CRC, PAYLOAD = "<QI", "<I", "<B?q"
 HEAD_SIZE, PAYLOAD_SIZE = struct.calcsize(HEAD), struct.calcsize(PAYLOAD)
@@ -312,9 +315,14 @@ def write_records(
 ) -> DataFrame:
     """Writes the files; a table ``shard, path, n_docs, n_tokens, n_bytes`` tells of them.
 
-    ``docs``: doc_id, text (null: empty).  Runs when the returned table is read.
+    ``docs``: doc_id, text (null: empty).  Runs when the returned table is read: write it
+    down before reading it more than once.  The number of shards follows from the bytes of the texts.
     """
-    n = shards or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if shards is None:
+        size = int(docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0)
+        usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        shards = max(1, -(-size // MAX_SHARD), min(usual, -(-size // LEAST_SHARD)))
+    n = shards
     data = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # repeated ids are told apart by their text, so the order is the same on every run
     ordered = data.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -325,9 +333,10 @@ def write_records(
         end = np.asarray([end_id], dtype=encoder.dtype).tobytes()
         where, top = filesystem(folder)
         where.create_dir(top, recursive=True)
-        own = f"{top}/.{uuid.uuid4().hex}"
+        name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
+        own = f"{top}/{name}"
         index, at, tokens, n_docs = [], 0, 0, 0
-        with where.open_output_stream(own) as out:
+        with where.open_output_stream(own + ".rec") as out:
             for batch in batches:
                 for a, b, _, _ in slices(batch.column("text"), SLICE):
                     ids = batch.column("doc_id").slice(a, b - a).to_pylist()
@@ -346,15 +355,12 @@ def write_records(
                     n_docs += len(ids)
                     index.append(pa.record_batch([pa.array(ids, pa.int64()), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "offset", "size", "n_tokens"]))
         if not n_docs:
-            where.delete_file(own)
+            where.delete_file(own + ".rec")
             return
-        with where.open_output_stream(own + "i") as out, pa.ipc.new_file(out, index[0].schema) as w:
+        with where.open_output_stream(own + ".idx") as out, pa.ipc.new_file(out, index[0].schema) as w:
             for x in index:
                 w.write_batch(x)
-        path = f"{top}/shard-{shard:06d}"
-        where.move(own + "i", path + ".idx")
-        where.move(own, path + ".rec")
-        yield pa.record_batch([[shard], [f"{folder}/shard-{shard:06d}"], [n_docs], [tokens], [at]], names=["shard", "path", "n_docs", "n_tokens", "n_bytes"])
+        yield pa.record_batch([[shard], [f"{folder}/{name}"], [n_docs], [tokens], [at]], names=["shard", "path", "n_docs", "n_tokens", "n_bytes"])
 
     return ordered.mapInArrow(write, "shard BIGINT, path STRING, n_docs BIGINT, n_tokens BIGINT, n_bytes BIGINT")
 
