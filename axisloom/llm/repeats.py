@@ -32,8 +32,8 @@ from .words import SPACE, Words, covered, distinct_per_doc, slices, window_hashe
 
 WINDOW = 50
 GRAM = 8
-#: contexts of one prefix that a task may take together
-MAX_GROUP = 512
+#: contexts of one prefix that a task may take together (as many as it holds at once anyway, see ``_owners``)
+MAX_GROUP = 4096
 
 
 def lightest(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
