@@ -1,8 +1,9 @@
 """Quality rules: base limits, and an isolation forest over rule statistics.
 
 Random splits isolate odd rows early: the mean path length over many trees is an
-anomaly score.  The forest is fitted on a bounded sample of documents, its
-threshold is chosen on labelled rows, and tasks walk all rows through flat arrays.
+anomaly score.  Every document that passes the base rules is dealt to one tree or more,
+and all trees grow by a level per pass over the rows.  The threshold is chosen on all
+labelled rows; tasks walk all rows through flat arrays.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import stored
-from .quality import MAX_TRAIN_ROWS, labelled_sample, of_counts
+from ..session import drop_stored, stored
+from .quality import HELD_OUT, remainder
 from .statistics import COUNTS, FEATURES, MORE, document_counts, feature_batch, features
 
+#: trees, and rows that each of them learns from at least, if there are so many
 TREES, SAMPLE = 200, 256
 #: statistics whose odd values rules look at; lengths are left out, long texts are not odd
 RULES = ("word_len", "symbols", "dup_lines", "repeats", "upper", "bars", "bangs", "short", "stops", "long", "words_per_line")
@@ -58,31 +60,92 @@ class Forest:
         return np.exp2(-total / len(self.feature) / self.normal)
 
 
-def fit_forest(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 0) -> Forest:
-    n, d = x.shape
-    size = min(sample, n)
-    depth = int(np.ceil(np.log2(max(size, 2))))
+class Ranges:
+    """What the nodes of a level hold: rows, and the least and largest value of each statistic."""
+
+    def __init__(self, nodes: int, d: int):
+        self.rows = np.zeros(nodes, dtype=np.int64)
+        self.low, self.high = np.full((d, nodes), np.inf), np.full((d, nodes), -np.inf)
+
+    def add(self, at: np.ndarray, x: np.ndarray) -> None:
+        self.rows += np.bincount(at, minlength=len(self.rows))
+        for j in range(x.shape[1]):
+            np.minimum.at(self.low[j], at, x[:, j])
+            np.maximum.at(self.high[j], at, x[:, j])
+
+
+def uses_of(n: int, trees: int, sample: int) -> int:
+    """How many trees learn from each of n rows: all rows are used, and a tree sees ``sample`` of them at least, if there are so many."""
+    return min(trees, max(1, -(-trees * sample // max(n, 1))))
+
+
+def trees_of(hashes: np.ndarray, trees: int, uses: int) -> np.ndarray:
+    """uses x rows: different trees for each row, a + j * b with b prime to the number of trees."""
+    units = np.array([b for b in range(trees) if np.gcd(b, trees) == 1])
+    first, step = hashes % trees, units[hashes // trees % len(units)]
+    return (first + np.arange(uses)[:, None] * step) % trees
+
+
+def add_level(held: Ranges, forest: Forest, level: int, x: np.ndarray, tree: np.ndarray) -> None:
+    """Adds rows to the nodes of a level that they reach in one tree each."""
+    first = (1 << level) - 1
+    node = np.zeros(len(x), dtype=np.int64)
+    rows = np.arange(len(x))
+    for _ in range(level):
+        f = forest.feature[tree, node]
+        node = np.where(f >= 0, 2 * node + 1 + (x[rows, np.maximum(f, 0)] >= forest.cut[tree, node]), node)
+    here = node >= first
+    held.add((tree * (first + 1) + node - first)[here], x[here])
+
+
+def grow(n: int, trees: int, sample: int, seed: int, ranges) -> Forest:
+    """A forest grown level by level; ``ranges(forest, level)`` tells what the nodes of a level hold.
+
+    A node with a varying statistic is split at a random place of a random one of them.  Trees
+    end at the depth that ``sample`` rows need; the rows in a leaf give the rest of its path.
+    """
+    depth = int(np.ceil(np.log2(max(min(sample, n), 2))))
     nodes = (1 << (depth + 1)) - 1
+    per_tree = n * uses_of(n, trees, sample) / trees
+    if not n:
+        trees = 0
+    feature, cut, path = np.full((trees, nodes), -1), np.zeros((trees, nodes)), np.zeros((trees, nodes))
+    forest = Forest(feature, cut, path, depth, float(average_path(max(per_tree, 2))))
     rng = np.random.default_rng(seed)
-    feature, cut = np.full((trees if n else 0, nodes), -1), np.zeros((trees if n else 0, nodes))
-    path = np.zeros((trees if n else 0, nodes))
-    for t in range(len(feature)):
-        waiting = [(0, 0, rng.choice(n, size, replace=False))]
-        while waiting:
-            node, level, rows = waiting.pop()
-            part = x[rows]
-            low, high = part.min(axis=0), part.max(axis=0)
-            open_ = np.flatnonzero(high > low)
-            if level == depth or len(rows) < 2 or not len(open_):
-                path[t, node] = level + average_path(len(rows))
-                continue
-            f = int(rng.choice(open_))
-            at = rng.uniform(low[f], high[f])
-            at = at if at > low[f] else high[f]
-            feature[t, node], cut[t, node] = f, at
-            right = part[:, f] >= at
-            waiting += [(2 * node + 1, level + 1, rows[~right]), (2 * node + 2, level + 1, rows[right])]
-    return Forest(feature, cut, path, depth, float(average_path(max(size, 2))))
+    for level in range(depth + 1 if trees else 0):
+        width = 1 << level
+        here = slice(width - 1, 2 * width - 1)
+        which, where = rng.random((2, trees * width))
+        held = ranges(forest, level)
+        path[:, here] = np.where(held.rows > 0, level + average_path(held.rows), 0).reshape(trees, width)
+        varies = held.high > held.low
+        if level == depth or not varies.any():
+            break
+        # the chosen one of the statistics that vary
+        chosen = ((varies.cumsum(axis=0) > (which * varies.sum(axis=0)).astype(np.int64)) & varies).argmax(axis=0)
+        at = np.flatnonzero(varies.any(axis=0))
+        f = chosen[at]
+        low, high = held.low[f, at], held.high[f, at]
+        between = np.minimum(low + where[at] * (high - low), high)
+        tree, node = at // width, at % width + width - 1
+        feature[tree, node], cut[tree, node] = f, np.where(between > low, between, high)
+        path[tree, node] = 0
+    return forest
+
+
+def fit_forest(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 0, hashes: np.ndarray | None = None) -> Forest:
+    """The forest of rows in memory; ``hashes`` deal them to the trees."""
+    n, d = x.shape
+    if hashes is None:
+        hashes = np.random.default_rng(seed).integers(0, 1 << 62, n)
+
+    def ranges(forest, level):
+        held = Ranges(trees << level, d)
+        for tree in trees_of(hashes, trees, uses_of(n, trees, sample)):
+            add_level(held, forest, level, x, tree)
+        return held
+
+    return grow(n, trees, sample, seed, ranges)
 
 
 def threshold(score: np.ndarray, good: np.ndarray, max_good_lost: float = MAX_GOOD_LOST) -> float:
@@ -104,44 +167,100 @@ def threshold(score: np.ndarray, good: np.ndarray, max_good_lost: float = MAX_GO
 COLUMNS = [FEATURES.index(r) for r in RULES]
 
 
-def rule_verdicts(
-    docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, trees: int = TREES, sample: int = SAMPLE
-) -> DataFrame:
+def rule_verdicts(docs: DataFrame, labels: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, anomaly``.
 
     A null text is empty, and an empty text fails the base rules.  Without labels, or
-    with labels of one kind, the base rules alone decide.  The forest is fitted on
-    labelled rows that pass the base rules (at most ``max_rows``, smallest id hash first);
-    good and bad rows both, since a statistic that never varies is never split on.
-    Equal texts get equal verdicts.
+    with labels of one kind, the base rules alone decide.  The forest is fitted on all
+    documents that pass the base rules, the threshold on all of them that have a label
+    outside the held-out fold.  Equal texts get equal verdicts.
     """
-    counts, _ = stored(document_counts(docs), "counts")
-    forest, limit = fit_rules(counts, labels, max_rows, trees, sample)
-    return verdicts(counts, forest, limit)
+    counts, path = stored(document_counts(docs), "counts")
+    scored, _ = stored(scores(counts, fit_rules(counts, trees, sample)), "scores")
+    drop_stored(docs.sparkSession, path)
+    limit = fit_threshold(scored, labels)
+    kept = ~F.col("base_failed") & (F.col("anomaly") <= F.lit(limit))
+    return scored.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), "anomaly")
 
 
-def base_failed(c: dict[str, np.ndarray]) -> np.ndarray:
+def base_failed(c):
+    """Of numpy arrays or of columns, by name."""
     return (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
 
 
-def fit_rules(counts, labels, max_rows=MAX_TRAIN_ROWS, trees=TREES, sample=SAMPLE) -> tuple[Forest, float]:
-    _, found, y = labelled_sample(counts, labels, "quality", max_rows, of_counts(counts))
-    x, good = features(found)[:, COLUMNS], y == 1
-    passed = ~base_failed(found) if len(y) else good
-    forest = fit_forest(x[passed], trees, sample)
-    return forest, threshold(forest.score(x[passed]), good[passed])
+def fit_rules(counts: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> Forest:
+    """The forest of all rows that pass the base rules.
+
+    A pass over the rows per level of the trees: tasks add up what the nodes hold, one row per
+    node and task, and the driver gets one row per node.
+    """
+    facts = (*COUNTS, *MORE)
+    passed = counts.filter(~base_failed({x: F.col(x) for x in COUNTS}))
+    n, d = passed.count(), len(COLUMNS)
+    hashed = passed.select(*facts, F.xxhash64("doc_id", *facts).alias("_hash"))
+    lows, highs = [f"low{j}" for j in range(d)], [f"high{j}" for j in range(d)]
+    names = ["node", "n", *lows, *highs]
+    schema = ", ".join(f"{x} {'BIGINT' if x in ('node', 'n') else 'DOUBLE'}" for x in names)
+    uses = uses_of(n, trees, sample)
+
+    def ranges(forest: Forest, level: int) -> Ranges:
+        def run(batches):
+            held = Ranges(trees << level, d)
+            for batch in batches:
+                x = feature_batch(batch)[:, COLUMNS]
+                for tree in trees_of(batch.column("_hash").to_numpy(), trees, uses):
+                    add_level(held, forest, level, x, tree)
+            at = np.flatnonzero(held.rows)
+            yield pa.record_batch([pa.array(v) for v in (at, held.rows[at], *held.low[:, at], *held.high[:, at])], names=names)
+
+        sums = [F.sum("n").alias("n"), *(F.min(x).alias(x) for x in lows), *(F.max(x).alias(x) for x in highs)]
+        found = hashed.mapInArrow(run, schema).groupBy("node").agg(*sums).toArrow()
+        held, at = Ranges(trees << level, d), found.column("node").to_numpy()
+        held.rows[at] = found.column("n").to_numpy()
+        for j in range(d):
+            held.low[j, at], held.high[j, at] = (found.column(x).to_numpy() for x in (lows[j], highs[j]))
+        return held
+
+    return grow(n, trees, sample, 0, ranges)
+
+
+def fit_threshold(scored: DataFrame, labels: DataFrame, max_good_lost: float = MAX_GOOD_LOST) -> float:
+    """What ``threshold`` gives for all labelled rows that pass the base rules, in two levels.
+
+    Scores are dealt by ranges; a range counts on from the sums of those before it.
+    """
+    known = labels.filter(remainder(F.col("doc_id")) != HELD_OUT).filter(F.col("quality").isNotNull())
+    good = (F.col("quality").cast("int") == 1).cast("bigint")
+    known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.sum(good).alias("good"), F.sum(1 - good).alias("bad"))
+    sums = [F.sum("good").alias("good"), F.sum("bad").alias("bad")]
+    counted = scored.filter(~F.col("base_failed")).select("doc_id", "anomaly").join(known, "doc_id").groupBy("anomaly").agg(*sums)
+    dealt, path = stored(counted.repartitionByRange("anomaly").withColumn("part", F.spark_partition_id()), "score-counts")
+    parts = dealt.groupBy("part").agg(*sums, F.min("anomaly").alias("least"))
+    total = parts.agg(*sums).first()
+    limit = np.inf
+    if total.good and total.bad:
+        before = Window.orderBy("least")
+        base = parts.select("part", *((F.sum(x).over(before) - F.col(x)).alias(f"{x}_before") for x in ("good", "bad")))
+        within = Window.partitionBy("part").orderBy("anomaly")
+        up_to = dealt.select("part", "anomaly", *(F.sum(x).over(within).alias(x) for x in ("good", "bad"))).join(F.broadcast(base), "part")
+        lost = [1 - (F.col(x) + F.col(f"{x}_before")) / F.lit(total[x]) for x in ("good", "bad")]
+        gains = up_to.select("anomaly", F.when(lost[0] <= max_good_lost, lost[1] - lost[0]).otherwise(-1).alias("gain"))
+        best = gains.orderBy(F.desc("gain"), "anomaly").first()
+        limit = best.anomaly if best.gain > 0 else np.inf
+    drop_stored(scored.sparkSession, path)
+    return float(limit)
+
 
+def scores(counts: DataFrame, forest: Forest) -> DataFrame:
+    """``doc_id``, the exact counts, ``base_failed`` and ``anomaly`` of every row."""
 
-def verdicts(counts: DataFrame, forest: Forest, limit: float) -> DataFrame:
     def run(batches):
         for batch in batches:
-            c = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in COUNTS}
-            failed = base_failed(c)
+            failed = base_failed({x: batch.column(x).to_numpy(zero_copy_only=False) for x in COUNTS})
             odd = forest.score(feature_batch(batch)[:, COLUMNS])
             yield pa.record_batch(
-                [batch.column("doc_id"), *(batch.column(x) for x in COUNTS), pa.array(failed), pa.array(~failed & (odd <= limit)), pa.array(odd)],
-                names=["doc_id", *COUNTS, "base_failed", "kept", "anomaly"],
+                [batch.column("doc_id"), *(batch.column(x) for x in COUNTS), pa.array(failed), pa.array(odd)],
+                names=["doc_id", *COUNTS, "base_failed", "anomaly"],
             )
 
-    schema = f"doc_id BIGINT, {', '.join(f'{x} BIGINT' for x in COUNTS)}, base_failed BOOLEAN, kept BOOLEAN, anomaly DOUBLE"
-    return counts.mapInArrow(run, schema)
+    return counts.mapInArrow(run, f"doc_id BIGINT, {', '.join(f'{x} BIGINT' for x in COUNTS)}, base_failed BOOLEAN, anomaly DOUBLE")

@@ -99,6 +99,41 @@ def test_forest_finds_odd_rows():
     assert len(set(rules.fit_forest(np.zeros((9, 3))).score(x).tolist())) == 1
 
 
+def test_forest_and_threshold_use_every_row(spark):
+    """More labelled rows than any sample held; the forest and the cut are those of all rows."""
+    from pyspark.sql import functions as F
+
+    n = 33_000
+    ids = spark.range(n, numPartitions=5).withColumnRenamed("id", "doc_id")
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1000))
+    plain = F.concat_ws(" ", *(F.concat(F.lit("w" * (1 + j % 5)), F.pmod(F.xxhash64("doc_id", F.lit(j)), F.lit(90 + j)).cast("string")) for j in range(60)))
+    odd = F.concat(F.repeat(F.lit("A|b! "), (h % 17).cast("int")), plain, F.repeat(F.lit(". #"), (h % 23).cast("int")))
+    docs = ids.select("doc_id", F.when(h < 300, odd).otherwise(plain).alias("text"))
+    labels = ids.select("doc_id", F.when(h < 200, 0).otherwise(1).alias("quality"))
+    got = rules.rule_verdicts(docs, labels, trees=20).join(labels, "doc_id").toPandas()
+    learnt = got[np.array([zlib.crc32(str(d).encode()) % 3 != 1 for d in got.doc_id]) & ~got.base_failed]
+    assert len(learnt) > 20_000
+    limit = rules.threshold(learnt.anomaly.to_numpy(), learnt.quality.to_numpy() == 1)
+    assert np.isfinite(limit)
+    assert (got.kept == (~got.base_failed & (got.anomaly <= limit))).all()
+    facts = (*statistics.COUNTS, *statistics.MORE)
+    rows = statistics.document_counts(docs).withColumn("_hash", F.xxhash64("doc_id", *facts)).toPandas()
+    rows = rows[~rules.base_failed(rows)]
+    x = statistics.features({c: rows[c].to_numpy() for c in facts})[:, rules.COLUMNS]
+    forest = rules.fit_forest(x, trees=20, hashes=rows._hash.to_numpy())
+    want = dict(zip(rows.doc_id, forest.score(x)))
+    assert all(want[d] == a for d, a in zip(learnt.doc_id, learnt.anomaly))
+
+
+def test_every_row_is_in_some_tree():
+    for n, trees in ((3, 5), (900, 20), (9000, 20), (50, 1)):
+        uses = rules.uses_of(n, trees, 256)
+        tree = rules.trees_of(np.random.default_rng(n).integers(-(1 << 62), 1 << 62, n), trees, uses)
+        assert tree.shape == (uses, n) and tree.min() >= 0 and tree.max() < trees
+        assert all(len(set(t)) == uses for t in tree.T.tolist())
+        assert np.bincount(tree.ravel(), minlength=trees).min() >= min(n, 200)
+
+
 def walk(trees: Trees, row):
     out = trees.base
     for f, c, leaf in zip(trees.feature, trees.cut, trees.leaf):
