@@ -428,9 +428,10 @@ def token_records(
     An empty table gives no files and no rows.
     """
     folder = folder or scratch_path(spark, "records")
-    # the table of files is kept: reading it again must not write again
+    # the table of files is kept: reading it again must not write again.  One task writes its rows
+    # down, one per shard: a file of its own for each would cost an executor several processes
     told = scratch_path(spark, "record-files")
-    write_records(docs, folder, tokenizer, end_id).write.parquet(told)
+    write_records(docs, folder, tokenizer, end_id).repartition(1).write.parquet(told)
     files = spark.read.parquet(told)
     base = files.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("base"))
     n = max(1, files.count())

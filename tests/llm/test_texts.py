@@ -415,6 +415,17 @@ def test_files_round_trip_by_offset(spark, tmp_path):
             list(records.read_at(f.path, [x["offset"] for x in index]))
 
 
+def test_table_of_files_is_one_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "scratch_path", lambda _, name: str(tmp_path / name))
+    monkeypatch.setattr(records, "LEAST_SHARD", 1 << 10)
+    docs = spark.createDataFrame([(i, f"text number {i} " * 9) for i in range(200)], "doc_id BIGINT, text STRING")
+    got = records.token_records(spark, docs, tokenizer_path()).orderBy("doc_id").collect()
+    assert len({r.shard for r in got}) > 1
+    assert len(list((tmp_path / "record-files").glob("part-*"))) == 1
+    ends = [0, *np.cumsum([r.n_tokens for r in got]).tolist()]
+    assert [r.doc_id for r in got] == list(range(200)) and [r.start for r in got] == ends[:-1]
+
+
 def test_encoder_equals_the_tokenizer():
     texts = ["don't we'll  X's !!'s", "ﬁ İ Ǆ", "<|endoftext|> a", "１２ ٣", "áb", "l’été – 12345", "", "A_b-c\x0bd", "ÀÖßÿ"]
     encoder = records.Encoder(tokenizer_path())
